@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .quality_rules import repetition_rules
 from .simhash import near_duplicates
+from . import substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +25,40 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("n_spans", "kept_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+SUBSTRING_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM words)
+), firsts AS (
+  SELECT s, min(doc_id) AS first_doc FROM windows GROUP BY s HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS k
+  FROM windows JOIN firsts USING (s) WHERE first_doc < doc_id
+), places AS (
+  SELECT doc_id, k, ws[k] AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS k FROM words)
+), kept AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY k) AS t, count(*) AS n FROM places ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op9_substring_dedup": SUBSTRING_SQL}
