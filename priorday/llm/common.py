@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-SLICE_BYTES = 4 << 20  # text handled at once inside a Python worker
+SLICE_BYTES = 2 << 20  # text handled at once inside a Python worker
 
 
 def shared_dir(spark: SparkSession) -> str:

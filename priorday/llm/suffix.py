@@ -21,7 +21,7 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
         if depth < n:
             ahead[:-depth] = key[depth:]
         key, depth = key * width**depth + ahead, 2 * depth
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     where = np.arange(n, dtype=np.int64)
     rank = np.empty(n, np.int64)
     tied = _regroup(sa, key[sa], where, rank)
@@ -31,7 +31,7 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
         there = pos + depth < n
         ahead[there] = rank[pos[there] + depth] + 1
         pair = rank[pos] * (n + 1) + ahead
-        by = np.argsort(pair, kind="stable")
+        by = np.argsort(pair)
         sa[tied] = pos = pos[by]
         tied = _regroup(pos, pair[by], tied, rank)
         depth *= 2

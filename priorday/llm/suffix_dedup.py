@@ -12,8 +12,8 @@ A byte goes if some `length`-byte string that covers it also starts elsewhere.
    prefixes give the intervals of equal windows; those with two or more
    occurrences are repeated.
 4. An anchor with very many different regions is spread over several shards. Each
-   sends its sorted window digests to range-split merge groups, where the runs
-   are joined by binary search.
+   sends its window digests to range-split merge groups, where the runs are
+   sorted and joined by binary search.
 5. Repeated windows go back to every occurrence and merge into maximal spans.
 
 Defined results: null and empty texts, and texts shorter than `length`, lose
@@ -36,8 +36,9 @@ from .suffix import common_prefixes, suffix_array
 
 LENGTH = 400
 GRAM = 32
-SHARD_BYTES = 6 << 20  # region bytes of a shard
-SPREAD = 4000  # different regions of one anchor beyond which it is spread over shards
+SHARD_BYTES = 2 << 20  # region bytes of a shard
+SPREAD = 3000  # different regions of one anchor beyond which it is spread over shards
+SLICE = 1 << 20  # text bytes whose windows are hashed at once
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -121,7 +122,7 @@ def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
         by = pa.array(text)
         return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), batch.column("doc_id").take(by), batch.column("mark").take(by), pa.array(first), pa.array(n.astype(np.int32))], names=[x.split()[0] for x in OCCURRENCE.split(", ")])
 
-    return _marked(docs).mapInArrow(batched(find, "text"), OCCURRENCE)
+    return _marked(docs).mapInArrow(batched(find, "text", SLICE), OCCURRENCE)
 
 
 def repeated_windows(docs: DataFrame, occ: DataFrame, length: int, shard_bytes: int, spread: int) -> DataFrame:
@@ -163,13 +164,12 @@ def repeated_windows(docs: DataFrame, occ: DataFrame, length: int, shard_bytes:
         hit = np.zeros(int(n.sum()), bool)
         hit[(base[region] + window)[total[group] > 1]] = True
         runs = [_runs(hit[a : a + b]) for a, b in zip(base.tolist(), n.tolist(), strict=True)]
-        digests = []  # of the windows of spread anchors, sorted, with their total count here
+        digests = []  # of the windows of spread anchors, with their total count here
+        counted = np.zeros(int(n.sum()), np.int64)
+        counted[base[region] + window] = total[group]
         for r in np.flatnonzero(wide).tolist():
-            mine = np.zeros(int(n[r]), np.int64)
-            own = region == r
-            mine[window[own]] = total[group[own]]
             row = b"".join(hashlib.blake2b(texts[r][i : i + length], digest_size=16).digest() for i in range(int(n[r])))
-            digests.append((r, row, mine.astype("<i8").tobytes()))
+            digests.append((r, row, counted[base[r] : base[r] + n[r]].astype("<i8").tobytes()))
         side = dict((r, (d, m)) for r, d, m in digests)
         return pa.table({**{c: table[c] for c in (*KEY, "spread", "shard")}, "runs": pa.array(runs, pa.binary()), "digests": pa.array([side.get(i, (None, None))[0] for i in range(len(texts))], pa.binary()), "totals": pa.array([side.get(i, (None, None))[1] for i in range(len(texts))], pa.binary())})
 
