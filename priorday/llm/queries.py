@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .quality_rules import repetition_rules
 from .simhash import near_duplicates
-from . import bpe, secret_scan, substring_dedup, suffix_dedup
+from . import bpe, hilbert_ann, html_text, nbsvm, secret_scan, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +26,23 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_url_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op4_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = bpe.encoded(_table(spark, sf_dir, "documents"))
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op6_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -46,7 +58,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_nearest_url_text": op3_nearest_url_text,
     "op4_bpe_prefix_dp": op4_bpe_prefix_dp,
+    "op6_hilbert_ann": op6_hilbert_ann,
+    "op7_nbsvm_quality": op7_nbsvm_quality,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scan": op10_secret_scan,
