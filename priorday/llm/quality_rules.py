@@ -75,26 +75,42 @@ def dup_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def repetition_rules(
-    docs: DataFrame,
-    min_repeat: int = MIN_REPEAT,
-    max_covered: float = MAX_COVERED,
-    max_repeat: float = MAX_REPEAT,
-    min_words: int = MIN_WORDS,
-) -> DataFrame:
+def judged(batch: pa.RecordBatch, min_repeat: int, max_covered: float, max_repeat: float, min_words: int) -> dict[str, np.ndarray]:
+    """The counts and verdicts of a slice's texts."""
+    data, off = text_bytes(batch.column("text"))
+    n_words, three, covered, longest = repetition(data, off, min_repeat)
+    point = ((data & 0xC0) != 0x80) & ~_SPACES[data]
+    raw = data.tobytes()
+    lines = [dup_lines(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+    failed = (n_words < min_words) | (100 * three > 50 * n_words)
+    kept = ~failed & (covered <= max_covered * n_words) & (longest <= np.maximum(max_repeat * n_words, min_repeat))
+    return {
+        "n_words": n_words,
+        "word_chars": _per_text(point, off),
+        "n_symbols": _per_text(_SYMBOL[data], off),
+        "n_dup_lines": np.array(lines, np.int64),
+        "n_repeat_words": three,
+        "base_failed": failed,
+        "kept": kept,
+        "covered_words": covered,
+        "longest_repeat": longest,
+    }
+
+
+def repetition_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_repeat: float = MAX_REPEAT, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per row of `docs` (doc_id, text) with its counts and verdict; see the module's text."""
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, off = text_bytes(batch.column("text"))
-        n_words, three, covered, longest = repetition(data, off, min_repeat)
-        point = ((data & 0xC0) != 0x80) & ~_SPACES[data]
-        raw = data.tobytes()
-        lines = [dup_lines(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-        failed = (n_words < min_words) | (100 * three > 50 * n_words)
-        kept = ~failed & (covered <= max_covered * n_words) & (longest <= np.maximum(max_repeat * n_words, min_repeat))
-        columns = [batch.column("doc_id"), n_words, _per_text(point, off), _per_text(_SYMBOL[data], off), lines, three, failed, kept, covered, longest]
-        kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.int64()] * 2
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        return pa.RecordBatch.from_arrays([c.cast(k) if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        made = judged(batch, min_repeat, max_covered, max_repeat, min_words)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *map(pa.array, made.values())], names=["doc_id", *made])
 
     return docs.select("doc_id", "text").mapInArrow(batched(judge, "text"), SCHEMA)
+
+
+def passing(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_repeat: float = MAX_REPEAT, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of `docs` that the rules keep, with all their columns."""
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(judged(batch, min_repeat, max_covered, max_repeat, min_words)["kept"]))
+
+    return docs.mapInArrow(batched(keep, "text"), docs.schema)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .quality_rules import repetition_rules
 from .simhash import near_duplicates
-from . import bpe, hilbert_ann, html_text, nbsvm, secret_scan, substring_dedup, suffix_dedup
+from . import bpe, hilbert_ann, html_text, mixing, nbsvm, secret_scan, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,19 @@ def op4_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op5_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = mixing.mixed(_table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        F.col("_source").alias("source"),
+        F.col("_lang").alias("lang"),
+        F.col("_topic").alias("topic"),
+        F.col("_tokens").alias("n_tokens"),
+        F.round("_probability", 6).alias("probability"),
+        F.col("_sampled").alias("sampled"),
+    )
+
+
 def op6_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -60,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_nearest_url_text": op3_nearest_url_text,
     "op4_bpe_prefix_dp": op4_bpe_prefix_dp,
+    "op5_raked_mixing": op5_raked_mixing,
     "op6_hilbert_ann": op6_hilbert_ann,
     "op7_nbsvm_quality": op7_nbsvm_quality,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
@@ -88,4 +102,4 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0)
 FROM words LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op9_substring_dedup": SUBSTRING_SQL}
+ORACLES: dict[str, str] = {"op5_raked_mixing": mixing.mixing_sql(), "op9_substring_dedup": SUBSTRING_SQL}

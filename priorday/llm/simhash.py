@@ -19,8 +19,8 @@ stars only members that the triangle inequality allows are compared. Nothing is
 capped: no link between components is lost.
 
 Defined results: a text without words (null, empty, white space) has fingerprint
-zero and is linked like any other. Repeated doc_ids share a row's class by
-fingerprint. An empty table gives an empty result. Extra columns are ignored."""
+zero and is linked like any other. Each row has the class of its own text, also
+where doc_ids repeat. A null doc_id never names a component unless it is alone. An empty table gives an empty result. Extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -61,15 +61,15 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) ->
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint as a signed long."""
+    """(doc_id, mark, fp) for every row; fp is the fingerprint as a signed long, mark a hash of the text."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, off = text_bytes(batch.column("text"))
         raw = data.tobytes().lower()  # of bytes: A-Z only
         out = [fingerprint(raw[a:b].split(), shingle, seed) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.array(out, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(np.array(out, np.uint64).view(np.int64))], names=["doc_id", "mark", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(batched(make, "text"), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(batched(make, "text"), "doc_id long, mark long, fp long")
 
 
 # --- partitions and thresholds ---------------------------------------------------
@@ -278,14 +278,26 @@ def fingerprint_links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(_verified(radius), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
-    """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id, n_links.
-
-    component_id is the smallest doc_id reachable over links, n_links the number
-    of other texts' fingerprints its own links to in the kept link set."""
+def classes(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, mark, fp, component) of every row; a component is named by one of its fingerprints."""
     prints = written(fingerprints(docs, shingle, seed), "fingerprints")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    links = fingerprint_links(classes, radius)
-    member = connected_components(links)
-    labelled = classes.join(member, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = written(prints.select("fp").distinct().select("fp", F.col("fp").alias("node")), "classes")
+    member = connected_components(fingerprint_links(nodes, radius)).select(F.col("node").alias("fp"), "component")
+    named = nodes.join(member, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    return prints.join(named, "fp").select("doc_id", "mark", "fp", "component")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
+    """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
+    found = written(classes(docs, shingle, seed, radius), "near-classes")
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "component").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
+    """One row of `docs` for each component: that of the smallest doc_id (nulls last), all columns kept."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    kept = classes(docs, shingle, seed, radius).groupBy("component").agg(first.alias("k")).select(F.col("k.doc_id").alias("_kept_id"), F.col("k.mark").alias("_kept_mark")).distinct()
+    marked = docs.withColumn("_mark", F.xxhash64("text"))
+    joined = marked.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_mark") == F.col("_kept_mark")), "left_semi")
+    return joined.dropDuplicates(["doc_id", "_mark"]).drop("_mark")
