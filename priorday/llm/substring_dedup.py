@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, prefix_sums, span_hash, text_bytes, word_hashes, word_spans, written
+from .common import batched, mixed, prefix_sums, span_hash, text_bytes, word_hashes, word_spans, written
 
 WIDTH = 13
 PACKED = "bucket int, docs binary, marks binary, counts binary, gaps binary, wide binary, low binary, mid binary, high binary"
@@ -89,8 +89,19 @@ def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def later_windows(table: pa.Table) -> pa.Table:
-    """Windows of one bucket that a smaller doc_id holds too: (doc_id, mark, starts)."""
+def _doc_runs(doc: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal (doc, mark) in sorted arrays."""
+    head = np.ones(len(doc), bool)
+    head[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])
+    first = np.flatnonzero(head)
+    return first, np.diff(np.append(first, len(doc)))
+
+
+LATE = "part int, docs binary, marks binary, counts binary, starts binary"
+
+
+def later_windows(table: pa.Table, parts: int) -> pa.Table:
+    """Windows of one bucket that a smaller doc_id holds too, packed by part of the documents (see LATE)."""
     h, doc, mark, pos = unpacked(table)
     order = np.argsort(h, kind="stable")
     h, doc, mark, pos = h[order], doc[order], mark[order], pos[order]
@@ -98,11 +109,27 @@ def later_windows(table: pa.Table) -> pa.Table:
     least = np.minimum.reduceat(doc, first)
     late = doc > np.repeat(least, np.diff(np.append(first, len(h))))
     doc, mark, pos = doc[late], mark[late], pos[late]
-    order = np.lexsort((pos, mark, doc))
-    doc, mark, pos = doc[order], mark[order], pos[order].astype(np.uint32)
-    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])])) if len(doc) else np.zeros(0, np.int64)
-    ends = np.append(head[1:], len(doc)) if len(doc) else head
-    return pa.table({"doc_id": pa.array(doc[head], pa.int64()), "mark": pa.array(mark[head], pa.int16()), "starts": pa.array([pos[s:e].tobytes() for s, e in zip(head.tolist(), ends.tolist(), strict=True)], pa.binary())})
+    part = (mixed(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((pos, mark, doc, part))
+    doc, mark, pos, part = doc[order], mark[order], pos[order].astype(np.uint32), part[order]
+    cut = np.flatnonzero(part[1:] != part[:-1]) + 1
+    out = []
+    for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(part)], strict=True):
+        if e > s:
+            first, n = _doc_runs(doc[s:e], mark[s:e])
+            out.append((int(part[s]), doc[s + first].tobytes(), mark[s + first].tobytes(), n.astype(np.uint32).tobytes(), pos[s:e].tobytes()))
+    columns = zip(*out, strict=True) if out else [[]] * 5
+    return pa.table({c.split()[0]: pa.array(x, pa.int32() if i == 0 else pa.binary()) for i, (c, x) in enumerate(zip(LATE.split(", "), columns, strict=True))})
+
+
+def gathered(table: pa.Table) -> pa.Table:
+    """All windows of a part of the documents: one row (doc_id, mark, starts) per document."""
+    docs, marks, counts, starts = (np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()]) for c, kind in (("docs", np.int64), ("marks", np.int16), ("counts", np.uint32), ("starts", np.uint32)))
+    doc, mark = np.repeat(docs, counts), np.repeat(marks, counts)
+    order = np.lexsort((starts, mark, doc))
+    doc, mark, pos = doc[order], mark[order], starts[order]
+    first, n = _doc_runs(doc, mark)
+    return pa.table({"doc_id": pa.array(doc[first], pa.int64()), "mark": pa.array(mark[first], pa.int16()), "starts": pa.array([pos[s : s + k].tobytes() for s, k in zip(first.tolist(), n.tolist(), strict=True)], pa.binary())})
 
 
 def kept_mask(n: int, starts: np.ndarray, width: int) -> np.ndarray:
@@ -119,8 +146,9 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 
 def repeated_starts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, mark, starts list<binary>): windows to remove, as little-endian 32-bit word numbers."""
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """(doc_id, mark, starts): windows to remove, as little-endian 32-bit word numbers."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * parts
     names = [x.split()[0] for x in PACKED.split(", ")]
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -132,8 +160,8 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=names)
 
     rows = _marked(docs).where("doc_id is not null").mapInArrow(batched(pack, "text"), PACKED)
-    late = rows.groupBy("bucket").applyInArrow(later_windows, "doc_id long, mark short, starts binary")
-    return late.groupBy("doc_id", "mark").agg(F.collect_list("starts").alias("starts"))
+    late = rows.groupBy("bucket").applyInArrow(lambda table: later_windows(table, parts), LATE)
+    return late.groupBy("part").applyInArrow(gathered, "doc_id long, mark short, starts binary")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -148,7 +176,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             a, b = starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]]
             keep = np.ones(len(a), bool)
             if found:
-                keep = kept_mask(len(a), np.frombuffer(b"".join(found), np.uint32).astype(np.int64), width)
+                keep = kept_mask(len(a), np.frombuffer(found, np.uint32).astype(np.int64), width)
             text = b" ".join([raw[x:y] for x, y in zip(a[keep].tolist(), b[keep].tolist(), strict=True)])
             gone = ~keep
             out.append((len(a), int(gone.sum()), int((gone[1:] & keep[:-1]).sum() + (len(gone) and gone[0])), text.decode(), hashlib.sha256(text).hexdigest()))
