@@ -108,7 +108,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[n
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") > 0).alias("good")).where(~held_out())
     known = known.withColumn("order", F.xxhash64("doc_id"))
     edge = known.orderBy("order").limit(sample).agg(F.max("order")).first()[0]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~held_out()).join(known, "doc_id").select("doc_id", "text", "good", (F.col("order") <= F.lit(edge)).alias("sampled"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~held_out()).join(known.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "good", (F.col("order") <= F.lit(edge)).alias("sampled"))
 
     def count(batches):
         totals, n = np.zeros((2, 1 << FEATURE_BITS), np.int64), [0, 0]
