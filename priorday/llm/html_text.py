@@ -225,5 +225,5 @@ def extracted(pages: DataFrame) -> DataFrame:
             names=["page_id", "url", "text", "n_chars", "n_shared"],
         )
 
-    joined = whole.select("page_id", "mark", "url", "html").join(shared, F.col("page_id").eqNullSafe(F.col("s_id")) & (F.col("mark") == F.col("s_mark")), "left")
+    joined = whole.select("page_id", "mark", "url", "html").join(shared.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("s_id")) & (F.col("mark") == F.col("s_mark")), "left")
     return joined.select("page_id", "url", "html", "shared").mapInArrow(batched(keep, "html"), "page_id long, url string, text string, n_chars long, n_shared long")
