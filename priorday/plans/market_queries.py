@@ -40,9 +40,9 @@ def no_vig(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("event_id", F.round(S.raw_implied(F.col("odds_a")), 9).alias("raw_a"), F.round(a, 9).alias("no_vig_a"), F.round(b, 9).alias("no_vig_b"))
 
 
-@query("lead_time", sql("SELECT event_id, round(lead_minutes, 6) AS lead_minutes FROM quotes", "quotes"))
+@query("lead_time", sql("SELECT event_id, round(lead_minutes, 9) AS lead_minutes FROM quotes", "quotes"))
 def lead_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.quotes(spark, sf_dir).select("event_id", F.round(S.minutes_between(F.col("captured_at"), F.col("start")), 6).alias("lead_minutes"))
+    return A.quotes(spark, sf_dir).select("event_id", F.round(S.minutes_between(F.col("captured_at"), F.col("start")), 9).alias("lead_minutes"))
 
 
 @query("quote_validation", sql("SELECT event_id, CASE WHEN odds_a <= 1 OR odds_b <= 1 THEN 'invalid_odds' END AS violation FROM quotes", "quotes"))
@@ -104,10 +104,10 @@ def terminal_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PRIMARY = "SELECT *, row_number() OVER (PARTITION BY fixture_id, start ORDER BY abs(lead_minutes - 60), captured_at, snapshot_hash) AS rn FROM quotes WHERE bookmaker = 'click' AND odds_a > 1 AND odds_b > 1 AND lead_minutes BETWEEN 45 AND 75"
 
 
-@query("primary_quote", sql(f"SELECT fixture_id, strftime(start, {_TIME}) AS start, event_id, round(lead_minutes, 6) AS lead_minutes, snapshot_hash FROM ({_PRIMARY}) WHERE rn = 1", "quotes"))
+@query("primary_quote", sql(f"SELECT fixture_id, strftime(start, {_TIME}) AS start, event_id, round(lead_minutes, 9) AS lead_minutes, snapshot_hash FROM ({_PRIMARY}) WHERE rn = 1", "quotes"))
 def primary_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = M.primary_quote(A.quotes(spark, sf_dir), ["fixture_id", "start"], "click")
-    return p.select("fixture_id", stamp("start"), "event_id", *r6("lead_minutes"), "snapshot_hash")
+    return p.select("fixture_id", stamp("start"), "event_id", F.round("lead_minutes", 9).alias("lead_minutes"), "snapshot_hash")
 
 
 @query("primary_record", sql(f"SELECT 'primary:' || fixture_id || ':' || event_id AS record_id, 'primary_market_selected' AS record_type, CAST(fixture_id AS VARCHAR) AS match_id, CAST(event_id AS VARCHAR) AS candidate_record_id, strftime(start, {_TIME}) AS scheduled_start FROM ({_PRIMARY}) WHERE rn = 1", "quotes"))

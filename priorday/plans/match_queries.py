@@ -25,7 +25,7 @@ def history(spark: SparkSession, sf_dir: str, k=K) -> DataFrame:
 
 
 def r6(*names: str) -> list:
-    return [F.round(n, 6).alias(n) for n in names]
+    return [(F.round(n, 6) + F.lit(0.0)).alias(n) for n in names]  # -0.0 becomes 0.0
 
 
 # --- sources -----------------------------------------------------------------
@@ -400,8 +400,8 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         """, mstates AS (SELECT map, team, match_date, d, rating FROM mst JOIN mdays USING (map, d) WHERE EXISTS (SELECT 1 FROM mg WHERE mg.map = mst.map AND mg.d = mst.d AND (mg.a = mst.team OR mg.b = mst.team))),
 pools AS (SELECT team_id, match_date, avg(r) AS mean, max(r) AS max, min(r) AS min, stddev_pop(r) AS std, count(*) AS n FROM (
  SELECT s.team_id, s.match_date, m.map, arg_max(m.rating, m.match_date) AS r FROM (SELECT DISTINCT team_id, match_date FROM sides) s JOIN mstates m ON m.team = s.team_id AND m.match_date < s.match_date GROUP BY ALL) GROUP BY ALL)
-SELECT match_id, round(coalesce(a.mean, 1500) - coalesce(b.mean, 1500), 6) AS map_mean_elo_diff, round(coalesce(a.max, 1500) - coalesce(b.max, 1500), 6) AS map_max_elo_diff, round(coalesce(a.min, 1500) - coalesce(b.min, 1500), 6) AS map_min_elo_diff,
- round(coalesce(a.std, 0) - coalesce(b.std, 0), 6) AS map_elo_std_diff, coalesce(a.n, 0) - coalesce(b.n, 0) AS map_history_count_diff, least(coalesce(a.n, 0), coalesce(b.n, 0)) AS min_map_history_count
+SELECT match_id, round(coalesce(a.mean, 1500) - coalesce(b.mean, 1500), 6) + 0.0::DOUBLE AS map_mean_elo_diff, round(coalesce(a.max, 1500) - coalesce(b.max, 1500), 6) + 0.0::DOUBLE AS map_max_elo_diff, round(coalesce(a.min, 1500) - coalesce(b.min, 1500), 6) + 0.0::DOUBLE AS map_min_elo_diff,
+ round(coalesce(a.std, 0) - coalesce(b.std, 0), 6) + 0.0::DOUBLE AS map_elo_std_diff, coalesce(a.n, 0) - coalesce(b.n, 0) AS map_history_count_diff, least(coalesce(a.n, 0), coalesce(b.n, 0)) AS min_map_history_count
 FROM canonical c LEFT JOIN pools a ON a.team_id = team_a_id AND a.match_date = c.match_date LEFT JOIN pools b ON b.team_id = team_b_id AND b.match_date = c.match_date""",
         "sides",
     ).replace("\n, mstates AS", ",\nmstates AS"),
@@ -419,7 +419,7 @@ def roster_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "roster_features",
     sql(
-        """, rost AS (SELECT team_id, match_date, list_distinct(list(player)) AS roster, row_number() OVER (PARTITION BY team_id ORDER BY match_date) AS i FROM lineups GROUP BY ALL),
+        """, rost AS (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY match_date) AS i FROM (SELECT team_id, match_date, list_distinct(list(player)) AS roster FROM lineups GROUP BY ALL)),
 asks AS (SELECT s.team_id, s.match_date, (SELECT max(i) FROM rost r WHERE r.team_id = s.team_id AND r.match_date < s.match_date) AS i FROM (SELECT DISTINCT team_id, match_date FROM sides) s),
 feats AS (SELECT a.team_id, a.match_date, coalesce(len(l.roster), 5) AS last_size, CASE WHEN p.roster IS NULL THEN 1.0::DOUBLE ELSE len(list_intersect(l.roster, p.roster))::DOUBLE / len(list_distinct(list_concat(l.roster, p.roster))) END AS continuity,
   coalesce((SELECT count(DISTINCT x) FROM (SELECT unnest(roster) AS x FROM rost f WHERE f.team_id = a.team_id AND f.i BETWEEN a.i - 4 AND a.i)), 0) AS recent, CAST(a.i IS NULL AS INTEGER) AS missing
