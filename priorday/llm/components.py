@@ -11,6 +11,8 @@ from .common import forget, written
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node of `edges` (a long, b long): (node, component).
 
+    A component's smallest node has no row of its own.
+
     Large-star links every larger neighbour of a node to the node's smallest
     neighbour; small-star does so for the smaller ones. Rounds repeat until the
     edge set stands still, which is when every edge points at its component's

@@ -15,7 +15,7 @@ Defined results: null source or language counts as the empty name. Null or
 wordless texts have no tokens, fall into topic "empty" and are never drawn. Rows
 that share doc_id and cell share the draw; a null doc_id draws as the empty name.
 An empty table gives an empty result. Columns of `docs` that clash with names
-used here are safe: cells are joined under prefixed names."""
+used here are safe: each row is packed before anything is added."""
 
 from __future__ import annotations
 
@@ -46,8 +46,10 @@ def form_topic(tokens: Column, text: str = "text") -> Column:
 
 
 def _with_cell(docs: DataFrame, topic: Column | None) -> DataFrame:
-    made = docs.withColumn("_tokens", n_tokens())
-    return made.withColumns({"_source": F.coalesce("source", F.lit("")), "_lang": F.coalesce("lang", F.lit("")), "_topic": form_topic(F.col("_tokens")) if topic is None else F.coalesce(topic.cast("string"), F.lit(""))})
+    """(row, id, source, lang, topic, tokens): each document, packed, with its cell and weight."""
+    form = form_topic(n_tokens()) if topic is None else F.coalesce(topic.cast("string"), F.lit(""))
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), empty("source"), empty("lang"), form.alias("topic"), n_tokens().alias("tokens"))
 
 
 def _targets(cells: DataFrame, margin: str, temper: float, given: Mapping[str, float] | None) -> DataFrame:
@@ -64,7 +66,7 @@ def _targets(cells: DataFrame, margin: str, temper: float, given: Mapping[str, f
 
 def raked(docs: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER, share: float = SHARE, topic: Column | None = None, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
     """(source, lang, topic, tokens, rate): every cell that has tokens, fitted to the targets."""
-    cells = _with_cell(docs, topic).groupBy(*(F.col(f"_{m}").alias(m) for m in MARGINS)).agg(F.sum("_tokens").alias("tokens")).where("tokens > 0")
+    cells = _with_cell(docs, topic).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
     now = written(cells.withColumn("w", F.col("tokens").cast("double")), "cells")
     total = (now.agg(F.sum("tokens")).first()[0] or 0) * share
     goals = {m: written(_targets(now, m, temper, (targets or {}).get(m)), f"goals-{m}") for m in MARGINS}
@@ -80,24 +82,25 @@ def raked(docs: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER, share:
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """`docs` with _source, _lang, _topic, _tokens, _rate (null without tokens), _probability and _sampled."""
-    cells = raked(docs, **how)
-    cells = cells.select(*(F.col(m).alias(f"_{m}") for m in MARGINS), F.col("rate").alias("_rate"))
+    """(row, source, lang, topic, tokens, rate, probability, sampled) for every document; `row` holds its columns.
+
+    rate is null where the cell has no tokens; the probability is then zero."""
+    cells = raked(docs, **how).select(*MARGINS, "rate")
     made = _with_cell(docs, how.get("topic"))
-    keys = [f"_{m}" for m in MARGINS]
+    keys = list(MARGINS)
     if cells.count() <= BROADCAST_CELLS:
         joined = made.join(F.broadcast(cells), keys, "left")
     else:
-        salted = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = made.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], "left").drop("_salt")
-    probability = F.coalesce(F.least(F.col("_rate"), F.lit(1.0)), F.lit(0.0))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    return joined.withColumn("_probability", probability).withColumn("_sampled", draw < F.col("_probability"))
+        salted = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = made.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], "left").drop("salt")
+    probability = F.when(F.col("rate").isNull(), 0.0).otherwise(F.least(F.col("rate"), F.lit(1.0)))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.col("id"))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    return joined.withColumn("probability", probability).withColumn("sampled", draw < F.col("probability")).drop("id")
 
 
 def sampled(docs: DataFrame, **how) -> DataFrame:
     """The drawn rows of `docs`, with its columns alone."""
-    return mixed(docs, **how).where("_sampled").select(*docs.columns)
+    return mixed(docs, **how).where("sampled").select("row.*")
 
 
 def mixing_sql(rounds: int = ROUNDS, temper: float = TEMPER, share: float = SHARE) -> str:
@@ -126,7 +129,7 @@ def mixing_sql(rounds: int = ROUNDS, temper: float = TEMPER, share: float = SHAR
         + ",\n".join(parts)
         + f"""
 SELECT doc_id, source, lang, topic, n_tokens, round(p, 6) AS probability, u < p AS sampled FROM (
- SELECT doc_id, d.source, d.lang, d.topic, n_tokens, coalesce(least(w / tokens, 1.0), 0.0) AS p,
+ SELECT doc_id, d.source, d.lang, d.topic, n_tokens, CASE WHEN w IS NULL THEN 0.0 ELSE least(w / tokens, 1.0) END AS p,
   CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
  FROM docs d LEFT JOIN c{k} c ON d.source = c.source AND d.lang = c.lang AND d.topic = c.topic)"""
     )

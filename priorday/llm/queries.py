@@ -38,13 +38,13 @@ def op4_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mixing.mixed(_table(spark, sf_dir, "documents"))
     return made.select(
-        "doc_id",
-        F.col("_source").alias("source"),
-        F.col("_lang").alias("lang"),
-        F.col("_topic").alias("topic"),
-        F.col("_tokens").alias("n_tokens"),
-        F.round("_probability", 6).alias("probability"),
-        F.col("_sampled").alias("sampled"),
+        F.col("row.doc_id").alias("doc_id"),
+        "source",
+        "lang",
+        "topic",
+        F.col("tokens").alias("n_tokens"),
+        F.round("probability", 6).alias("probability"),
+        "sampled",
     )
 
 

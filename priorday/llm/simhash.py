@@ -298,6 +298,6 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radi
     """One row of `docs` for each component: that of the smallest doc_id (nulls last), all columns kept."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
     kept = classes(docs, shingle, seed, radius).groupBy("component").agg(first.alias("k")).select(F.col("k.doc_id").alias("_kept_id"), F.col("k.mark").alias("_kept_mark")).distinct()
-    marked = docs.withColumn("_mark", F.xxhash64("text"))
-    joined = marked.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_mark") == F.col("_kept_mark")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
+    joined = rows.join(kept, F.col("id").eqNullSafe(F.col("_kept_id")) & (F.col("mark") == F.col("_kept_mark")), "left_semi")
+    return joined.dropDuplicates(["id", "mark"]).select("row.*")

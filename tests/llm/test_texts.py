@@ -1,0 +1,228 @@
+"""Quality rules, BPE, secrets, mixing, HTML, classifier and neighbours on small cases."""
+
+import hashlib
+import html
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from priorday.llm import bpe, hilbert_ann, html_text, mixing, nbsvm, quality_rules, secret_scan
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def docs_of(spark, texts, n=2):
+    return spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, kept string").repartition(n)
+
+
+# --- quality rules -------------------------------------------------------------
+
+
+def brute_rules(text):
+    w = WORD.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    seen, covered, longest = {}, set(), 0
+    for k in range(len(w) - 2):
+        seen.setdefault(tuple(w[k : k + 3]), []).append(k)
+    three = {k + d for ks in seen.values() if len(ks) > 1 for k in ks for d in range(3)}
+    for i in range(len(w)):
+        best = 0
+        for j in range(len(w)):
+            k = 0
+            while i != j and max(i, j) + k < len(w) and w[i + k] == w[j + k]:
+                k += 1
+            best = max(best, k)
+        longest = max(longest, best)
+        if best >= 8:
+            covered |= set(range(i, i + best))
+    n = len(w)
+    failed = n < 50 or 100 * len(three) > 50 * n
+    kept = not failed and len(covered) <= 0.5 * n and longest <= max(0.3 * n, 8)
+    return (n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(three), failed, kept, len(covered), longest)
+
+
+def test_quality_rules_match_brute_force(spark):
+    rng = random.Random(1)
+    words = [f"w{i}é" for i in range(60)] + ["#", "a|b"]
+    texts = [None, "", "\x0b \n", "a\n\na\n a"]
+    for i in range(25):
+        w = [rng.choice(words) for _ in range(rng.randint(1, 90))]
+        if i % 3 == 0:
+            w += w[:30] * (1 + i % 2)
+        texts.append("".join(x + rng.choice([" ", "\n", "\t", " ", "\x1c "]) for x in w))
+    texts += [texts[5], "x " * 3000]
+    rows = quality_rules.repetition_rules(docs_of(spark, texts)).collect()
+    for r in rows:
+        if len(WORD.findall(texts[r.doc_id] or "")) < 200:
+            assert tuple(r)[1:] == brute_rules(texts[r.doc_id]), texts[r.doc_id]
+    assert not next(r.kept for r in rows if r.doc_id == len(texts) - 1)
+    passed = quality_rules.passing(docs_of(spark, texts))
+    assert passed.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and {r.doc_id for r in passed.collect()} == {r.doc_id for r in rows if r.kept}
+    assert quality_rules.repetition_rules(docs_of(spark, texts).where("doc_id < 0")).count() == 0
+
+
+# --- BPE -------------------------------------------------------------------------
+
+
+def test_bpe_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(2)
+    letters = "ab \n\t'sreLl09é漢😀　\x1c\x85#$%.,"
+    texts = [None, "", "<|endoftext|>", "a<|endoftext|> <|endoftext|", "don't  stop\n\n now ", "z" * 5000, "ab" * 3000, " " * 300]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    texts += ["".join(chr(rng.choice([rng.randint(1, 0x2FF), rng.randint(0x300, 0xD7FF), rng.randint(0x10000, 0x1FFFF)])) for _ in range(20)) for _ in range(100)]
+    t = Tokenizer.from_file(bpe.default_path())
+    for r in bpe.encoded(docs_of(spark, texts)).collect():
+        ids = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.n_tokens == len(ids)
+        assert r.decoded == t.decode(ids, skip_special_tokens=False) == (texts[r.doc_id] or "")
+    assert bpe.encoded(docs_of(spark, texts).where("doc_id < 0")).count() == 0
+
+
+# --- secrets -----------------------------------------------------------------------
+
+
+def brute_base(text):
+    letters = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    words = "|".join(letters(w) for w in ("password", "passwd", "secret", "token")) + "|" + letters("api") + "_?" + letters("key")
+    found = [(m.start(), 0, m.end()) for m in re.finditer(rf"""({words})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return found + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+
+
+def test_secret_base_and_novelty(spark):
+    rng = random.Random(3)
+    odd = "qX7vLr2KdPz9WbTn4MsYf8"
+    texts = [None, "", "é PassWord = 'hunter22' x", "secret=token: abcdefgh", "apikey:short", "AKIA" + "A1" * 9 + " AKIAX", "f" * 40, f"Authorization bearer {odd} end", "the key word_word_word_word_word here", f"plain {odd}"]
+    texts += ["".join(rng.choice(["token", "=", ":", " ", "'", "abc123", "AKIA", "Z9", "0f" * 7, "é", "ſecret"]) for _ in range(14)) for _ in range(200)]
+    rows = {r.doc_id: r for r in secret_scan.scan(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        base = sorted(brute_base(t or ""))
+        assert (rows[i].n_assign, rows[i].n_access, rows[i].n_hex) == tuple(sum(k == kind for _, k, _ in base) for kind in range(3)), t
+        assert rows[i].base_sha256 == hashlib.sha256(secret_scan.joined(base).encode()).hexdigest()
+    assert "novel:21:43" in rows[7].spans and "novel" not in rows[8].spans and rows[9].spans == ""
+    clean = {r.doc_id: r for r in secret_scan.redact(docs_of(spark, texts)).collect()}
+    assert clean[0].text is None and clean[2].text == "é [secret]' x" and clean[2].n_chars == len(clean[2].text) and clean[7].text.endswith("bearer [secret] end")
+
+
+# --- mixing --------------------------------------------------------------------------
+
+
+def test_raking_meets_its_targets(spark):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randint(1, 300), rng.choice(["en", "de", None]), "big" if i % 3 else rng.choice(["a", "b"]), 1) for i in range(600)] + [(900, None, None, None, 2), (900, "", "en", "a", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, rate long")
+    cells = mixing.raked(docs, rounds=30, targets={"lang": {"en": 2, "de": 1, "": 1}}).collect()
+    total = sum(c.tokens for c in cells) * mixing.SHARE
+    for margin, goal in (("lang", {"en": 0.5, "de": 0.25, "": 0.25}),):
+        for value, share in goal.items():
+            assert abs(sum(c.rate * c.tokens for c in cells if c[margin] == value) / total - share) < 1e-3
+    got = mixing.mixed(docs).collect()
+    assert len(got) == len(rows) and not any(r.sampled for r in got if r.row.doc_id == 900)
+    assert all(0 <= r.probability <= 1 for r in got)
+    kept = mixing.sampled(docs)
+    assert kept.columns == docs.columns and 0 < kept.count() < len(rows)
+    assert mixing.sampled(docs.where("doc_id < 0")).count() == 0
+
+
+def test_salted_join_gives_the_same_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (i % 40), "en", f"s{i % 5}") for i in range(200)], "doc_id long, text string, lang string, source string")
+    one = {r.doc_id for r in mixing.sampled(docs).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
+    assert {r.doc_id for r in mixing.sampled(docs).collect()} == one
+
+
+# --- HTML ------------------------------------------------------------------------------
+
+
+def test_zones_of_markup():
+    page = """<!DOCTYPE html><title>t</title><nav><ul><li>Menu</ul></nav><!-- x <p>no --><div class="ad box">Buy <div>now</div> it</div><main><article><header><h1>A &amp; B</h1></header>
+<p>One <b>two</b>&nbsp;three<br>four<p>five<script>var a="</p>";</script><aside>side</aside><div id='comments'><p>reader</div><form>f</form> tail</article></main><footer>end</footer>"""
+    assert html_text.main_text(html_text.lines_of(page), []) == "A & B\nOne two three\nfour\nfive\ntail"
+    assert html_text.lines_of("") == [] and html_text.lines_of("a < b <p") == [("a < b <p", html_text.OPEN)]
+
+
+def test_common_lines_are_longest():
+    rng = random.Random(5)
+    for _ in range(400):
+        a, b = ([rng.randint(0, 3) for _ in range(rng.randint(0, 8))] for _ in range(2))
+        d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                d[i + 1][j + 1] = d[i][j] + 1 if a[i] == b[j] else max(d[i][j + 1], d[i + 1][j])
+        assert len(html_text.common_lines(a, b)) == d[-1][-1]
+
+
+def test_template_lines_go_and_copies_stay(spark):
+    page = lambda own: f"<body><p>Site name</p>{own}<p>All rights reserved</p></body>"
+    rows = [(1, "http://a.b/x/1", page("<p>first story</p>")), (2, "http://a.b/x/2", page("<p>second story</p>")), (3, "http://c.d/1", page("<p>alone</p>")), (4, "http://e.f/1", page("<p>same</p>")), (5, "http://e.f/2", page("<p>same</p>")), (6, None, None), (7, "bad url", ""), (2, "http://a.b/x/2", page("<p>second story</p>"))]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, text string").repartition(3)
+    got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.extracted(df).collect())
+    text = {i: t for i, t, _ in got}
+    assert len(got) == 8 and all(n == len(t) for _, t, n in got)
+    assert text[1] == "first story" and text[3] == "Site name\nalone\nAll rights reserved" and text[4] == text[5] == "Site name\nsame\nAll rights reserved" and text[6] == text[7] == ""
+    assert html_text.extracted(df.where("page_id < 0")).count() == 0
+
+
+def test_articles_of_the_small_table(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    source = {r.page_id: r.html for r in pages.collect()}
+    for r in html_text.extracted(pages).collect():
+        inner = re.search(r"<article>(.*?)</article>", source[r.page_id], re.DOTALL)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"</?b>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)>", inner)]
+        assert r.text == "\n".join(b for b in blocks if b)
+
+
+# --- classifier -----------------------------------------------------------------------
+
+
+def test_classifier_on_held_out_rows(spark, small):
+    sf = small.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = nbsvm.scores(docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit(None).cast("string"))), labels).collect()
+    assert len(got) == docs.count() + 1 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    held = [(r.predicted, truth[r.doc_id]) for r in got if r.held_out and r.doc_id in truth]
+    assert sum(a == b for a, b in held) / len(held) > 0.95
+
+
+def test_classifier_without_labels_and_with_one_class(spark):
+    docs = docs_of(spark, ["a b", None, "c"])
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.score for r in nbsvm.scores(docs, none).collect()} == {0.5}
+    one = spark.createDataFrame([(i, 0) for i in range(3)], "doc_id long, quality int")
+    assert {(r.score, r.predicted) for r in nbsvm.scores(docs, one).collect()} == {(0.0, 0)}
+
+
+# --- neighbours ------------------------------------------------------------------------
+
+
+def test_hilbert_curve_visits_neighbours():
+    cells = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
+    keys = hilbert_ann.hilbert_index(cells, 3)
+    assert sorted(keys.tolist()) == list(range(512))
+    assert (np.abs(np.diff(cells[np.argsort(keys)], axis=0)).sum(1) == 1).all()
+
+
+@pytest.mark.parametrize("how", [{}, {"window": 3, "block": 40, "queries": 5}])
+def test_neighbours_match_brute_force(spark, how):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(230, 12))
+    x[50:90] = x[50]  # ties
+    rows = [(i, [float(v) for v in x[i]]) for i in range(230)] + [(300, None), (301, []), (302, [0.0] * 12), (303, [float("nan")] * 12), (304, [None] * 12), (305, [1.0, 2.0]), (None, [1.0] * 12)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, rank int").repartition(3)
+    got = {}
+    for r in hilbert_ann.nearest(df, F.col("vec_id") % 10 == 0, **how).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in range(0, 230, 10):
+        score = (x * x[q]).sum(axis=1)
+        want = sorted((i for i in range(230) if i != q), key=lambda i: (-score[i], i))[:20]
+        assert [(k, i) for k, i, _ in sorted(got[q])] == list(enumerate(want, 1))
+        assert all(s == score[i] for _, i, s in got[q])
+    assert set(got) == set(range(0, 230, 10))
