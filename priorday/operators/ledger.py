@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from priorday.functions.scalars import LEAD_RANGE, minutes_between, needs_new_forecast, no_vig, snapshot_current, win_probability
 
+from priorday.sources.shared import written
+
 from .market import primary_quote, terminal_class
 from .rating import as_of_states
 from .resolve import fixture_reconcile
@@ -185,8 +187,11 @@ def due_primaries(ledger: DataFrame, now: str) -> DataFrame:
 
 
 def ledger_step(fixtures: DataFrame, events: DataFrame, quotes: DataFrame, results: DataFrame, ledger: DataFrame, states: DataFrame, now: str) -> DataFrame:
-    """All rows of one pass, later steps seeing the earlier ones' rows; unwritten it is a dry run."""
-    seen = as_records(ledger)
+    """All rows of one pass, later steps seeing the earlier ones' rows; not appended it is a dry run.
+
+    Each step's rows are written to the shared folder before the next one reads
+    them, so every step sees the same rows and no plan holds another twice."""
+    seen, fixtures, states = as_records(ledger), written(fixtures, "fixtures"), written(states, "states")
     made = None
     for step in (
         lambda x: missed_forecasts(fixtures, x, now),
@@ -196,7 +201,7 @@ def ledger_step(fixtures: DataFrame, events: DataFrame, quotes: DataFrame, resul
         lambda x: quote_candidates(quotes, x),
         lambda x: due_primaries(x, now),
     ):
-        rows = ledger_append(as_records(step(seen)), seen)
+        rows = written(ledger_append(as_records(step(seen)), seen), "ledger-step")
         made = rows if made is None else made.unionByName(rows)
         seen = seen.unionByName(rows)
     return made

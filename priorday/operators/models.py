@@ -10,6 +10,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from priorday.sources.shared import written
+
 from .evaluate import fold_assign, prep_stats
 
 C = 1.0
@@ -37,7 +39,7 @@ def rolling_logistic(rows: DataFrame, folds: Sequence[tuple[str, str, str]], fea
     The loop runs over folds and feature sets, which are few; each fit is a Spark
     job over its training rows. A fold with one class has null probabilities."""
     wanted = sorted({f for fs in feature_sets.values() for f in fs})
-    assigned = fold_assign(rows, folds)
+    assigned = fold_assign(written(rows.select("match_id", "match_date", "team_a_won", *wanted), "model-rows"), folds)
     stats = prep_stats(assigned, wanted).collect()  # folds x features
     out, coefficients = None, []
     for name, _, _ in folds:

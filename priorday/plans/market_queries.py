@@ -288,7 +288,9 @@ def elo_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Same-region contests streamed in date order, a pool per region; every closed day's ratings."""
     home = _scratch(spark, "elo-stream")
     c = canonical(spark, sf_dir).where("region_a = region_b").select(F.col("region_a").cast("string").alias("pool"), F.col("match_date").cast("timestamp").alias("played_at"), "match_id", "team_a_id", "team_b_id", "team_a_won")
-    c.repartitionByRange(4, "played_at").sortWithinPartitions("played_at").write.parquet(f"{home}/in")
+    first, last = c.agg(F.min(F.year("played_at")), F.max(F.year("played_at"))).first()
+    for year in range(first or 0, (last or 0) + 1):  # files are streamed in the order they were written
+        c.where(F.year("played_at") == year).coalesce(1).write.mode("append").parquet(f"{home}/in")
     feed = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)

@@ -15,7 +15,7 @@ def read_strings(spark: SparkSession, path: str | Sequence[str], columns: Sequen
     return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
 
 
-def read_years(spark: SparkSession, root: str, relative: str, columns: Sequence[str], prefix: str = "vct_") -> DataFrame:
+def read_years(spark: SparkSession, root: str, relative: str, columns: Sequence[str], prefix: str = "season_") -> DataFrame:
     """One file per `<root>/<prefix><year>/<relative>`, with the folder's year; other suffixes are skipped."""
     rows = read_strings(spark, f"{root}/{prefix}*/{relative}", columns)
     year = F.nullif(F.regexp_extract(F.col("_metadata.file_path"), rf"/{prefix}([0-9]+)/", 1), F.lit(""))

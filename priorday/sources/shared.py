@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -14,3 +15,10 @@ def shared_dir(spark: SparkSession) -> str:
         path = "file://" + tempfile.mkdtemp(prefix="priorday-")
         spark._priorday_shared = path
     return path.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: the rows written as Parquet in the shared folder and read back."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -51,7 +51,7 @@ class DayRatings(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
+        end = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())  # all closed days at once, in order
         rows = sorted((k[0], v[0], v[1], v[2], v[3]) for k, v in self.open.iterator() if (k[0] + 1) * self.DAY <= end)
         out = []
         for day in sorted({r[0] for r in rows}):
@@ -68,7 +68,8 @@ class DayRatings(StatefulProcessor):
                 self.teams.updateValue((team,), (rating, pool.counts[team]))
             for r in today:
                 self.open.removeKey((day, r[1]))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in HISTORY.split(", ")])
+        if out:
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in HISTORY.split(", ")])
 
     def close(self) -> None:
         pass
