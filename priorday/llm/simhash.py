@@ -297,7 +297,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, r
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """One row of `docs` for each component: that of the smallest doc_id (nulls last), all columns kept."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
-    kept = classes(docs, shingle, seed, radius).groupBy("component").agg(first.alias("k")).select(F.col("k.doc_id").alias("_kept_id"), F.col("k.mark").alias("_kept_mark")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
-    joined = rows.join(kept, F.col("id").eqNullSafe(F.col("_kept_id")) & (F.col("mark") == F.col("_kept_mark")), "left_semi")
-    return joined.dropDuplicates(["id", "mark"]).select("row.*")
+    name = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("name")
+    found = classes(docs, shingle, seed, radius).groupBy("component").agg(first.alias("k")).select("k.*")
+    kept = found.select(name, "mark").distinct()
+    rows = docs.select(name, F.xxhash64("text").alias("mark"), F.struct(*docs.columns).alias("row"))
+    # both steps need rows by (name, mark), so the texts move once
+    return rows.join(kept, ["name", "mark"], "left_semi").dropDuplicates(["name", "mark"]).select("row.*")
