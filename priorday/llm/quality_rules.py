@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from .common import batched, text_bytes, word_hashes, word_spans
 from .suffix import longest_repeats
 
-MIN_REPEAT = 8  # words of the shortest repeat that counts as covered
-MAX_COVERED = 0.5  # share of words that repeats may cover
-MAX_REPEAT = 0.3  # longest repeat as a share of the words
+MIN_REPEAT = 16  # words of the shortest repeat that counts as covered
+MAX_COVERED = 0.25  # share of words that repeats may cover
+MAX_REPEAT = 0.2  # longest repeat as a share of the words
 MIN_WORDS = 50
 
 SCHEMA = (

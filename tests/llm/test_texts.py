@@ -37,11 +37,11 @@ def brute_rules(text):
                 k += 1
             best = max(best, k)
         longest = max(longest, best)
-        if best >= 8:
+        if best >= 16:
             covered |= set(range(i, i + best))
     n = len(w)
     failed = n < 50 or 100 * len(three) > 50 * n
-    kept = not failed and len(covered) <= 0.5 * n and longest <= max(0.3 * n, 8)
+    kept = not failed and len(covered) <= 0.25 * n and longest <= max(0.2 * n, 16)
     return (n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(three), failed, kept, len(covered), longest)
 
 
@@ -65,6 +65,14 @@ def test_quality_rules_match_brute_force(spark):
     assert quality_rules.repetition_rules(docs_of(spark, texts).where("doc_id < 0")).count() == 0
 
 
+def test_repeats_are_dropped_beyond_the_base_rules(spark):
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words), " ".join(words[:200] + words[:60]), " ".join(words[:140] + words[:12])]
+    got = {r.doc_id: r for r in quality_rules.repetition_rules(docs_of(spark, texts)).collect()}
+    assert not any(r.base_failed for r in got.values()) and got[1].n_repeat_words == 120
+    assert got[0].kept and not got[1].kept and got[2].kept and got[1].longest_repeat == 60
+
+
 # --- BPE -------------------------------------------------------------------------
 
 
