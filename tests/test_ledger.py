@@ -9,6 +9,7 @@ from priorday.functions import scalars as S
 from priorday.operators import ledger as L
 from priorday.operators import market as M
 from priorday.operators import rating as R
+from priorday.sources import files
 from priorday.streaming import streams
 
 T = dt.datetime(2024, 5, 1, 12)
@@ -107,6 +108,23 @@ def test_status_has_counts_only(spark):
     assert s.columns == ["record_type", "n"]
 
 
+def test_missing_ledger_is_empty(spark, tmp_path):
+    assert files.read_ledger(spark, f"file://{tmp_path}/none.jsonl", "record_id string, record_type string").count() == 0
+    (tmp_path / "some.jsonl").write_text('{"record_id":"a","record_type":"t"}\n')
+    assert files.read_ledger(spark, f"file://{tmp_path}/some.jsonl", "record_id string, record_type string").first().record_id == "a"
+
+
+def test_eligible_split_takes_the_first_failing_rule(spark):
+    o = lambda *t: [{"opponent": {"id": i, "name": n}} for i, n in t]
+    good = (1, "finished", False, "2024-01-05T10:00:00Z", "2024-01-05T12:00:00Z", 7, o((7, "A"), (8, "B")), "cup")
+    rows = [good, (2, "running", True, *good[3:]), (3, *good[1:2], True, *good[3:]), (4, *good[1:6], o((7, "A")), "cup"), (5, *good[1:3], None, *good[4:]), (6, *good[1:3], "soon", *good[4:])]
+    rows += [(7, *good[1:3], "2023-12-31T10:00:00Z", *good[4:]), (8, *good[1:4], "2024-03-01T12:00:00Z", *good[5:]), (9, *good[1:5], 99, *good[6:]), (10, *good[1:6], o((7, "tbd"), (8, "B")), "cup")]
+    schema = "id long, status string, forfeit boolean, begin_at string, end_at string, winner_id long, opponents array<struct<opponent: struct<id: long, name: string>>>, tournament string"
+    fine, out = M.eligible_split(spark.createDataFrame(rows, schema), "2023-12-31", "2024-02-01 00:00:00")
+    assert [(r.match_id, str(r.match_date), r.team_a_won) for r in fine.collect()] == [("ps:1", "2024-01-05", True)]
+    assert {r.id: r.reason for r in out.collect()} == dict(zip(range(2, 11), M.REASONS, strict=True))
+
+
 def test_ledger_stream_is_idempotent(spark, tmp_path):
     home = f"file://{tmp_path}"
     rows = ledger(spark, *({"record_id": str(i % 5), "record_type": "t", "match_id": "m"} for i in range(12)))
