@@ -23,7 +23,7 @@ def per_row_losses(forecasts: DataFrame, p: str = "probability_a") -> DataFrame:
     )
 
 
-def _block(n_teams: Column | None = None) -> list[Column]:
+def _block() -> list[Column]:
     p, won = F.col("probability_a"), F.col("team_a_won")
     return [
         F.count("match_id").alias("n_matches"),
@@ -60,18 +60,16 @@ def _bins(spark, n: int, low: float, width: float) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("bin"), (F.lit(low) + F.col("id") * F.lit(width)).alias("lo"), (F.lit(low) + (F.col("id") + 1) * F.lit(width)).alias("hi"))
 
 
-def _binned(rows: DataFrame, value: Column, bins: DataFrame, first_closed: bool) -> DataFrame:
-    """Left join from right-closed bins; the lowest bound itself falls into the first bin."""
-    v = rows.withColumn("_v", value)
-    low = (F.col("_v") > F.col("lo")) | (F.lit(first_closed) & (F.col("bin") == 0) & (F.col("_v") <= F.col("hi")))
-    hit = v.join(F.broadcast(bins), low & (F.col("_v") <= F.col("hi")))
-    return hit
+def _binned(rows: DataFrame, value: Column, bins: DataFrame) -> DataFrame:
+    """Rows with `_v` and their right-closed bin; the lowest bound itself falls into the first bin."""
+    low = (F.col("_v") > F.col("lo")) | (F.col("bin") == 0)
+    return rows.withColumn("_v", value).join(F.broadcast(bins), low & (F.col("_v") <= F.col("hi")))
 
 
 def calibration(forecasts: DataFrame) -> DataFrame:
     """Ten right-closed bins on [0, 1]: n, mean probability, observed rate; empty bins stay."""
     bins = _bins(forecasts.sparkSession, 10, 0.0, 0.1)
-    made = _binned(forecasts, F.col("probability_a"), bins, True).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("probability_a").alias("mean_p"), F.avg(F.col("team_a_won").cast("double")).alias("observed"))
+    made = _binned(forecasts, F.col("probability_a"), bins).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("probability_a").alias("mean_p"), F.avg(F.col("team_a_won").cast("double")).alias("observed"))
     return bins.select("bin").join(made, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -79,7 +77,7 @@ def favorite_calibration(forecasts: DataFrame) -> DataFrame:
     """Five bins on [.5, 1] of the favourite's probability: n, mean, observed rate and gap; empty bins stay."""
     bins = _bins(forecasts.sparkSession, 5, 0.5, 0.1)
     p = confidence(F.col("probability_a"))
-    x = _binned(forecasts, p, bins, True).withColumn("hit", correct(F.col("probability_a"), F.col("team_a_won")).cast("double"))
+    x = _binned(forecasts, p, bins).withColumn("hit", correct(F.col("probability_a"), F.col("team_a_won")).cast("double"))
     made = x.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean_p"), F.avg("hit").alias("observed"), (F.avg("hit") - F.avg("_v")).alias("gap"))
     return bins.select("bin").join(made, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priorday.functions import scalars as S
+from priorday.operators import evaluate as E
 from priorday.operators import features as X
 from priorday.operators import quality as Q
 from priorday.operators import rating as R
@@ -13,7 +14,7 @@ from priorday.operators import resolve as J
 from priorday.sources import contests as A
 from priorday.sources import files
 
-from .base import GRID, K, query, sql
+from .base import DEVELOPMENT, GRID, K, query, sql
 
 
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,11 +283,7 @@ def elo_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def k_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from priorday.operators.evaluate import k_grid as grid
-
-    from .base import DEVELOPMENT
-
-    return grid(R.elo_history(canonical(spark, sf_dir), GRID), DEVELOPMENT).select("k", "n", *r6("log_loss", "brier", "accuracy"), "place")
+    return E.k_grid(R.elo_history(canonical(spark, sf_dir), GRID), DEVELOPMENT).select("k", "n", *r6("log_loss", "brier", "accuracy"), "place")
 
 
 _CUTS = ("1996-12-31", "1997-12-31", "1998-12-31", "1999-12-31", "2000-12-31")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from priorday.functions.scalars import resolved_outcome
+from priorday.operators.resolve import canonical_filter
 
 LINE_ORDER = ("l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice")
 
@@ -24,8 +25,8 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order with two lines or more: the first line's supplier against the second's."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER)
     ranked = lines.withColumn("rn", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))).where("rn <= 2")
-    side = lambda n: F.struct("l_suppkey", "l_partkey", "l_quantity", "l_extendedprice") if n else None
-    both = ranked.groupBy("l_orderkey").agg(F.max(F.when(F.col("rn") == 1, side(1))).alias("a"), F.max(F.when(F.col("rn") == 2, side(2))).alias("b")).where("b is not null")
+    side = F.struct("l_suppkey", "l_partkey", "l_quantity", "l_extendedprice")
+    both = ranked.groupBy("l_orderkey").agg(F.max(F.when(F.col("rn") == 1, side)).alias("a"), F.max(F.when(F.col("rn") == 2, side)).alias("b")).where("b is not null")
     supplier, nation = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     home = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(F.col("s_suppkey").alias("team_a_id"), F.col("s_name").alias("team_a_name"), F.col("n_name").alias("tournament"), F.col("n_regionkey").alias("region_a"))
     away = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(F.col("s_suppkey").alias("team_b_id"), F.col("s_name").alias("team_b_name"), F.col("n_regionkey").alias("region_b"))
@@ -51,8 +52,6 @@ CANONICAL = ("match_id", "match_date", "year", "team_a_id", "team_a_name", "team
 
 def map_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two games per valid contest: (match_id, match_date, map, game, team_a_id, team_b_id, team_a_won)."""
-    from priorday.operators.resolve import canonical_filter
-
     c = canonical_filter(contests(spark, sf_dir))
     brand = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     games = F.array(
