@@ -164,13 +164,12 @@ def repeated_windows(docs: DataFrame, occ: DataFrame, length: int, shard_bytes:
         hit = np.zeros(int(n.sum()), bool)
         hit[(base[region] + window)[total[group] > 1]] = True
         runs = [_runs(hit[a : a + b]) for a, b in zip(base.tolist(), n.tolist(), strict=True)]
-        digests = []  # of the windows of spread anchors, with their total count here
+        side: dict[int, tuple[bytes, bytes]] = {}  # digests of the windows of spread anchors, and their total count here
         counted = np.zeros(int(n.sum()), np.int64)
         counted[base[region] + window] = total[group]
         for r in np.flatnonzero(wide).tolist():
             row = b"".join(hashlib.blake2b(texts[r][i : i + length], digest_size=16).digest() for i in range(int(n[r])))
-            digests.append((r, row, counted[base[r] : base[r] + n[r]].astype("<i8").tobytes()))
-        side = dict((r, (d, m)) for r, d, m in digests)
+            side[r] = (row, counted[base[r] : base[r] + n[r]].astype("<i8").tobytes())
         return pa.table({**{c: table[c] for c in (*KEY, "spread", "shard")}, "runs": pa.array(runs, pa.binary()), "digests": pa.array([side.get(i, (None, None))[0] for i in range(len(texts))], pa.binary()), "totals": pa.array([side.get(i, (None, None))[1] for i in range(len(texts))], pa.binary())})
 
     found = bodies.groupBy("shard").applyInArrow(search, "anchor long, content long, n int, spread boolean, shard long, runs binary, digests binary, totals binary")
@@ -196,13 +195,11 @@ def merged_shards(found: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for anchor, content, n, shard, digests, totals in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "n", "shard", "digests", "totals")), strict=True):
-                d, t = np.frombuffer(digests, "S16"), np.frombuffer(totals, "<i8")
-                part = np.frombuffer(digests, np.uint8)[::16].astype(np.int64) * MERGE_GROUPS // 256
+                whole, t = np.frombuffer(digests, np.uint8).reshape(-1, 16), np.frombuffer(totals, "<i8")
+                part = whole[:, 0].astype(np.int64) * MERGE_GROUPS // 256
                 for p in np.unique(part).tolist():
                     at = np.flatnonzero(part == p)
-                    raw = np.frombuffer(digests, np.uint8).reshape(-1, 16)[at].tobytes()
-                    out.append((anchor, p, shard, content, n, at.astype(np.uint32).tobytes(), raw, t[at].tobytes()))
-                del d
+                    out.append((anchor, p, shard, content, n, at.astype(np.uint32).tobytes(), whole[at].tobytes(), t[at].tobytes()))
             if out:
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
