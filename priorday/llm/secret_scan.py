@@ -6,7 +6,8 @@ a sensitive word. Each is compressed with a dictionary primed with common
 identifiers and with the text around it; its marginal compressed bytes are the
 frame's growth over an empty frame. Identifiers and repeated words cost a few
 bytes there, random strings cost nearly their length and are reported (kind
-novel).
+novel). Further copies of the string are left out of its surroundings, and every
+copy in the text of a string found novel is reported, in whatever place.
 
 Defined results: null and empty texts hold no spans (empty strings, zero counts).
 Spans are code point offsets, end exclusive, ordered by start and then by kind.
@@ -73,12 +74,30 @@ def marginal_bytes(candidate: str, before: str, after: str) -> int:
     return len(press.compress(candidate.encode())) - len(press.compress(b""))
 
 
+def surroundings(text: str, s: int, e: int) -> tuple[str, str]:
+    """AROUND code points before and after text[s:e], without further copies of it (whole ones at the edges too)."""
+    word, reach = text[s:e], AROUND + e - s
+    return text[max(0, s - reach) : s].replace(word, " ")[-AROUND:], text[e : e + reach].replace(word, " ")[:AROUND]
+
+
+def occurrences(text: str, words: set[str]) -> list[tuple[int, int]]:
+    """(start, end) of every copy of strings of candidate characters, in one pass over the text."""
+    size = min(map(len, words), default=0)
+    by_start: dict[str, list[str]] = {}
+    for w in sorted(words):
+        by_start.setdefault(w[:size], []).append(w)
+    if not words:
+        return []
+    runs = (m.span() for m in CANDIDATE.finditer(text))
+    return [(i, i + len(w)) for s, e in runs for i in range(s, e - size + 1) for w in by_start.get(text[i : i + size], ()) if text.startswith(w, i)]
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], marginal: float = MARGINAL, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """Strings in sensitive places that their surroundings do not explain, outside base spans."""
+    """Strings in sensitive places that their surroundings do not explain, and all their copies, outside base spans."""
     low = text.lower()
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
-    taken, found = sorted((s, e) for s, _, e in base), []
+    taken, novel = sorted((s, e) for s, _, e in base), set()
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
         word = m[0]
@@ -86,9 +105,9 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], marginal: float = M
             continue
         if any(a < e and s < b for a, b in taken):
             continue
-        if marginal_bytes(word, text[max(0, s - AROUND) : s], text[e : e + AROUND].replace(word, " ")) >= max(least, marginal * len(word)):
-            found.append((s, 3, e))
-    return found
+        if word not in novel and marginal_bytes(word, *surroundings(text, s, e)) >= max(least, marginal * len(word)):
+            novel.add(word)
+    return [(s, 3, e) for s, e in occurrences(text, novel) if not any(a < e and s < b for a, b in taken)]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

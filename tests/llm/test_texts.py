@@ -118,6 +118,17 @@ def test_secret_base_and_novelty(spark):
     assert clean[0].text is None and clean[2].text == "é [secret]' x" and clean[2].n_chars == len(clean[2].text) and clean[7].text.endswith("bearer [secret] end")
 
 
+def test_copies_of_a_secret_are_all_redacted():
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for gap in (1, 300, 2010, 2030, 2044, 5000) * 5:
+        odd = "".join(rng.choice(letters) for _ in range(36)) + "A9zQ"
+        text = f"auth bearer {odd}\n" + ("so it goes on " * 400)[:gap] + f"\nauth bearer {odd} and once more in clear: x={odd}."
+        clean = secret_scan.redacted_text(text)
+        assert odd not in clean and clean.count("[secret]") == 3, gap
+        assert len(secret_scan.novel_spans(text, [])) == 3
+
+
 # --- mixing --------------------------------------------------------------------------
 
 
