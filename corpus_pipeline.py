@@ -28,7 +28,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn with probabilities raked to the source, language and topic targets."""
+    """Documents drawn at rates raked to the source, language and topic targets; where a rate exceeds one, in several copies."""
     return mixing.sampled(docs)
 
 

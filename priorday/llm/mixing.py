@@ -2,10 +2,11 @@
 
 Documents are summed to cells (source, language, topic) of token weight. Each
 round rakes the cells to the source, language and topic targets in turn. A
-cell's fitted over its own weight is its rate; documents are drawn with
-probability min(1, rate), and where the rate exceeds one the remainder is the
-document's training weight. The draw is a hash of doc_id, so it is the same in
-every run, after a lost executor, and in SQL.
+cell's fitted over its own weight is its rate, the number of times that a document
+is taken on average: drawn with probability min(1, rate), and where the rate
+exceeds one, taken floor(rate) times and once more with the probability of the
+rest. So the expected tokens of every cell are the fitted ones. The draw is a hash
+of doc_id, so it is the same in every run, after a lost executor, and in SQL.
 
 Targets are tempered shares by default (share ** TEMPER, scaled to one); explicit
 ones can be passed per margin. The topic is a form class of the text by default;
@@ -82,9 +83,10 @@ def raked(docs: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER, share:
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """(row, source, lang, topic, tokens, rate, probability, sampled) for every document; `row` holds its columns.
+    """(row, source, lang, topic, tokens, rate, probability, sampled, copies) for every document; `row` holds its columns.
 
-    rate is null where the cell has no tokens; the probability is then zero."""
+    rate is null where the cell has no tokens; the probability is then zero. copies
+    is how often the document is taken: zero where it is not sampled."""
     cells = raked(docs, **how).select(*MARGINS, "rate")
     made = _with_cell(docs, how.get("topic"))
     keys = list(MARGINS)
@@ -95,12 +97,15 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
         joined = made.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], "left").drop("salt")
     probability = F.when(F.col("rate").isNull(), 0.0).otherwise(F.least(F.col("rate"), F.lit(1.0)))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.col("id"))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    return joined.withColumn("probability", probability).withColumn("sampled", draw < F.col("probability")).drop("id")
+    whole = F.floor(F.coalesce("rate", F.lit(0.0)))
+    copies = whole + (draw < F.coalesce("rate", F.lit(0.0)) - whole).cast("long")
+    return joined.withColumns({"probability": probability, "copies": copies}).withColumn("sampled", draw < F.col("probability")).drop("id")
 
 
 def sampled(docs: DataFrame, **how) -> DataFrame:
-    """The drawn rows of `docs`, with its columns alone."""
-    return mixed(docs, **how).where("sampled").select("row.*")
+    """The drawn rows of `docs`, each as often as it is taken, with its columns alone."""
+    taken = mixed(docs, **how).where("sampled").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.select("row.*")
 
 
 def mixing_sql(rounds: int = ROUNDS, temper: float = TEMPER, share: float = SHARE) -> str:

@@ -149,6 +149,15 @@ def test_raking_meets_its_targets(spark):
     assert mixing.sampled(docs.where("doc_id < 0")).count() == 0
 
 
+def test_rates_over_one_are_taken_more_than_once(spark):
+    docs = spark.createDataFrame([(i, "w " * 50, "en", "hot" if i % 20 else "rare") for i in range(2000)], "doc_id long, text string, lang string, source string")
+    rate = {c.source: c.rate for c in mixing.raked(docs).collect()}
+    assert rate["rare"] > 1.5
+    n = {r.source: r["count"] for r in mixing.sampled(docs).groupBy("source").count().collect()}
+    assert abs(n["rare"] / (100 * rate["rare"]) - 1) < 0.1 and abs(sum(n.values()) / (2000 * mixing.SHARE) - 1) < 0.1
+    assert all((r.copies > 0) == r.sampled and r.copies in (int(r.rate), int(r.rate) + 1) for r in mixing.mixed(docs).collect())
+
+
 def test_salted_join_gives_the_same_sample(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "w " * (i % 40), "en", f"s{i % 5}") for i in range(200)], "doc_id long, text string, lang string, source string")
     one = {r.doc_id for r in mixing.sampled(docs).collect()}
