@@ -2,7 +2,10 @@
 
 A page is cut into lines (blocks of text in page order). Each line is in the main
 zone (inside article or main), in a boilerplate zone (menus, headers, footers,
-sidebars, notices, adverts, forms, comments; by element, role or class) or open.
+sidebars, notices, adverts, forms, comments; by element, or a whole role, id or
+class) or open. An article or main inside a wrapper that only its label or a form
+closed is an inner zone, and other text of such a form a form zone: they stand in
+where the page has no main zone, or no open line either.
 Pages are ordered by host and URL path, each page is paired with the neighbour
 whose path shares the longest beginning (ties: the earlier one), and the lines of
 the two are aligned by a longest common subsequence. Shared open lines are
@@ -29,10 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import batched, byte_values, prefix_sums, span_hash, text_bytes, written
 
-MAIN, OPEN, BOILER = 0, 1, 2
+MAIN, OPEN, BOILER, INNER, FORM = range(5)
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.DOTALL)
-LABEL = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+TELLING = re.compile(r"hidden|style|class|id|role", re.IGNORECASE)
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
 # Elements of HTML by role.
 RAW = frozenset("script style noscript template textarea svg math iframe object select title canvas audio video".split())
 BLOCK = frozenset(
@@ -45,19 +49,42 @@ BOILER_LABELS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
     "disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination "
     "popup promo related replies responses search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
+) | frozenset(
+    f"{a}-{b}"
+    for first, second in (
+        ("site main global top bottom primary secondary", "header footer nav navigation menu navbar sidebar banner"),
+        ("cookie cookies consent gdpr", "banner notice bar popup modal consent"),
+        ("ad ads advert", "slot box container banner wrapper unit"),
+        ("comment comments", "list form area section thread"),
+        ("share social sharing", "buttons links bar icons"),
+        ("related", "posts articles links stories"),
+        ("newsletter search login", "form box bar signup"),
+        ("nav", "bar menu links"),
+    )
+    for a in first.split()
+    for b in second.split()
 )
+#: Labels of places whose articles are never the page's own.
+FOREIGN = re.compile(r"(?:ads?|adverts?|advertisement|comments?|disqus|newsletter|promo|related|replies|responses|sponsor(?:ed)?)(?:-|\Z)")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
-def _labels(attributes: str) -> set[str]:
-    return {w for m in LABEL.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
+def _marks(attributes: str) -> tuple[bool, set[str]]:
+    """Whether a tag hides its element, and its boilerplate labels: whole classes, roles and id."""
+    if not TELLING.search(attributes):
+        return False, set()
+    of: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        of.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    hidden = "hidden" in of or of.get("aria-hidden", "").strip() == "true" or NO_DISPLAY.search(of.get("style", "")) is not None
+    return hidden, BOILER_LABELS.intersection(w.replace("_", "-") for k in ("class", "id", "role") for w in of.get(k, "").split())
 
 
 def lines_of(html: str) -> list[tuple[str, int]]:
     """(text, zone) of every non-empty block of a page, in page order."""
     out: list[tuple[str, int]] = []
     held: list[str] = []
-    zones: list[list] = []  # [element, open elements of its name, zone]
+    zones: list[list] = []  # [element, open elements of its name, zone, whether an article may still open in it]
     zone, at, n = OPEN, 0, len(html)
 
     def flush() -> None:
@@ -100,17 +127,25 @@ def lines_of(html: str) -> list[tuple[str, int]]:
             continue
         if name in VOID or m[3].endswith("/"):
             continue
+        hidden, labels = _marks(m[3]) if m[3] and name not in ("html", "body") else (False, set())
+        may = zones[-1][3] if zones else True
+        foreign = any(FOREIGN.match(w) for w in labels)
         if name in MAIN_TAGS and zone != BOILER:
-            into = MAIN
-        elif name in BOILER_TAGS and not (name == "header" and zone == MAIN):
-            into = BOILER
-        elif m[3] and name not in ("html", "body") and (HIDDEN.search(m[3]) or not BOILER_LABELS.isdisjoint(_labels(m[3]))):
+            into = {OPEN: MAIN, FORM: INNER}.get(zone, zone)
+        elif name in MAIN_TAGS and may and not hidden and not foreign:
+            into = INNER
+        elif name == "form" and zone in (OPEN, FORM) and not hidden and not labels:
+            into = FORM
+        elif name == "header" and zone in (MAIN, INNER):
+            into = BOILER if hidden else None
+        elif name in BOILER_TAGS or hidden or labels:
             into = BOILER
+            may = may and not hidden and not foreign and (name == "form" or name not in BOILER_TAGS)
         else:
             into = None
         if into is not None:
             flush()
-            zones.append([name, 1, into])
+            zones.append([name, 1, into, may and into not in (MAIN, INNER)])
             zone = into
         elif zones and zones[-1][0] == name:
             zones[-1][1] += 1
@@ -148,13 +183,14 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
 
 
 def main_text(lines: list[tuple[str, int]], shared: list[int] | None) -> str:
-    """The article: the main zone, or else the open lines that the partner does not share."""
-    main = [t for t, z in lines if z == MAIN]
-    if main:
-        return "\n".join(main)
-    gone = set(shared or ())
-    own = [t for i, (t, z) in enumerate(lines) if z == OPEN and i not in gone]
-    return "\n".join(own or [t for t, z in lines if z == OPEN])
+    """The article: the main zone, or else the inner one, or else the open (or else form) lines that the partner does not share."""
+    for zone in (MAIN, INNER):
+        main = [t for t, z in lines if z == zone]
+        if main:
+            return "\n".join(main)
+    gone, zone = set(shared or ()), OPEN if any(z == OPEN for _, z in lines) else FORM
+    own = [t for i, (t, z) in enumerate(lines) if z == zone and i not in gone]
+    return "\n".join(own or [t for t, z in lines if z == zone])
 
 
 def _prepared(pages: DataFrame) -> DataFrame:

@@ -175,6 +175,25 @@ def test_zones_of_markup():
     assert html_text.lines_of("") == [] and html_text.lines_of("a < b <p") == [("a < b <p", html_text.OPEN)]
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><div class='overflow-hidden'>a</div><p style='overflow:hidden'>b</p><p aria-hidden='false'>c</p><p><a href='/hidden-city'>d</a></p></article>", "a\nb\nc\nd"),
+        ("<article><p hidden>a</p><p aria-hidden=true>b</p><p style='color:red; display: none'>c</p><p>d</p></article>", "d"),
+        ("<article><header class='entry-header'>a</header><section id='related-work'>b</section><h2 id='search-results'>c</h2><p data-id='social-42'>d</p></article>", "a\nb\nc\nd"),
+        ("<article><p>a</p><div class='wide comments'>b</div><nav>c</nav></article><div class='site-footer'>d</div>", "a"),
+        ("<nav>m</nav><div class='layout has-sidebar'><article>a</article></div>", "a"),
+        ("<div class='layout sidebar'><p>m</p><article>a<div id=comments><article>b</article></div></article></div>", "a"),
+        ("<form><nav>m</nav><article>a</article></form>", "a"),
+        ("<form><nav>m</nav><div class='menu'>n</div><p>a</p></form>", "a"),
+        ("<article>a</article><div class='sidebar'><article>b</article></div><form>c</form>", "a"),
+        ("<p>a</p><div class='related'><article>b</article></div><form>c</form>", "a"),
+    ],
+)
+def test_zones_keep_what_only_looks_like_boilerplate(page, want):
+    assert html_text.main_text(html_text.lines_of(page), []) == want
+
+
 def test_common_lines_are_longest():
     rng = random.Random(5)
     for _ in range(400):
