@@ -149,3 +149,14 @@ def test_rating_stream_equals_batch(spark, tmp_path):
     want = {r.match_id: r for r in R.elo_history(df.withColumn("match_date", F.to_date("played_at")), 64.0, pool="pool").collect()}
     closed = {m for m, r in want.items() if r.match_date < dt.date(2024, 1, 8)}
     assert closed == set(got) and all(abs(got[m].probability_a - want[m].probability_a) < 1e-9 and got[m].team_a_prior == want[m].team_a_prior for m in closed)
+
+
+def test_stream_query_gives_every_contest_of_the_batch(spark, small):
+    from priorday.plans import market_queries as Q
+
+    got = {r.match_id: r for r in Q.elo_stream(spark, small).collect()}
+    want = {r.match_id: r for r in R.elo_history(Q.canonical(spark, small), 64.0).collect()}
+    assert got.keys() == want.keys() and want
+    for m, r in want.items():
+        assert (got[m].match_date, got[m].team_a_prior, got[m].team_b_prior) == (r.match_date, r.team_a_prior, r.team_b_prior)
+        assert abs(got[m].rating_a_pre - r.rating_a_pre) < 1e-5 and abs(got[m].probability_a - r.probability_a) < 1e-5
