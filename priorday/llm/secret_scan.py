@@ -18,7 +18,9 @@ is kept. An empty table gives an empty result; further columns are ignored by
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 import zstandard
@@ -34,12 +36,14 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
 
 #: Words that make a place sensitive, and how far behind one a string may start.
-SENSITIVE = re.compile(r"(?:key|secret|token|passw|passphrase|pwd|credential|auth|bearer|private|signature|session|cookie)[^\n]{0,40}$", re.IGNORECASE | re.ASCII)
+SENSITIVE = re.compile(r"(?:key|secret|token|passw|passphrase|pwd|credential|auth|bearer|private|signature|session|cookie)[^\n]{0,40}(?:\n[^\n]{0,40})?$", re.IGNORECASE | re.ASCII)
 SENSITIVE_WORDS = ("key", "secret", "token", "passw", "passphrase", "pwd", "credential", "auth", "bearer", "private", "signature", "session", "cookie")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 AROUND = 2048  # code points of surrounding text on either side
-MARGINAL = 0.7  # least marginal bytes per character
-LEAST = 14  # least marginal bytes
+PEM = re.compile(r"-----BEGIN [A-Z0-9\x20]*PRIVATE KEY[A-Z\x20]*-----(.*?)(?:-----END|\Z)", re.DOTALL)
+PEM_PART = re.compile(r"[A-Za-z0-9+/=]+")
+MARGINAL = 0.9  # least marginal bytes as a share of the entropy of as many random characters of the same alphabet
+WORDLIKE = 0.75  # share of known letter pairs from which a string without digits counts as words
 IDENTIFIERS = (
     "access account address admin api application argument array async attribute auth authorization await base bearer boolean buffer "
     "bytes cache callback certificate class client code command config configuration connection const content context cookie count "
@@ -92,22 +96,78 @@ def occurrences(text: str, words: set[str]) -> list[tuple[int, int]]:
     return [(i, i + len(w)) for s, e in runs for i in range(s, e - size + 1) for w in by_start.get(text[i : i + size], ()) if text.startswith(w, i)]
 
 
-def novel_spans(text: str, base: list[tuple[int, int, int]], marginal: float = MARGINAL, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """Strings in sensitive places that their surroundings do not explain, and all their copies, outside base spans."""
+#: Pairs of letters that stand in the identifiers.
+PAIRS = frozenset(w[i : i + 2] for w in IDENTIFIERS.lower().split() if w.isalpha() and len(w) < 26 for i in range(len(w) - 1))
+
+
+def entropy_bytes(word: str) -> float:
+    """Bytes that as many random characters of the word's alphabet (digits, hex, or its classes) hold."""
+    if word.isdigit():
+        size = 10
+    elif re.fullmatch("[0-9a-f]+|[0-9A-F]+", word):
+        size = 16
+    else:
+        size = sum(n for p, n in (("[a-z]", 26), ("[A-Z]", 26), ("[0-9]", 10)) if re.search(p, word)) + len(set(word) & set("+/_=-"))
+    return len(word) * math.log2(max(size, 2)) / 8
+
+
+def wordlike(word: str) -> bool:
+    """Whether a string without digits is made of letter pairs as in identifiers."""
+    if any(c.isdigit() for c in word):
+        return False
+    pairs = [w[i : i + 2] for w in re.findall("[a-z]+", word.lower()) for i in range(len(w) - 1)]
+    return sum(p in PAIRS for p in pairs) >= WORDLIKE * len(pairs)
+
+
+def _outside(s: int, e: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of [s, e) outside `taken`, which is sorted and disjoint."""
+    out, k = [], max(bisect_right(taken, (s, s)) - 1, 0)
+    while k < len(taken) and taken[k][0] < e:
+        a, b = taken[k]
+        if b > s:
+            if a > s:
+                out.append((s, a))
+            s = b
+        k += 1
+    return out + [(s, e)] if s < e else out
+
+
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def novel_spans(text: str, base: list[tuple[int, int, int]], marginal: float = MARGINAL) -> list[tuple[int, int, int]]:
+    """Strings in sensitive places that their surroundings do not explain, and all their copies, outside base spans.
+
+    A string around hex runs is measured whole; of one that overlaps other base
+    spans the parts outside them are measured. Private key blocks are sensitive throughout."""
     low = text.lower()
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
-    taken, novel = sorted((s, e) for s, _, e in base), set()
+    taken, keyed = _united([(s, e) for s, _, e in base]), _united([(s, e) for s, k, e in base if k != 2])
+    blocks = [m.span(1) for m in PEM.finditer(text)] if "PRIVATE KEY" in text else []
+    novel, short, done = set(), [], set()
     for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        word = m[0]
-        if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)) or not SENSITIVE.search(text[max(0, s - 64) : s]):
-            continue
-        if any(a < e and s < b for a, b in taken):
+        at = bisect_right(blocks, (m.start(), len(text))) - 1
+        within = at >= 0 and m.start() < blocks[at][1]
+        if not within and not SENSITIVE.search(text[max(0, m.start() - 128) : m.start()]):
             continue
-        if word not in novel and marginal_bytes(word, *surroundings(text, s, e)) >= max(least, marginal * len(word)):
-            novel.add(word)
-    return [(s, 3, e) for s, e in occurrences(text, novel) if not any(a < e and s < b for a, b in taken)]
+        for s, e in _outside(*m.span(), keyed):
+            word = text[s:e]
+            if len(word) < 16 or word in novel or not _outside(s, e, taken) or wordlike(word):
+                continue
+            if marginal_bytes(word, *surroundings(text, s, e)) >= marginal * entropy_bytes(word):
+                novel.add(word)
+                if within and at not in done:  # the last line of a key may be short
+                    done.add(at)
+                    short += [p.span() for p in PEM_PART.finditer(text, *blocks[at]) if len(p[0]) < 16]
+    return [(s, 3, e) for s, e in sorted({p for x in occurrences(text, novel) + short for p in _outside(*x, taken)})]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -129,6 +129,27 @@ def test_copies_of_a_secret_are_all_redacted():
         assert len(secret_scan.novel_spans(text, [])) == 3
 
 
+def test_secrets_of_letters_keys_in_lines_and_around_hex():
+    rng = random.Random(9)
+    made = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    missed = 0
+    for _ in range(40):
+        odd = made(24, upper + lower)
+        missed += odd in secret_scan.redacted_text(f"auth bearer {odd} end")
+        odd = made(30, upper + lower + "0123456789") + "x7"
+        assert odd not in secret_scan.redacted_text(f"credential:\n    {odd}\n")
+        head, tail = made(9, upper) + "7", made(10, upper) + "8"
+        clean = secret_scan.redacted_text(f"auth bearer {head}{'0f1e2d3c4b5a' * 2}{made(3, '0123456789')}{tail} end")
+        assert head[:9] not in clean and tail[:10] not in clean
+    assert missed <= 2
+    lines = [made(64, upper + lower + "0123456789+/") for _ in range(12)] + ["Qz7Kd9Lw=="]
+    clean = secret_scan.redacted_text("-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END RSA PRIVATE KEY-----\nbye")
+    assert not any(x in clean for x in lines) and clean.endswith("-----END RSA PRIVATE KEY-----\nbye")
+    plain = "the key state-of-the-art-recommendation and the secret getSessionTokenFromServerResponse of internationalization\ncookie ==================== set"
+    assert secret_scan.redacted_text(plain) == plain
+
+
 # --- mixing --------------------------------------------------------------------------
 
 
