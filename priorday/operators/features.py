@@ -132,12 +132,12 @@ def roster_sets(players: DataFrame) -> DataFrame:
 
 def roster_features(matches: DataFrame, players: DataFrame) -> DataFrame:
     """Per match: differences of last roster size, continuity of the last two, and distinct players of the last five."""
-    asks = team_long(matches).select("team_id", "match_date").distinct().select("*", F.lit(None).cast("array<string>").alias("roster"), F.lit(0).alias("o"))
-    days = roster_sets(players).withColumn("o", F.lit(1)).unionByName(asks)
-    order = Window.partitionBy("team_id").orderBy("match_date", "o")
-    # the last five rosters before a date lie within its last ten rows: a date has at most one ask and one roster
-    past = F.collect_list("roster").over(order.rowsBetween(-10, -1))
-    x = days.withColumn("past", past).where("o = 0").withColumn("five", F.slice("past", F.greatest(F.size("past") - 4, F.lit(1)), 5))
+    by_day = Window.partitionBy("team_id").orderBy("match_date")
+    fives = roster_sets(players).select("team_id", "match_date", F.collect_list("roster").over(by_day.rowsBetween(-4, 0)).alias("held"), F.lit(1).alias("o"))
+    asks = team_long(matches).select("team_id", "match_date").distinct().select("*", F.lit(None).cast("array<array<string>>").alias("held"), F.lit(0).alias("o"))
+    # the last state of five rosters is carried forward, over any number of dates without rosters
+    order = Window.partitionBy("team_id").orderBy("match_date", "o").rowsBetween(Window.unboundedPreceding, -1)
+    x = fives.unionByName(asks).withColumn("five", F.coalesce(F.last("held", ignorenulls=True).over(order), F.array().cast("array<array<string>>"))).where("o = 0")
     last, before = F.try_element_at("five", F.lit(-1)), F.try_element_at("five", F.lit(-2))
     state = x.select(
         "team_id",

@@ -107,6 +107,14 @@ def test_roster_features_by_hand(spark):
     assert (r.roster_last_size_diff, round(r.roster_continuity_diff, 6), r.roster_recent_unique_diff, r.any_missing_roster_history) == (2 - 5, round(1 / 3 - 1, 6), 3 - 5, 1)
 
 
+def test_rosters_are_found_beyond_dates_without_players(spark):
+    days = [dt.date(2024, 3, 1) + dt.timedelta(days=i) for i in range(20)]
+    matches = spark.createDataFrame([(i, d, 1, 2, True) for i, d in enumerate(days)], COLS)
+    players = [(0, days[i], 1, p) for i in range(5) for p in (f"p{i}", f"q{i}")] + [(0, days[i], 2, f"r{i}") for i in range(5)]
+    r = X.roster_features(matches, spark.createDataFrame(players, "match_id long, match_date date, team_id long, player string")).where("match_id = 19").first()
+    assert (r.roster_last_size_diff, r.roster_recent_unique_diff, r.any_missing_roster_history) == (2 - 1, 10 - 5, 0)
+
+
 def test_name_key(spark):
     assert [S.normalized_name(x) for x in ("QT DIG∞", "Cloud 9", "Éclair ﬁ", None)] == ["qtdig", "cloud9", "eclairfi", None]
     names = spark.createDataFrame([("Cloud9", "1"), ("Cloud 9", "1"), ("TBD", "2"), ("TBD", "3"), (None, "4")], "team_name string, team_id string")
