@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, written
@@ -32,6 +32,7 @@ ROUNDS = 10
 TEMPER = 0.5
 SHARE = 0.5  # tokens of the sample as a share of all tokens
 BROADCAST_CELLS = 20_000  # cells beyond which their table is joined by shuffle, salted
+WINDOW_CELLS = 1_000_000  # cells beyond which a margin is summed by grouping instead of in a window
 SALTS = 16
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -65,23 +66,50 @@ def _targets(cells: DataFrame, margin: str, temper: float, given: Mapping[str, f
     return sums.crossJoin(F.broadcast(total)).select(margin, (F.col("g") / F.col("all_g")).alias("goal"))
 
 
-def raked(docs: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER, share: float = SHARE, topic: Column | None = None, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
-    """(source, lang, topic, tokens, rate): every cell that has tokens, fitted to the targets."""
+def in_windows(cells: DataFrame, total: float) -> DataFrame:
+    """One round: w scaled to the goals of every margin in turn, each sum taken in a window over the margin."""
+    for m in MARGINS:
+        s = F.sum("w").over(Window.partitionBy(m))
+        cells = cells.withColumn("w", F.when(s > 0, F.col("w") * (F.col(f"{m}_goal") * F.lit(total) / s)).otherwise(0.0))
+    return cells
+
+
+def by_sums(cells: DataFrame, margin: str, total: float) -> DataFrame:
+    """The same for one margin with sums combined before their shuffle, for margins with too many cells for one task."""
+    sums = cells.groupBy(margin).agg(F.sum("w").alias("s"))
+    factor = F.when(F.col("s") > 0, F.col(f"{margin}_goal") * F.lit(total) / F.col("s")).otherwise(0.0)
+    return cells.join(sums, margin).select(*(c for c in cells.columns if c != "w"), (F.col("w") * factor).alias("w"))
+
+
+def raked(docs: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER, share: float = SHARE, topic: Column | None = None, targets: Mapping[str, Mapping[str, float]] | None = None, window_cells: int = WINDOW_CELLS) -> DataFrame:
+    """(source, lang, topic, tokens, rate): every cell that has tokens, fitted to the targets.
+
+    Goals are joined to the cells once. A round is one job of three shuffles over the
+    written cells (three jobs where there are more than `window_cells`), so plans do
+    not grow with the rounds."""
     cells = _with_cell(docs, topic).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
     now = written(cells.withColumn("w", F.col("tokens").cast("double")), "cells")
-    total = (now.agg(F.sum("tokens")).first()[0] or 0) * share
-    goals = {m: written(_targets(now, m, temper, (targets or {}).get(m)), f"goals-{m}") for m in MARGINS}
+    n, tokens = now.agg(F.count("*"), F.sum("tokens")).first()
+    total = float((tokens or 0) * share)
+    aimed = now
+    for m in MARGINS:
+        aimed = aimed.join(_targets(now, m, temper, (targets or {}).get(m)).withColumnRenamed("goal", f"{m}_goal"), m)
+    now = _replaced(now, aimed)
     for _ in range(rounds):
-        then = now
+        if n <= window_cells:
+            now = _replaced(now, in_windows(now, total))
+            continue
         for m in MARGINS:
-            scale = then.groupBy(m).agg(F.sum("w").alias("s")).join(goals[m], m).select(m, F.when(F.col("s") > 0, F.col("goal") * F.lit(float(total)) / F.col("s")).otherwise(0.0).alias("f"))
-            then = then.join(scale, m).withColumn("w", F.col("w") * F.col("f")).drop("f")
-        then = written(then.select(*MARGINS, "tokens", "w"), "cells")
-        forget(now)
-        now = then
+            now = _replaced(now, by_sums(now, m, total))
     return now.select(*MARGINS, "tokens", (F.col("w") / F.col("tokens")).alias("rate"))
 
 
+def _replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+    out = written(new, "cells")
+    forget(old)
+    return out
+
+
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """(row, source, lang, topic, tokens, rate, probability, sampled, copies) for every document; `row` holds its columns.
 
