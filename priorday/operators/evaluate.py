@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from priorday.functions.scalars import brier, confidence, correct, log_loss
 
+# Resamples and their seed.
 DRAWS, SEED = 10_000, 20260724
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from priorday.sources.shared import written
+
 from .rating import elo_history, rating_states, with_unseen
 
 HISTORY_FEATURES = ("elo_diff", "last_5_win_rate_diff", "last_10_win_rate_diff", "prior_match_count_diff", "min_prior_match_count", "days_since_last_match_diff", "any_missing_last_match_date")
@@ -102,15 +104,18 @@ def map_elo(games: DataFrame, k: float = 64.0) -> DataFrame:
 def map_pool(matches: DataFrame, games: DataFrame, k: float = 64.0) -> DataFrame:
     """Per match: differences of the teams' map-rating mean, max, min, deviation and number of maps before the date.
 
-    A team's map states are few (one per map of the pool); they are looked up as of
-    each of its dates by carrying the last state of every map forward."""
-    states = rating_states(map_elo(games, k), last_wins=True).select(F.col("pool").alias("map"), "team_id", F.col("match_date").alias("day"), "rating")
-    asks = team_long(matches).select("team_id", "match_date").distinct()
-    maps = states.select("team_id", "map").distinct()
-    grid = asks.join(maps, "team_id").select("team_id", "map", F.col("match_date").alias("day"), F.lit(None).cast("double").alias("rating"), F.lit(0).alias("o"))
-    by = Window.partitionBy("team_id", "map").orderBy("day", "o").rowsBetween(Window.unboundedPreceding, 0)
-    seen = states.withColumn("o", F.lit(1)).unionByName(grid).withColumn("last", F.last("rating", ignorenulls=True).over(by)).where("o = 0 and last is not null")
-    pools = seen.groupBy("team_id", F.col("day").alias("match_date")).agg(F.avg("last").alias("mean"), F.max("last").alias("max"), F.min("last").alias("min"), F.stddev_pop("last").alias("std"), F.count(F.lit(1)).alias("n"))
+    The fold runs once: its states are written. A team's dates are numbered; a state
+    holds from the number after its own to that of the team's next one on the map, so
+    each date meets one state of every map played before it, without a join by range."""
+    states = written(rating_states(map_elo(games, k), last_wins=True).select(F.col("pool").alias("map"), "team_id", "match_date", "rating"), "map-states")
+    days = team_long(matches).select("team_id", "match_date").unionByName(states.select("team_id", "match_date")).distinct()
+    by_team = Window.partitionBy("team_id")
+    days = days.select("team_id", "match_date", F.row_number().over(by_team.orderBy("match_date")).alias("i"), F.count(F.lit(1)).over(by_team).cast("int").alias("n_days"))
+    until = F.coalesce(F.lead("i").over(Window.partitionBy("team_id", "map").orderBy("i")), F.col("n_days"))
+    held = states.join(days, ["team_id", "match_date"]).select("team_id", "rating", (F.col("i") + 1).alias("start"), until.alias("until")).where("start <= until")
+    seen = held.select("team_id", F.explode(F.sequence("start", "until")).alias("i"), F.col("rating").alias("last"))
+    pools = seen.groupBy("team_id", "i").agg(F.avg("last").alias("mean"), F.max("last").alias("max"), F.min("last").alias("min"), F.stddev_pop("last").alias("std"), F.count(F.lit(1)).alias("n"))
+    pools = pools.join(days, ["team_id", "i"]).drop("i", "n_days")
     x = both_sides(matches.select("match_id", "match_date", "team_a_id", "team_b_id"), pools, ["mean", "max", "min", "std", "n"])
     fill = {"mean": 1500.0, "max": 1500.0, "min": 1500.0, "std": 0.0, "n": 0}
     v = {f"{n}_{s}": F.coalesce(f"{n}_{s}", F.lit(d)) for n, d in fill.items() for s in ("a", "b")}

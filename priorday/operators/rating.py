@@ -1,77 +1,97 @@
 """Day-batched ratings: all rows of a day are judged by the state before it and move the state together.
 
 The recursion is sequential in dates and independent between pools (a league, a
-map, a value of K). Rows are dealt by pool, sorted by date and id inside it, and
-folded in Arrow batches: memory is the pool's team ratings plus one day."""
+map, a value of K, or teams that no chain of matches links). Rows are dealt by
+pool, sorted by date and id inside it, and folded in Arrow batches, a day at a time
+in numpy: memory is the pool's team ratings plus a batch and one day."""
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from priorday.functions.scalars import INITIAL, SCALE
 
+from .components import connected_components
+
 HISTORY = "pool string, k double, match_id long, game int, match_date date, team_a_id long, team_b_id long, team_a_won boolean, rating_a_pre double, rating_b_pre double, probability_a double, elo_delta_a double, team_a_prior long, team_b_prior long"
 
 
-class _Pool:
-    """Ratings and counts of one pool, moved day by day."""
+class Pool:
+    """Ratings and counts of one pool, moved day by day; teams are numbered as they appear."""
 
-    def __init__(self, k: float, scale: float, initial: float, last_wins: bool):
+    def __init__(self, k: float, scale: float, initial: float, last_wins: bool = False):
         self.k, self.scale, self.initial, self.last_wins = k, scale, initial, last_wins
-        self.ratings: dict[int, float] = {}
-        self.counts: dict[int, int] = defaultdict(int)
-
-    def day(self, rows: list[tuple]) -> list[tuple]:
-        """Rows (match_id, game, date, a, b, won) of one date, in order; the state moves once, at the end."""
-        out, moved, played = [], defaultdict(float), defaultdict(int)
-        for match_id, game, date, a, b, won in rows:
-            ra, rb = self.ratings.get(a, self.initial), self.ratings.get(b, self.initial)
-            p = 1.0 / (1.0 + 10.0 ** ((rb - ra) / self.scale))
-            delta = self.k * (float(won) - p)
-            out.append((match_id, game, date, a, b, won, ra, rb, p, delta, self.counts[a], self.counts[b]))
-            for team, d in ((a, delta), (b, -delta)):
-                moved[team] = d if self.last_wins else moved[team] + d
-                played[team] = 1 if self.last_wins else played[team] + 1
-        for team, d in moved.items():
-            self.ratings[team] = self.ratings.get(team, self.initial) + d
-            self.counts[team] += played[team]
-        return out
+        self.place: dict[int, int] = {}
+        self.ratings, self.counts = np.zeros(0), np.zeros(0, np.int64)
+
+    def places(self, teams: np.ndarray) -> np.ndarray:
+        """Places of teams in `ratings` and `counts`; new teams start at the initial rating."""
+        known, which = np.unique(teams, return_inverse=True)
+        at = np.array([self.place.setdefault(t, len(self.place)) for t in known.tolist()], np.int64)
+        more = len(self.place) - len(self.ratings)
+        if more:
+            self.ratings = np.concatenate([self.ratings, np.full(more, self.initial)])
+            self.counts = np.concatenate([self.counts, np.zeros(more, np.int64)])
+        return at[which]
+
+    def day(self, a: np.ndarray, b: np.ndarray, won: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Rows (places of both teams, outcome) of one date, in order; the state moves once, after all of them."""
+        ra, rb, na, nb = self.ratings[a], self.ratings[b], self.counts[a], self.counts[b]
+        p = 1.0 / (1.0 + 10.0 ** ((rb - ra) / self.scale))
+        delta = self.k * (won - p)
+        teams, moves = np.stack([a, b], 1).ravel(), np.stack([delta, -delta], 1).ravel()
+        if self.last_wins:
+            moved = np.zeros(len(self.ratings))
+            moved[teams] = moves  # of a team's rows the last stays
+            self.ratings = self.ratings + moved
+            self.counts[np.unique(teams)] += 1
+        else:
+            np.add.at(self.ratings, teams, moves)
+            np.add.at(self.counts, teams, 1)
+        return ra, rb, p, delta, na, nb
 
 
 def _folded(scale: float, initial: float, last_wins: bool):
     names = [x.split()[0] for x in HISTORY.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, date, today, out = None, None, None, [], []
-
-        def close_day():
-            if today:
-                out.extend((*key, *row) for row in state.day(today))
-                today.clear()
+    numbers = ("rating_a_pre", "rating_b_pre", "probability_a", "elo_delta_a", "team_a_prior", "team_b_prior")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, last, held = None, None, None, None
+
+        def judged(rows: pa.Table) -> pa.RecordBatch:
+            """Whole days of one pool, in order."""
+            days = rows["match_date"].cast(pa.int32()).to_numpy()
+            if (np.diff(days) < 0).any() or (last is not None and days[0] <= last):
+                raise ValueError("dates must rise inside a pool")
+            a, b = (state.places(rows[f"team_{s}_id"].to_numpy()) for s in "ab")
+            won = rows["team_a_won"].cast(pa.int8()).to_numpy().astype(float)
+            cut = [0, *(np.flatnonzero(np.diff(days)) + 1).tolist(), len(days)]
+            made = [state.day(a[s:e], b[s:e], won[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
+            for name, values in zip(numbers, zip(*made, strict=True), strict=True):
+                rows = rows.append_column(name, pa.array(np.concatenate(values)))
+            return rows.select(names).combine_chunks().to_batches()[0]
 
         for batch in batches:
-            for pool, k, match_id, game, day, a, b, won in batch[["pool", "k", "match_id", "game", "match_date", "team_a_id", "team_b_id", "team_a_won"]].itertuples(index=False):
-                if (pool, k) != key:
-                    close_day()
-                    key, state, date = (pool, k), _Pool(k, scale, initial, last_wins), None
-                if day != date:
-                    close_day()
-                    if date is not None and day < date:
-                        raise ValueError("dates must rise inside a pool")
-                    date = day
-                today.append((match_id, game, day, a, b, won))
-            if out:
-                yield pd.DataFrame(out, columns=names)
-                out.clear()
-        if key is not None:
-            close_day()
-        if out:
-            yield pd.DataFrame(out, columns=names)
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            while held.num_rows:
+                pools, ks, days = held["pool"].combine_chunks(), held["k"].to_numpy(), held["match_date"].cast(pa.int32()).to_numpy()
+                codes = pools.dictionary_encode().indices.to_numpy()
+                other = np.flatnonzero((codes != codes[0]) | (ks != ks[0]))
+                if (pools[0].as_py(), float(ks[0])) != key:
+                    key, state, last = (pools[0].as_py(), float(ks[0])), Pool(float(ks[0]), scale, initial, last_wins), None
+                # a pool's last day may go on in the next batch
+                n = other[0] if len(other) else np.flatnonzero(np.append(0, np.diff(days)))[-1:].sum()
+                if not n:
+                    break
+                yield judged(held.slice(0, n))
+                last, held = days[n - 1], held.slice(n)
+        if held is not None and held.num_rows:
+            yield judged(held)
 
     return run
 
@@ -97,7 +117,23 @@ def elo_history(matches: DataFrame, k: float | Sequence[float] = 32.0, pool: str
     )
     order = ["match_date", "match_id", "game"]
     dealt = rows.repartition("pool", "k").sortWithinPartitions("pool", "k", *order)
-    return dealt.mapInPandas(_folded(scale, initial, last_wins), HISTORY)
+    return dealt.mapInArrow(_folded(scale, initial, last_wins), HISTORY)
+
+
+def meeting_pools(matches: DataFrame) -> DataFrame:
+    """(team_id, pool): teams linked by any chain of matches share a pool, named by its smallest team.
+
+    Teams of different pools never move each other, so their ratings can be folded
+    in parallel. Pairs are made distinct first; nothing is collected."""
+    pairs = matches.select(F.col("team_a_id").cast("long").alias("a"), F.col("team_b_id").cast("long").alias("b"))
+    found = connected_components(pairs).select(F.col("node").alias("team_id"), F.col("component").cast("string").alias("pool"))
+    teams = pairs.select(F.explode(F.array("a", "b")).alias("team_id")).distinct()
+    return teams.join(found, "team_id", "left").select("team_id", F.coalesce("pool", F.col("team_id").cast("string")).alias("pool"))
+
+
+def with_pools(matches: DataFrame, pools: DataFrame) -> DataFrame:
+    """Matches with the pool of their teams (see meeting_pools)."""
+    return matches.join(pools.select(F.col("team_id").alias("team_a_id"), "pool"), "team_a_id")
 
 
 def with_unseen(history: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from priorday.operators import rating as R
 from priorday.operators import resolve as J
 from priorday.sources import contests as A
 from priorday.sources import files
+from priorday.sources.shared import written
 
 from .base import DEVELOPMENT, GRID, K, query, sql
 
@@ -21,8 +22,19 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.canonical_filter(A.contests(spark, sf_dir))
 
 
+_pools: dict[tuple[str, str], DataFrame] = {}
+
+
+def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical contests with the pool of their teams; pools are found once per application and written."""
+    made, key = canonical(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if key not in _pools:
+        _pools[key] = written(R.meeting_pools(made), "pools")
+    return R.with_pools(made, _pools[key])
+
+
 def history(spark: SparkSession, sf_dir: str, k=K) -> DataFrame:
-    return R.with_unseen(R.elo_history(canonical(spark, sf_dir), k))
+    return R.with_unseen(R.elo_history(pooled(spark, sf_dir), k, pool="pool"))
 
 
 def r6(*names: str) -> list:
@@ -283,7 +295,7 @@ def elo_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def k_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.k_grid(R.elo_history(canonical(spark, sf_dir), GRID), DEVELOPMENT).select("k", "n", *r6("log_loss", "brier", "accuracy"), "place")
+    return E.k_grid(R.elo_history(pooled(spark, sf_dir), GRID, pool="pool"), DEVELOPMENT).select("k", "n", *r6("log_loss", "brier", "accuracy"), "place")
 
 
 _CUTS = ("1996-12-31", "1997-12-31", "1998-12-31", "1999-12-31", "2000-12-31")
@@ -387,7 +399,7 @@ def days_since_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).replace("\n, seq AS", ",\nseq AS"),
 )
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = X.feature_table(canonical(spark, sf_dir))
+    t = X.feature_table(pooled(spark, sf_dir), pool="pool")
     return t.withColumns({"probability_a": F.round("probability_a", 6), "elo_diff": F.round("elo_diff", 6), "last_5_win_rate_diff": F.round("last_5_win_rate_diff", 9), "last_10_win_rate_diff": F.round("last_10_win_rate_diff", 9)})
 
 

@@ -10,7 +10,7 @@ from priorday.operators import features as X
 from priorday.operators import models as M
 
 from .base import DEVELOPMENT, FOLDS, GRID, TEST_FROM, query, sql
-from .match_queries import canonical, history, r6
+from .match_queries import canonical, history, pooled, r6
 
 _BLOCK = "count(*) AS n_matches, round(avg(log_loss), 6) AS log_loss, round(avg(brier), 6) AS brier_score, round(avg(CAST(correct AS DOUBLE)), 6) AS accuracy, round(avg(CAST(team_a_won AS DOUBLE)), 6) AS team_a_rate, round(avg(CAST(any_team_unseen AS DOUBLE)), 6) AS pct_any_team_unseen, round(avg(confidence), 6) AS average_confidence"
 _ROUNDED = ("log_loss", "brier_score", "accuracy", "team_a_rate", "pct_any_team_unseen", "average_confidence")
@@ -105,7 +105,7 @@ def experience_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.experience_buckets(history(spark, sf_dir)))
 
 
-_DRAWS = 2000
+_DRAWS = E.DRAWS
 
 
 def _boot_sql(value: str, source: str) -> str:
@@ -180,7 +180,7 @@ FEATURE_SETS = {"rating_only": ("elo_diff",), "rating_recent": ("elo_diff", "las
 
 @query("rolling_logistic")
 def rolling_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = M.rolling_logistic(X.feature_table(canonical(spark, sf_dir)), FOLDS, FEATURE_SETS)
+    out, _ = M.rolling_logistic(X.feature_table(pooled(spark, sf_dir), pool="pool"), FOLDS, FEATURE_SETS)
     return out.select("match_id", "match_date", "fold", "team_a_won", *(F.round(m, 5).alias(m) for m in FEATURE_SETS))
 
 

@@ -1,4 +1,4 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables written there to cut lineage."""
 
 from __future__ import annotations
 
@@ -7,18 +7,40 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a fresh local one only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir); a fresh local one where none is set and the master is local."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or getattr(spark, "_priorday_shared", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="priorday-")
         spark._priorday_shared = path
     return path.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: the rows written as Parquet in the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut lineage: write `df` as Parquet in the shared folder and read it back.
+
+    The path is kept on the returned frame as `written_path` so that `forget`
+    can drop a table that nothing reads any more."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")  # the shuffle files of this write are not read again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table made by `written` that nothing reads any more."""
+    spark = df.sparkSession
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)

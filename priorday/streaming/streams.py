@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from priorday.operators.ledger import ledger_append
-from priorday.operators.rating import HISTORY, _Pool
+from priorday.operators.rating import HISTORY, Pool
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -55,17 +56,19 @@ class DayRatings(StatefulProcessor):
         rows = sorted((k[0], v[0], v[1], v[2], v[3]) for k, v in self.open.iterator() if (k[0] + 1) * self.DAY <= end)
         out = []
         for day in sorted({r[0] for r in rows}):
-            pool = _Pool(self.k, self.scale, self.initial, False)
+            pool = Pool(self.k, self.scale, self.initial)
             today = [r for r in rows if r[0] == day]
-            for team in {t for r in today for t in (r[2], r[3])}:
+            a, b = pool.places(np.array([r[2] for r in today])), pool.places(np.array([r[3] for r in today]))
+            for team, at in pool.place.items():
                 state = self.teams.getValue((team,))
                 if state is not None:
-                    pool.ratings[team], pool.counts[team] = state[0], state[1]
+                    pool.ratings[at], pool.counts[at] = state[0], state[1]
             date = (pd.Timestamp(0) + pd.Timedelta(days=day)).date()
-            for m, game, d, a, b, won, ra, rb, p, delta, ca, cb in pool.day([(r[1], 0, date, r[2], r[3], r[4]) for r in today]):
-                out.append((key[0], self.k, m, game, d, a, b, won, ra, rb, p, delta, ca, cb))
-            for team, rating in pool.ratings.items():
-                self.teams.updateValue((team,), (rating, pool.counts[team]))
+            moved = pool.day(a, b, np.array([float(r[4]) for r in today]))
+            for (_, match_id, ta, tb, won), *numbers in zip(today, *(x.tolist() for x in moved), strict=True):
+                out.append((key[0], self.k, match_id, 0, date, ta, tb, won, *numbers))
+            for team, at in pool.place.items():
+                self.teams.updateValue((team,), (float(pool.ratings[at]), int(pool.counts[at])))
             for r in today:
                 self.open.removeKey((day, r[1]))
         if out:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priorday.functions import scalars as S
+from priorday.operators import components
 from priorday.operators import features as X
 from priorday.operators import quality as Q
 from priorday.operators import rating as R
@@ -115,8 +116,42 @@ def test_rosters_are_found_beyond_dates_without_players(spark):
     assert (r.roster_last_size_diff, r.roster_recent_unique_diff, r.any_missing_roster_history) == (2 - 1, 10 - 5, 0)
 
 
+def test_components_of_chains_and_stars(spark):
+    edges = [(i + 1, i) for i in range(100, 140)] + [(5, i) for i in range(6, 30)] + [(1, 2), (2, 1), (3, 3)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 100 for i in range(101, 141)} | {i: 5 for i in range(6, 30)} | {2: 1}
+
+
+def test_pools_of_teams_that_meet_change_no_rating(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        league = rng.choice([0, 10, 20])
+        a, b = rng.sample(range(league, league + 5), 2)
+        rows.append((i, D[rng.randrange(20)], a, b, rng.random() < 0.5))
+    df = spark.createDataFrame([*rows, (900, D[0], 77, 77, True)], COLS)
+    pools = R.meeting_pools(df)
+    assert {(r.team_id, r.pool) for r in pools.collect()} == {(t, str(t // 10 * 10)) for t in (*range(5), *range(10, 15), *range(20, 25))} | {(77, "77")}
+    numbers = lambda h: {r.match_id: (r.rating_a_pre, r.rating_b_pre, r.elo_delta_a, r.team_a_prior, r.team_b_prior) for r in h.collect()}
+    one, many = numbers(R.elo_history(df, 32.0)), numbers(R.elo_history(R.with_pools(df, pools), 32.0, pool="pool"))
+    assert one == many and len(one) == 301
+
+
+def test_days_that_span_batches_move_once(spark, rows):
+    whole = {r.match_id: tuple(r) for r in R.elo_history(spark.createDataFrame(rows, COLS), (16.0, 32.0)).where("k = 32").collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert {r.match_id: tuple(r) for r in R.elo_history(spark.createDataFrame(rows, COLS), (16.0, 32.0)).where("k = 32").collect()} == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert R.elo_history(spark.createDataFrame([], COLS)).count() == 0
+
+
 def test_name_key(spark):
-    assert [S.normalized_name(x) for x in ("QT DIG∞", "Cloud 9", "Éclair ﬁ", None)] == ["qtdig", "cloud9", "eclairfi", None]
+    written = spark.createDataFrame([("QT DIG∞",), ("Cloud 9",), ("Éclair ﬁ",), (None,), ("",), ("Straße №3",)], "n string")
+    got = {r.n: r.k for r in S.with_name_key(written, "n", "k").collect()}
+    assert got == {"QT DIG∞": "qtdig", "Cloud 9": "cloud9", "Éclair ﬁ": "eclairfi", None: None, "": "", "Straße №3": "straeno3"}
     names = spark.createDataFrame([("Cloud9", "1"), ("Cloud 9", "1"), ("TBD", "2"), ("TBD", "3"), (None, "4")], "team_name string, team_id string")
     assert [tuple(r) for r in J.normalized_unique_map(names).collect()] == [("cloud9", "1")]
 
