@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
@@ -33,28 +34,49 @@ def fit_fold(train: DataFrame, c: float = C) -> LogisticRegressionModel | None:
     return lr.fit(train.withColumn("y", F.col("team_a_won").cast("double")))
 
 
-def rolling_logistic(rows: DataFrame, folds: Sequence[tuple[str, str, str]], feature_sets: Mapping[str, Sequence[str]]) -> tuple[DataFrame, DataFrame]:
-    """Out-of-fold probabilities (one row per evaluated match, a column per feature set) and coefficients.
+def _fits(rows: DataFrame, folds: Sequence[tuple[str, str, str]], feature_sets: Mapping[str, Sequence[str]]) -> Iterator[tuple]:
+    """(fold, its rows, feature set's name, features, training statistics, prepared training rows, model or None) of every fit.
 
     The loop runs over folds and feature sets, which are few; each fit is a Spark
-    job over its training rows. A fold with one class has null probabilities."""
+    job over its training rows."""
     wanted = sorted({f for fs in feature_sets.values() for f in fs})
     assigned = fold_assign(written(rows.select("match_id", "match_date", "team_a_won", *wanted), "model-rows"), folds)
     stats = prep_stats(assigned, wanted).collect()  # folds x features
-    out, coefficients = None, []
     for name, _, _ in folds:
         mine = [s for s in stats if s.fold == name]
-        if not mine:
-            continue
         part = assigned.where(F.col("fold") == name)
-        scored = part.where("role = 'evaluate'")
-        for label, features in feature_sets.items():
-            model = fit_fold(prepared(part.where("role = 'train'"), mine, features))
-            if model is None:
-                scored = scored.withColumn(label, F.lit(None).cast("double"))
-                continue
-            coefficients += [(name, label, f, float(w)) for f, w in zip([*features, "intercept"], [*model.coefficients, model.intercept], strict=True)]
-            x = model.transform(prepared(scored, mine, features))
-            scored = x.withColumn(label, vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
-        out = scored if out is None else out.unionByName(scored)
+        for label, features in feature_sets.items() if mine else ():
+            train = prepared(part.where("role = 'train'"), mine, features)
+            yield name, part, label, features, mine, train, fit_fold(train)
+
+
+def rolling_logistic(rows: DataFrame, folds: Sequence[tuple[str, str, str]], feature_sets: Mapping[str, Sequence[str]]) -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold probabilities (one row per evaluated match, a column per feature set) and coefficients.
+
+    A fold with one class has null probabilities."""
+    scored: dict[str, DataFrame] = {}
+    coefficients = []
+    for name, part, label, features, mine, _, model in _fits(rows, folds, feature_sets):
+        x = scored.get(name, part.where("role = 'evaluate'"))
+        if model is None:
+            scored[name] = x.withColumn(label, F.lit(None).cast("double"))
+            continue
+        coefficients += [(name, label, f, float(w)) for f, w in zip([*features, "intercept"], [*model.coefficients, model.intercept], strict=True)]
+        x = model.transform(prepared(x, mine, features))
+        scored[name] = x.withColumn(label, vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
+    out = reduce(DataFrame.unionByName, scored.values()) if scored else None
     return out, rows.sparkSession.createDataFrame(coefficients, "fold string, model string, feature string, weight double")
+
+
+def fit_gradients(rows: DataFrame, folds: Sequence[tuple[str, str, str]], feature_sets: Mapping[str, Sequence[str]], c: float = C) -> DataFrame:
+    """(fold, model, n_train, gradient): the largest slope of the penalised mean loss at each fit, zero at its optimum."""
+    out = []
+    for name, _, label, features, _, train, model in _fits(rows, folds, feature_sets):
+        if model is None:
+            continue
+        miss = vector_to_array("probability")[1] - F.col("team_a_won").cast("double")
+        x = vector_to_array("x")
+        made = model.transform(train).agg(F.count(F.lit(1)).alias("n"), F.avg(miss).alias("b"), *(F.avg(miss * x[i]).alias(f"g{i}") for i in range(len(features)))).first()
+        slopes = [made.b, *(made[f"g{i}"] + w / (c * made.n) for i, w in enumerate(model.coefficients))]
+        out.append((name, label, made.n, float(max(map(abs, slopes)))))
+    return rows.sparkSession.createDataFrame(out, "fold string, model string, n_train long, gradient double")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from priorday.operators import market as M
 from priorday.operators import quality as Q
 from priorday.operators import rating as R
 from priorday.sources import contests as A
-from priorday.sources.shared import shared_dir
+from priorday.sources.shared import scratch
 from priorday.streaming import streams
 
 from .base import NOW, query, sql
@@ -266,14 +264,52 @@ def ledger_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("record_id", "record_type", "match_id", "reason", *r6("p_team_a"))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+_NOW = "TIMESTAMP '{NOW}'"
+_LATEST = "(SELECT match_id, coalesce(arg_max(scheduled_start, (recorded_at, record_id)) FILTER (record_type = 'reschedule'), arg_min(scheduled_start, (recorded_at, record_id))) AS active_start FROM {t} WHERE scheduled_start IS NOT NULL GROUP BY 1)"
+_LIVE = "(SELECT match_id FROM e2 WHERE record_type = 'forecast_generated' AND record_id NOT IN (SELECT refers_to FROM e2 WHERE record_type = 'forecast_superseded'))"
+_EMPTY = "CAST(NULL AS DOUBLE) AS odds_a, CAST(NULL AS DOUBLE) AS odds_b"
+#: One pass step by step: s1 to s6 are what the steps add, e2 and e5 the ledger as the third and the last step see it.
+_STEPS = f""", e0 AS (SELECT record_id, record_type, match_id, recorded_at, scheduled_start, CAST(NULL AS VARCHAR) AS refers_to, CAST(NULL AS VARCHAR) AS reason, odds_a, odds_b FROM old_ledger),
+s1 AS (SELECT 'terminal:' || match_id AS record_id, 'terminal_exclusion' AS record_type, match_id, {_NOW} AS recorded_at, CAST(NULL AS TIMESTAMP) AS scheduled_start, NULL AS refers_to, 'missed_prospective_forecast' AS reason, {_EMPTY}
+ FROM fixtures WHERE scheduled_at <= {_NOW} AND match_id NOT IN (SELECT match_id FROM e0)),
+firsts AS (SELECT match_id, arg_min(record_id, (recorded_at, record_id)) AS refers_to FROM e0 WHERE record_type = 'forecast_generated' GROUP BY 1),
+x AS (SELECT * FROM moved JOIN firsts USING (match_id) WHERE CAST(scheduled_at AS DATE) <> CAST(active_start AS DATE)),
+s2 AS (SELECT 'forecast_superseded:' || refers_to AS record_id, 'forecast_superseded' AS record_type, match_id, {_NOW} AS recorded_at, scheduled_at AS scheduled_start, refers_to, NULL AS reason, {_EMPTY} FROM x
+ UNION ALL SELECT 'forecast:' || match_id, 'forecast_generated', match_id, {_NOW}, scheduled_at, NULL, NULL, NULL, NULL FROM x WHERE scheduled_at > {_NOW}
+ UNION ALL SELECT 'terminal:' || match_id, 'terminal_exclusion', match_id, {_NOW}, scheduled_at, NULL, 'missed_rescheduled_forecast', NULL, NULL FROM x WHERE scheduled_at <= {_NOW}
+ UNION ALL SELECT 'reschedule:' || match_id, 'reschedule', match_id, {_NOW}, scheduled_at, NULL, NULL, NULL, NULL FROM moved
+ UNION ALL SELECT 'primary_superseded:' || record_id, 'primary_market_superseded', match_id, {_NOW}, scheduled_at, record_id, NULL, NULL, NULL FROM moved JOIN e0 USING (match_id) WHERE record_type = 'primary_market_selected'),
+e2 AS (SELECT * FROM e0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2),
+{_RESULTS.rstrip()},
+s3 AS (SELECT 'outcome:' || match_id AS record_id, outcome_type AS record_type, match_id, {_NOW} AS recorded_at, CAST(NULL AS TIMESTAMP) AS scheduled_start, NULL AS refers_to, CASE WHEN outcome_type = 'terminal_exclusion' THEN why END AS reason, {_EMPTY}
+ FROM classed JOIN {_LATEST.format(t="e2")} USING (match_id) WHERE outcome_type IS NOT NULL AND active_start <= {_NOW} AND match_id IN {_LIVE}
+ AND match_id NOT IN (SELECT match_id FROM e2 WHERE record_type IN ('outcome_attached', 'terminal_exclusion'))),
+near AS (SELECT *, least(team_a_name, team_b_name) AS n1, greatest(team_a_name, team_b_name) AS n2 FROM fixtures WHERE (epoch_us(scheduled_at) - epoch_us({_NOW})) / 6e7::DOUBLE BETWEEN 45 AND 75 AND team_a_id <> team_b_id),
+listed AS (SELECT match_id AS event, least(team_a_name, team_b_name) AS n1, greatest(team_a_name, team_b_name) AS n2, scheduled_at + INTERVAL 1 HOUR AS t FROM fixtures),
+pairs AS (SELECT match_id, count(*) OVER (PARTITION BY match_id) AS a, count(*) OVER (PARTITION BY event) AS b FROM near JOIN listed USING (n1, n2) WHERE abs(epoch(scheduled_at) - epoch(t)) <= 7200),
+s4 AS (SELECT 'forecast:' || match_id AS record_id, 'forecast_generated' AS record_type, match_id, {_NOW} AS recorded_at, scheduled_at AS scheduled_start, NULL AS refers_to, NULL AS reason, {_EMPTY}
+ FROM near WHERE match_id IN (SELECT match_id FROM pairs WHERE a = 1 AND b = 1) AND match_id NOT IN {_LIVE}),
+s5 AS (SELECT 'candidate:' || match_id || second AS record_id, 'market_candidate' AS record_type, match_id, min(captured_at) AS recorded_at, arg_min(start, captured_at) AS scheduled_start, NULL AS refers_to, NULL AS reason, odds_a, odds_b
+ FROM (SELECT *, user_id || ':' || strftime(captured_at, '%Y-%m-%d') AS match_id, strftime(captured_at, {_TIME}) AS second FROM quotes WHERE odds_a > 1 AND odds_b > 1) GROUP BY match_id, second, odds_a, odds_b),
+e5 AS (SELECT * FROM e2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4 UNION ALL SELECT * FROM s5),
+s6 AS (SELECT DISTINCT match_id FROM e5 c JOIN {_LATEST.format(t="e5")} l USING (match_id) WHERE record_type = 'market_candidate' AND scheduled_start = active_start AND odds_a > 1 AND odds_b > 1
+ AND (epoch_us(active_start) - epoch_us({_NOW})) / 6e7::DOUBLE < 45 AND (epoch_us(scheduled_start) - epoch_us(recorded_at)) / 6e7::DOUBLE BETWEEN 45 AND 75
+ AND NOT EXISTS (SELECT 1 FROM e5 p WHERE p.record_type = 'primary_market_selected' AND p.match_id = c.match_id AND p.scheduled_start = c.scheduled_start))
+SELECT record_type, coalesce(reason, '') AS reason, count(*) AS n FROM (SELECT record_type, reason FROM s1 UNION ALL SELECT record_type, reason FROM s2 UNION ALL SELECT record_type, reason FROM s3 UNION ALL SELECT record_type, reason FROM s4
+ UNION ALL SELECT record_type, reason FROM s5 UNION ALL SELECT 'primary_market_selected', NULL FROM s6) GROUP BY ALL"""
+
+
+@query("ledger_step_counts", _after(sql(_STEPS, "fixtures", "old_ledger", "moved", "quotes")))
+def ledger_step_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one pass adds, by kind of row and reason."""
+    made = L.ledger_step(A.fixtures(spark, sf_dir), A.odds_events(spark, sf_dir), _quotes_by_match(spark, sf_dir), A.results(spark, sf_dir), old_ledger(spark, sf_dir), states(spark, sf_dir), NOW)
+    return made.groupBy("record_type", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ledger_stream", sql("SELECT record_type, count(*) AS n FROM ledger GROUP BY 1", "ledger"))
 def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger's daily files streamed one a batch, every row twice; counts of what was appended."""
-    home = _scratch(spark, "ledger-stream")
+    home = scratch(spark, "ledger-stream")
     rows = L.as_records(A.ledger(spark, sf_dir))
     rows.unionByName(rows).repartitionByRange(4, "recorded_at").write.parquet(f"{home}/in")
     rows.limit(0).write.parquet(f"{home}/ledger")
@@ -282,12 +318,12 @@ def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.ledger_status(spark.read.schema(rows.schema).parquet(f"{home}/ledger"))
 
 
-@query("elo_stream")
+@query("elo_stream", sql("SELECT 'all' AS pool, match_id, match_date, round(rating_a_pre, 6) AS rating_a_pre, round(rating_b_pre, 6) AS rating_b_pre, round(p, 6) AS probability_a, team_a_prior, team_b_prior FROM history", "history", ks="64.0"))
 def elo_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All contests streamed in date order in one pool, as in elo_history; every day's ratings.
 
     A last row in a pool of its own moves the watermark past the last day; its day stays open."""
-    home = _scratch(spark, "elo-stream")
+    home = scratch(spark, "elo-stream")
     c = canonical(spark, sf_dir).select(F.lit("all").alias("pool"), F.col("match_date").cast("timestamp").alias("played_at"), "match_id", "team_a_id", "team_b_id", "team_a_won")
     first, last = c.agg(F.min(F.year("played_at")), F.max(F.year("played_at"))).first()
     for year in range(first or 0, (last or 0) + 1):  # files are streamed in the order they were written

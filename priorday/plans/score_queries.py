@@ -184,6 +184,17 @@ def rolling_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("match_id", "match_date", "fold", "team_a_won", *(F.round(m, 5).alias(m) for m in FEATURE_SETS))
 
 
+_STARTS = ", ".join(f"('{n}', DATE '{a}')" for n, a, _ in FOLDS)
+_MODELS = ", ".join(f"('{m}')" for m in FEATURE_SETS)
+
+
+@query("logistic_optimum", sql(f"SELECT fold, model, count(*) AS n_train, true AS optimal FROM canonical, (VALUES {_STARTS}) f(fold, s), (VALUES {_MODELS}) m(model) WHERE match_date < s GROUP BY fold, model", "canonical"))
+def logistic_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fold's fits with their training rows, and whether the slope of the penalised loss is zero there."""
+    g = M.fit_gradients(X.feature_table(pooled(spark, sf_dir), pool="pool"), FOLDS, FEATURE_SETS)
+    return g.select("fold", "model", "n_train", (F.col("gradient") < 1e-5).alias("optimal"))
+
+
 @query(
     "oof_metrics",
     _after(

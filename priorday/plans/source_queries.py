@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priorday.operators import resolve as J
 from priorday.sources import contests as A
 from priorday.sources import files
-from priorday.sources.shared import shared_dir
+from priorday.sources.shared import scratch
 
 from .base import query, sql
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh place in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def _as_csv(rows: DataFrame, path: str, *by: str) -> str:
     rows.write.partitionBy(*by).option("header", True).option("escape", '"').csv(path)
     return path

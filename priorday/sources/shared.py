@@ -21,13 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write `df` as Parquet in the shared folder and read it back.
 
     The path is kept on the returned frame as `written_path` so that `forget`
     can drop a table that nothing reads any more."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, name)
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")  # the shuffle files of this write are not read again
     try:

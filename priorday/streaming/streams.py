@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,50 +29,66 @@ def ledger_stream(records: DataFrame, read: Callable[[], DataFrame], path: str,
 
 
 class DayRatings(StatefulProcessor):
-    """Holds a pool's open days; when the watermark passes a day's end, the day moves the ratings and is emitted."""
+    """Holds a pool's open days; when the watermark passes a day's end, the day moves the ratings and is emitted.
+
+    State is two values a pool, arrays packed as bytes: the rows of open days, and the
+    teams with ratings and counts. One timer stands at the end of the first open day."""
 
     DAY = 86_400_000
+    OPEN = {"day": np.int64, "match_id": np.int64, "a": np.int64, "b": np.int64, "won": np.bool_}
+    TEAMS = {"team": np.int64, "rating": np.float64, "n": np.int64}
 
     def __init__(self, k: float, scale: float, initial: float):
         self.k, self.scale, self.initial = k, scale, initial
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "day long, row_id long", "match_id long, a long, b long, won boolean")
-        self.teams = handle.getMapState("teams", "team long", "rating double, n long")
+        self.open = handle.getValueState("open", ", ".join(f"{c} binary" for c in self.OPEN))
+        self.teams = handle.getValueState("teams", ", ".join(f"{c} binary" for c in self.TEAMS))
+
+    @staticmethod
+    def _held(state, kinds: dict[str, type]) -> list[np.ndarray]:
+        raw = state.get() if state.exists() else [b""] * len(kinds)
+        return [np.frombuffer(x, kind) for x, kind in zip(raw, kinds.values(), strict=True)]
+
+    @staticmethod
+    def _hold(state, columns: Iterable[np.ndarray], kinds: dict[str, type]) -> None:
+        state.update(tuple(np.asarray(x, kind).tobytes() for x, kind in zip(columns, kinds.values(), strict=True)))
+
+    def _wait(self, days: np.ndarray) -> None:
+        if len(days):
+            self.handle.registerTimer((int(days.min()) + 1) * self.DAY)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        days = set()
+        parts = [self._held(self.open, self.OPEN)]
         for batch in rows:
-            for day, match_id, a, b, won in zip(batch["day"].tolist(), batch["match_id"].tolist(), batch["team_a_id"].tolist(), batch["team_b_id"].tolist(), batch["team_a_won"].tolist(), strict=True):
-                self.open.updateValue((day, match_id), (match_id, a, b, bool(won)))
-                days.add(day)
-        for day in days:
-            self.handle.registerTimer((day + 1) * self.DAY)
+            parts.append([batch[c].to_numpy() for c in ("day", "match_id", "team_a_id", "team_b_id", "team_a_won")])
+        day, match_id, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((match_id, day))
+        last = np.append((np.diff(day[order]) != 0) | (np.diff(match_id[order]) != 0), True)  # of a match sent twice the later row stays
+        self._hold(self.open, (x[order][last] for x in (day, match_id, *rest)), self.OPEN)
+        self._wait(day)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         end = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())  # all closed days at once, in order
-        rows = sorted((k[0], v[0], v[1], v[2], v[3]) for k, v in self.open.iterator() if (k[0] + 1) * self.DAY <= end)
-        out = []
-        for day in sorted({r[0] for r in rows}):
+        rows = self._held(self.open, self.OPEN)
+        n = int(np.searchsorted((rows[0] + 1) * self.DAY, end, "right"))
+        if n:
+            day, match_id, a, b, won = (x[:n] for x in rows)
             pool = Pool(self.k, self.scale, self.initial)
-            today = [r for r in rows if r[0] == day]
-            a, b = pool.places(np.array([r[2] for r in today])), pool.places(np.array([r[3] for r in today]))
-            for team, at in pool.place.items():
-                state = self.teams.getValue((team,))
-                if state is not None:
-                    pool.ratings[at], pool.counts[at] = state[0], state[1]
-            date = (pd.Timestamp(0) + pd.Timedelta(days=day)).date()
-            moved = pool.day(a, b, np.array([float(r[4]) for r in today]))
-            for (_, match_id, ta, tb, won), *numbers in zip(today, *(x.tolist() for x in moved), strict=True):
-                out.append((key[0], self.k, match_id, 0, date, ta, tb, won, *numbers))
-            for team, at in pool.place.items():
-                self.teams.updateValue((team,), (float(pool.ratings[at]), int(pool.counts[at])))
-            for r in today:
-                self.open.removeKey((day, r[1]))
-        if out:
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in HISTORY.split(", ")])
+            teams, ratings, counts = self._held(self.teams, self.TEAMS)
+            pool.places(teams)
+            pool.ratings[:], pool.counts[:] = ratings, counts
+            at, bt = pool.places(a), pool.places(b)
+            cut = [0, *(np.flatnonzero(np.diff(day)) + 1).tolist(), n]
+            made = [np.concatenate(x) for x in zip(*(pool.day(at[s:e], bt[s:e], won[s:e].astype(float)) for s, e in zip(cut[:-1], cut[1:], strict=True)), strict=True)]
+            self._hold(self.teams, (np.array(list(pool.place)), pool.ratings, pool.counts), self.TEAMS)
+            self._hold(self.open, (x[n:] for x in rows), self.OPEN)
+            dates = (pd.Timestamp(0) + pd.to_timedelta(day, "D")).date
+            columns = (key[0], self.k, match_id, 0, dates, a, b, won, *made)
+            yield pd.DataFrame(dict(zip((x.split()[0] for x in HISTORY.split(", ")), columns, strict=True)))
+        self._wait(rows[0][n:])
 
     def close(self) -> None:
         pass
