@@ -1,52 +1,26 @@
-"""Shared helpers: the shared folder, written tables, Arrow slices and span hashes."""
+"""Shared helpers: written tables, Arrow slices and span hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-SLICE_BYTES = 2 << 20  # text handled at once inside a Python worker
+from priorday.sources.shared import forget, shared_dir, written
 
+__all__ = ["forget", "shared_dir", "written", "batched", "byte_values", "mixed", "offsets", "powers", "prefix_sums", "salted_join", "slices", "span_hash", "text_bytes", "word_hashes", "word_spans"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a fresh local one only where none is set."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or getattr(spark, "_priorday_shared", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="priorday-")
-        spark._priorday_shared = path
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write `df` as Parquet in the shared folder and read it back.
-
-    The path is kept on the returned frame as `written_path` so that `forget`
-    can drop a table that a later one has replaced."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")  # the shuffle files of this write are not read again
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_path = path
-    return out
+SLICE_BYTES = 2 << 20  # text handled at once inside a Python worker
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table made by `written` that nothing reads any more."""
-    spark = df.sparkSession
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def salted_join(rows: DataFrame, one: DataFrame, key: str, spread: Column, salts: int = 8) -> DataFrame:
+    """Inner join of `rows` with `one` (a row per key): rows of a hot key are dealt to several tasks by `spread`."""
+    many = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(many, [key, "salt"]).drop("salt")
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -141,7 +115,10 @@ def prefix_sums(values: np.ndarray) -> np.ndarray:
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit content hashes of spans; equal content gives equal hashes wherever it stands."""
+    """64-bit content hashes of spans; equal content gives equal hashes wherever it stands.
+
+    For spans of up to some hundred values; long regular sequences can collide, so
+    whole words, lines and regions are hashed by other means."""
     with np.errstate(over="ignore"):
         inverse = powers(_INVERSE, len(sums))
         return mixed((sums[end] - sums[start]) * inverse[start])
@@ -167,5 +144,25 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, off)
 
 
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG_WORD = 64  # bytes from which a word is hashed by itself
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_sums(byte_values(data)), starts, ends)
+    """64-bit hashes of byte spans: eight bytes at a time over all short spans at once, XXH3 for long ones.
+
+    No sum of powers is taken over the bytes, which unequal strings can share."""
+    n = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = mixed(n.astype(np.uint64) + np.uint64(1))
+    for at in range(0, LONG_WORD, 8):
+        live = np.flatnonzero((n > at) & (n <= LONG_WORD))
+        if not len(live):
+            break
+        out[live] = mixed(out[live] ^ (lanes[starts[live] + at] & _LOW[np.minimum(n[live] - at, 8)]))
+    long = np.flatnonzero(n > LONG_WORD)
+    if len(long):
+        raw = data.tobytes()
+        out[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out

@@ -8,44 +8,53 @@ import numpy as np
 def suffix_array(codes: np.ndarray) -> np.ndarray:
     """Suffix array of non-negative codes by Larsson-Sadakane refinement.
 
-    The first sort packs as many codes as fit into one key. Later rounds double
-    the sorted depth and touch only groups that are still tied. The end of the
-    sequence sorts before every code."""
+    The first sort packs as many codes as fit into one key beside the position.
+    Later rounds double the sorted depth and touch only groups that are still
+    tied. The end of the sequence sorts before every code."""
     n = len(codes)
     if n < 2:
         return np.arange(n, dtype=np.int64)
-    width = int(codes.max()) + 2
-    key, depth = codes.astype(np.int64) + 1, 1
-    while width ** (2 * depth) < 1 << 62:
-        ahead = np.zeros(n, np.int64)
-        if depth < n:
-            ahead[:-depth] = key[depth:]
-        key, depth = key * width**depth + ahead, 2 * depth
-    sa = np.argsort(key)
+    present = np.zeros(int(codes.max()) + 1, np.int64)
+    present[codes] = 1
+    one = np.cumsum(present)[codes]  # 1, 2, ... in the order of the codes; 0 is the end
+    bits, room = int(one.max()).bit_length(), n.bit_length()
+    depth = max(1, (63 - room) // bits)
+    key = one.copy()
+    for d in range(1, depth):
+        key <<= bits
+        if d < n:
+            key[:-d] |= one[d:]
     where = np.arange(n, dtype=np.int64)
-    rank = np.empty(n, np.int64)
-    tied = _regroup(sa, key[sa], where, rank)
+    rank = np.zeros(n + 1, np.int64)  # from 1; the end has 0
+    sa, key = _ordered(key, where, room)
+    tied = _regroup(sa, key, where, rank)
     while len(tied):
         pos = sa[tied]
-        ahead = np.zeros(len(pos), np.int64)
-        there = pos + depth < n
-        ahead[there] = rank[pos[there] + depth] + 1
-        pair = rank[pos] * (n + 1) + ahead
-        by = np.argsort(pair)
-        sa[tied] = pos = pos[by]
-        tied = _regroup(pos, pair[by], tied, rank)
+        pos, pair = _ordered(rank[pos] << room | rank[np.minimum(pos + depth, n)], pos, room)
+        sa[tied] = pos
+        tied = _regroup(pos, pair, tied, rank)
         depth *= 2
     return sa
 
 
+def _ordered(key: np.ndarray, pos: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions by key, and the sorted keys; both travel in one word where `room` bits for the position are left."""
+    if int(key.max()).bit_length() + room < 64:
+        both = key << room | pos
+        both.sort()
+        return both & ((1 << room) - 1), both >> room
+    by = np.argsort(key)
+    return pos[by], key[by]
+
+
 def _regroup(pos: np.ndarray, key: np.ndarray, where: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Set the ranks of suffixes sorted by `key`; return the places that are still tied."""
     first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    rank[pos] = where[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-    alone = first.copy()
-    alone[:-1] &= first[1:]
-    return where[~alone]
+    np.not_equal(key[1:], key[:-1], out=first[1:])
+    start = np.flatnonzero(first)
+    size = np.diff(start, append=len(key))
+    rank[pos] = np.repeat(where[start] + 1, size)
+    return where[np.repeat(size > 1, size)]
 
 
 def common_prefixes(codes: np.ndarray, sa: np.ndarray) -> np.ndarray:

@@ -6,14 +6,17 @@ A byte goes if some `length`-byte string that covers it also starts elsewhere.
    a window (leftmost on ties) depends on the window's bytes alone, so equal
    windows always have equal anchors. Consecutive windows with one anchor form a
    region. Anchors that occur once cannot hold a repeat and end here.
-2. Regions with equal content are counted together; one of each is cut from its
-   text and sent to a shard by anchor, so equal windows meet in one shard.
+2. Regions with equal content are one kind, counted together; all windows of a
+   kind that occurs twice are repeated. Two kinds can share a window only if they
+   agree on the anchor and half of the rest, on its left or on its right. Kinds
+   that share either half with another kind are cut from a text and sent to a
+   shard by anchor, so equal windows meet in one shard.
 3. In each shard a suffix array (Larsson-Sadakane refinement) and Kasai's common
    prefixes give the intervals of equal windows; those with two or more
    occurrences are repeated.
-4. An anchor with very many different regions is spread over several shards. Each
-   sends its window digests to range-split merge groups, where the runs are
-   sorted and joined by binary search.
+4. The kinds of an anchor with more than `spread` of them are dealt to several
+   shards. Each sends its window digests to range-split merge groups, as many as
+   the kinds need, where the runs are sorted and joined by binary search.
 5. Repeated windows go back to every occurrence and merge into maximal spans.
 
 Defined results: null and empty texts, and texts shorter than `length`, lose
@@ -28,16 +31,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, byte_values, prefix_sums, span_hash, text_bytes, written
+from .common import batched, byte_values, forget, prefix_sums, salted_join, span_hash, text_bytes, written
 from .suffix import common_prefixes, suffix_array
 
 LENGTH = 400
 GRAM = 32
-SHARD_BYTES = 2 << 20  # region bytes of a shard
-SPREAD = 3000  # different regions of one anchor beyond which it is spread over shards
+SHARD_BYTES = 256 << 10  # region bytes of a shard
+SPREAD = 500  # different regions of one anchor beyond which it is spread over shards
+MERGE_KINDS = 2000  # regions of a spread anchor for each of its merge groups
 SLICE = 1 << 20  # text bytes whose windows are hashed at once
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -56,13 +61,15 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def regions(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Anchor hash, content hash, text number, first window and window count of every region."""
+def regions(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray] | None:
+    """Every region: text number, anchor hash, content hash, first window, window count, and its halves.
+
+    left and right are hashes of the anchor with half of a window's other bytes on
+    that side (has_left, has_right: the region reaches so far)."""
     size = np.diff(off)
     counts = np.maximum(size - length + 1, 0)
-    none = np.zeros(0, np.int64)
     if not counts.any():
-        return none, none, none, none, none
+        return None
     sums = prefix_sums(byte_values(data))
     at = np.arange(len(data) - gram + 1)
     grams = span_hash(sums, at, at + gram)
@@ -74,22 +81,27 @@ def regions(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[
     head[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(head)
     n = np.diff(np.append(first, len(start)))
-    begin = start[first]
-    content = span_hash(sums, begin, begin + n + length - 1)
-    text = owner[first]
-    return grams[anchor[first]].view(np.int64), content.view(np.int64), text, begin - off[text], n
+    begin, anchor, text = start[first], anchor[first], owner[first]
+    end, half, raw = begin + n + length - 1, (length - gram) // 2, data.tobytes()
+    content = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.uint64)
+    has_left, has_right = anchor - half >= begin, anchor + gram + half <= end
+    left = span_hash(sums, np.where(has_left, anchor - half, anchor), anchor + gram)
+    right = ~span_hash(sums, anchor, np.where(has_right, anchor + gram + half, anchor + gram))
+    return {"text": text, "anchor": grams[anchor].view(np.int64), "content": content.view(np.int64), "first": begin - off[text], "n": n, "left": left.view(np.int64), "right": right.view(np.int64), "has_left": has_left, "has_right": has_right}
 
 
 def window_groups(texts: list[bytes], n_windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of some regions in suffix order: region, window number, and group of equal windows."""
+    """Windows of some regions in suffix order: region, window number, and group of equal windows.
+
+    Regions are joined by a code below all bytes; windows end before it, so common
+    prefixes that run past it change no group."""
     sizes = np.array([len(t) for t in texts])
     base = np.concatenate([[0], np.cumsum(sizes + 1)])
-    joined = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-    codes = joined.astype(np.int64) + len(texts)
-    codes[base[1:] - 1] = np.arange(len(texts))  # each end differs, so no match runs past it
+    codes = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
+    codes[base[1:] - 1] = 0
     sa = suffix_array(codes)
     prefix = common_prefixes(codes, sa)
-    region = np.searchsorted(base, sa, "right") - 1
+    region = np.repeat(np.arange(len(texts)), sizes + 1)[sa]
     window = sa - base[region]
     group = np.cumsum(prefix[sa] < length)
     real = window < n_windows[region]
@@ -107,7 +119,7 @@ def _marked(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
 
 
-OCCURRENCE = "anchor long, content long, doc_id long, mark long, first long, n int"
+OCCURRENCE = "anchor long, content long, doc_id long, mark long, first long, n int, left long, right long"
 KEY = ["anchor", "content", "n"]
 
 
@@ -115,27 +127,49 @@ def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Every region of every text (see OCCURRENCE)."""
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        data, off = text_bytes(batch.column("text"))
-        anchor, content, text, first, n = regions(data, off, length, gram)
-        if not len(anchor):
+        found = regions(*text_bytes(batch.column("text")), length, gram)
+        if found is None:
             return None
-        by = pa.array(text)
-        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), batch.column("doc_id").take(by), batch.column("mark").take(by), pa.array(first), pa.array(n.astype(np.int32))], names=[x.split()[0] for x in OCCURRENCE.split(", ")])
+        by = pa.array(found["text"])
+        columns = {
+            **{c: pa.array(found[c]) for c in ("anchor", "content", "first")},
+            **{c: batch.column(c).take(by) for c in ("doc_id", "mark")},
+            **{c: pa.array(found[c], mask=~found[f"has_{c}"]) for c in ("left", "right")},
+            "n": pa.array(found["n"].astype(np.int32)),
+        }
+        names = [x.split()[0] for x in OCCURRENCE.split(", ")]
+        return pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
     return _marked(docs).mapInArrow(batched(find, "text", SLICE), OCCURRENCE)
 
 
-def repeated_windows(docs: DataFrame, occ: DataFrame, length: int, shard_bytes: int, spread: int) -> DataFrame:
-    """(anchor, content, n, runs): the windows of each kind of region that occur twice or more."""
-    kinds = occ.groupBy(*KEY).agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "mark", "first")).alias("at"))
-    kinds = kinds.join(occ.groupBy("anchor").agg(F.count("*").alias("all_times")).where("all_times > 1"), "anchor")
-    kinds = written(kinds.select(*KEY, "times", "at", F.count("*").over(Window.partitionBy("anchor")).alias("n_kinds")), "region-kinds")
-    total = kinds.agg(F.sum(F.col("n") + F.lit(length))).first()[0] or 0
-    shards = int(total // shard_bytes) + 1
+def region_kinds(occ: DataFrame) -> DataFrame:
+    """(anchor, content, n, left, right, times, doc_id, mark, first, n_kinds): regions of equal content, with one of
+    their places, if their anchor occurs more than once; n_kinds is how many of them it has."""
+    one = [F.first(c).alias(c) for c in ("left", "right", "doc_id", "mark", "first")]
+    kinds = occ.groupBy(*KEY).agg(F.count("*").alias("times"), *one)
+    kinds = written(kinds, "kinds-of-regions")
+    anchors = kinds.groupBy("anchor").agg(F.sum("times").alias("all_times"), F.count("*").alias("n_kinds")).where("all_times > 1").drop("all_times")
+    out = written(kinds.join(anchors, "anchor"), "region-kinds")
+    forget(kinds)
+    return out
+
 
-    wanted = kinds.select(F.col("at.doc_id").alias("doc_id"), F.col("at.mark").alias("mark"), F.struct(F.col("at.first").alias("first"), *KEY, "times", "n_kinds").alias("r"))
-    wanted = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("mark").alias("w_mark")).agg(F.collect_list("r").alias("rs"))
-    whole = _marked(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark"))).select("text", "rs")
+def half_shared(kinds: DataFrame) -> DataFrame:
+    """The kinds that share a half with another kind."""
+    sides = kinds.where("n_kinds > 1").withColumn("half", F.explode(F.array("left", "right"))).where("half is not null")
+    shared = sides.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
+    return salted_join(sides, shared, "half", F.col("content")).drop("half", "left", "right").dropDuplicates(KEY)
+
+
+def repeated_windows(docs: DataFrame, kinds: DataFrame, length: int, shard_bytes: int, spread: int) -> DataFrame:
+    """(anchor, content, n, runs): the windows of each kind that occur twice or more; null runs are all of them."""
+    wanted = written(half_shared(kinds), "wanted-kinds")
+    total = wanted.agg(F.sum(F.col("n") + F.lit(length))).first()[0] or 0
+    shards = int(total // shard_bytes) + 1
+    carried = [*KEY, "times", "n_kinds"]
+    per_text = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("mark").alias("w_mark")).agg(F.collect_list(F.struct("first", *carried)).alias("rs"))
+    whole = _marked(docs).join(per_text, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark"))).select("text", "rs")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, off = text_bytes(batch.column("text"))
@@ -146,17 +180,18 @@ def repeated_windows(docs: DataFrame, occ: DataFrame, length: int, shard_bytes:
         base = np.repeat(off[:-1], count) + flat.field("first").to_numpy()
         size = flat.field("n").to_numpy() + length - 1
         body = [raw[a : a + b] for a, b in zip(base.tolist(), size.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([*(flat.field(c) for c in (*KEY, "times", "n_kinds")), pa.array(body, pa.binary())], names=[*KEY, "times", "n_kinds", "body"])
+        return pa.RecordBatch.from_arrays([*(flat.field(c) for c in carried), pa.array(body, pa.binary())], names=[*carried, "body"])
 
-    bodies = whole.mapInArrow(batched(cut, "text"), "anchor long, content long, n int, times long, n_kinds long, body binary").dropDuplicates(KEY)
+    bodies = whole.mapInArrow(batched(cut, "text"), "anchor long, content long, n int, times long, n_kinds long, body binary")
     parts = F.greatest(F.ceil(F.col("n_kinds") / F.lit(spread)), F.lit(1))
     shard = F.when(parts > 1, F.xxhash64("anchor", F.pmod("content", parts))).otherwise(F.xxhash64("anchor"))
     bodies = bodies.withColumn("spread", parts > 1).withColumn("shard", F.pmod(shard, F.lit(shards)))
 
     def search(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
+        keys = np.stack([table[c].to_numpy().astype(np.int64) for c in KEY], 1)
+        table = table.take(pa.array(np.unique(keys, axis=0, return_index=True)[1]))  # rows of one doc_id and text bring a region twice
         texts, n = table["body"].to_pylist(), table["n"].to_numpy().astype(np.int64)
-        times, wide = table["times"].to_numpy(), table["spread"].to_numpy(zero_copy_only=False)
+        times, wide = table["times"].to_numpy(), table["spread"].to_numpy()
         region, window, group = window_groups(texts, n, length)
         _, group = np.unique(group, return_inverse=True)
         total = np.bincount(group, times[region]).astype(np.int64)
@@ -170,38 +205,38 @@ def repeated_windows(docs: DataFrame, occ: DataFrame, length: int, shard_bytes:
         for r in np.flatnonzero(wide).tolist():
             row = b"".join(hashlib.blake2b(texts[r][i : i + length], digest_size=16).digest() for i in range(int(n[r])))
             side[r] = (row, counted[base[r] : base[r] + n[r]].astype("<i8").tobytes())
-        return pa.table({**{c: table[c] for c in (*KEY, "spread", "shard")}, "runs": pa.array(runs, pa.binary()), "digests": pa.array([side.get(i, (None, None))[0] for i in range(len(texts))], pa.binary()), "totals": pa.array([side.get(i, (None, None))[1] for i in range(len(texts))], pa.binary())})
+        return pa.table({**{c: table[c] for c in (*carried, "spread", "shard")}, "runs": pa.array(runs, pa.binary()), "digests": pa.array([side.get(i, (None, None))[0] for i in range(len(texts))], pa.binary()), "totals": pa.array([side.get(i, (None, None))[1] for i in range(len(texts))], pa.binary())})
 
-    found = bodies.groupBy("shard").applyInArrow(search, "anchor long, content long, n int, spread boolean, shard long, runs binary, digests binary, totals binary")
+    found = bodies.groupBy("shard").applyInArrow(search, "anchor long, content long, n int, times long, n_kinds long, spread boolean, shard long, runs binary, digests binary, totals binary")
     found = written(found, "shard-repeats")
-    local = found.select(*KEY, "runs")
-    if not found.where("spread").limit(1).count():
-        return local
-    return local.unionByName(merged_shards(found.where("spread")))
-
-
-MERGE_GROUPS = 64  # range splits of the digests of a spread anchor
+    forget(wanted)
+    local = found.where("times = 1 and length(runs) > 0").select(*KEY, "runs")
+    often = kinds.where("times > 1").select(*KEY, F.lit(None).cast("binary").alias("runs"))
+    return often.unionByName(local).unionByName(merged_shards(found.where("spread")))
 
 
 def merged_shards(found: DataFrame) -> DataFrame:
     """Windows of spread anchors that several shards hold, by binary search in merged runs.
 
-    Each region's digests are split into fixed digest ranges. In a range the
-    distinct digests of all shards form one sorted run; each shard's own run is
-    looked up in it, and windows whose counts over shards reach two come back."""
-    names = ["anchor", "part", "shard", "content", "n", "windows", "digests", "totals"]
+    Each region's digests are split into digest ranges, as many as its anchor's
+    kinds need. In a range the distinct digests of all shards form one sorted run;
+    each shard's own run is looked up in it, and windows of kinds that occur once
+    whose counts over shards reach two come back."""
+    names = ["anchor", "part", "shard", "content", "n", "times", "windows", "digests", "totals"]
 
     def split(batches):
         for batch in batches:
             out = []
-            for anchor, content, n, shard, digests, totals in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "n", "shard", "digests", "totals")), strict=True):
+            for anchor, content, n, times, n_kinds, shard, digests, totals in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "n", "times", "n_kinds", "shard", "digests", "totals")), strict=True):
                 whole, t = np.frombuffer(digests, np.uint8).reshape(-1, 16), np.frombuffer(totals, "<i8")
-                part = whole[:, 0].astype(np.int64) * MERGE_GROUPS // 256
+                groups = min(-(-n_kinds // MERGE_KINDS), 1 << 24)
+                high = np.ascontiguousarray(whole[:, :4]).view(">u4").ravel().astype(np.int64)
+                part = high * groups >> 32
                 for p in np.unique(part).tolist():
                     at = np.flatnonzero(part == p)
-                    out.append((anchor, p, shard, content, n, at.astype(np.uint32).tobytes(), whole[at].tobytes(), t[at].tobytes()))
+                    out.append((anchor, p, shard, content, n, times, at.astype(np.uint32).tobytes(), whole[at].tobytes(), t[at].tobytes()))
             if out:
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     def merge(table: pa.Table) -> pa.Table:
@@ -221,21 +256,24 @@ def merged_shards(found: DataFrame) -> DataFrame:
             hit = np.zeros(cols["n"][i], bool)
             hit[w[count[place[at : at + len(w)]] > 1]] = True
             at += len(w)
-            if hit.any():
+            if hit.any() and cols["times"][i] == 1:
                 out.append((cols["anchor"][i], cols["content"][i], cols["n"][i], _runs(hit)))
         columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
         return pa.table({c: pa.array(x, k) for c, x, k in zip((*KEY, "runs"), columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)})
 
-    schema = "anchor long, part int, shard long, content long, n int, windows binary, digests binary, totals binary"
-    return found.select("anchor", "content", "n", "shard", "digests", "totals").mapInArrow(split, schema).groupBy("anchor", "part").applyInArrow(merge, "anchor long, content long, n int, runs binary")
+    schema = "anchor long, part int, shard long, content long, n int, times long, windows binary, digests binary, totals binary"
+    return found.select("anchor", "content", "n", "times", "n_kinds", "shard", "digests", "totals").mapInArrow(split, schema).groupBy("anchor", "part").applyInArrow(merge, "anchor long, content long, n int, runs binary")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, spread: int = SPREAD) -> DataFrame:
     """One row per row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256."""
     occ = written(occurrences(docs, length, gram), "regions")
-    found = repeated_windows(docs, occ, length, shard_bytes, spread).where(F.length("runs") > 0)
-    spans = occ.join(found, KEY).groupBy(F.col("doc_id").alias("s_id"), F.col("mark").alias("s_mark")).agg(F.collect_list(F.struct("first", "runs")).alias("spans"))
+    kinds = region_kinds(occ)
+    found = repeated_windows(docs, kinds, length, shard_bytes, spread)
+    spans = occ.select(*KEY, "doc_id", "mark", "first").join(found, KEY).groupBy(F.col("doc_id").alias("s_id"), F.col("mark").alias("s_mark")).agg(F.collect_list(F.struct("first", "n", "runs")).alias("spans"))
     spans = written(spans, "repeat-spans")
+    forget(occ)
+    forget(kinds)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, off = text_bytes(batch.column("text"))
@@ -244,7 +282,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
             text = data[off[i] : off[i + 1]]
             edge = np.zeros(len(text) + 1, np.int64)
             for span in found or ():
-                run = np.frombuffer(span["runs"], np.uint32).reshape(-1, 2).astype(np.int64)
+                run = np.array([[0, span["n"]]]) if span["runs"] is None else np.frombuffer(span["runs"], np.uint32).reshape(-1, 2).astype(np.int64)
                 np.add.at(edge, run[:, 0] + span["first"], 1)
                 np.add.at(edge, run[:, 0] + span["first"] + run[:, 1] + length - 1, -1)
             gone = np.cumsum(edge[:-1]) > 0
