@@ -96,7 +96,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
   UNION ALL SELECT match_id, match_date, team_a_id, team_b_id, part_b, 2, CAST(price_a AS DOUBLE), CAST(price_b AS DOUBLE) FROM canonical) JOIN part ON p_partkey = part WHERE a <> b""",
     ),
     "lineups": ((), "SELECT o_orderkey AS match_id, CAST(o_orderdate AS DATE) AS match_date, l_suppkey AS team_id, 'P' || (l_partkey % 7) AS player FROM lineitem JOIN orders ON l_orderkey = o_orderkey"),
-    "named_ids": ((), r"SELECT regexp_extract(text, '^([^\x20\x09-\x0D]+)', 1) AS team_name, doc_id % 50 AS team_id FROM documents"),
+    "named_ids": ((), r"SELECT DISTINCT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS team_name, doc_id % 50 AS team_id FROM documents"),
     "keyed_names": (("named_ids",), "SELECT team_name, team_id, regexp_replace(lower(strip_accents(team_name)), '[^a-z0-9]+', '', 'g') AS name_key FROM named_ids"),
     "quotes": (
         (),

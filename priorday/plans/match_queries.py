@@ -29,7 +29,7 @@ def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical contests with the pool of their teams; pools are found once per application and written."""
     made, key = canonical(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
     if key not in _pools:
-        _pools[key] = written(R.meeting_pools(made), "pools")
+        _pools[key] = written(R.meeting_pools(made), "pools", keep=True)
     return R.with_pools(made, _pools[key])
 
 
@@ -210,7 +210,8 @@ def normalized_unique_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.normalized_unique_map(A.named_ids(spark, sf_dir))
 
 
-_OLD, _NEW = "1998-01-01", "2000-01-01"
+_NEW = "2000-01-01"
+_FORMER = "SELECT CAST(team_{s}_id AS VARCHAR) AS team_id, CASE WHEN team_{s}_id % 3 = 0 THEN team_{s}_name || ' II' ELSE team_{s}_name END AS name FROM canonical WHERE match_date < DATE '" + _NEW + "'"
 
 
 @query(
@@ -220,16 +221,16 @@ _OLD, _NEW = "1998-01-01", "2000-01-01"
   SELECT provider_id, provider_name, historical_id, row_number() OVER (PARTITION BY provider_id ORDER BY historical_id IS NULL, provider_name) AS rn FROM (
    SELECT DISTINCT CAST(team_id + 1000 AS VARCHAR) AS provider_id, upper(name) AS provider_name FROM (
     SELECT team_a_id AS team_id, team_a_name AS name FROM canonical WHERE match_date >= DATE '{_NEW}' UNION ALL SELECT team_b_id, team_b_name FROM canonical WHERE match_date >= DATE '{_NEW}')) t
-  LEFT JOIN (SELECT regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key, min(CAST(team_id AS VARCHAR)) AS historical_id FROM (
-    SELECT team_a_id AS team_id, team_a_name AS name FROM canonical WHERE match_date < DATE '{_OLD}' AND team_a_id % 3 > 0 AND team_b_id % 3 > 0
-    UNION ALL SELECT team_b_id, team_b_name FROM canonical WHERE match_date < DATE '{_OLD}' AND team_a_id % 3 > 0 AND team_b_id % 3 > 0) GROUP BY key HAVING count(DISTINCT team_id) = 1) h
+  LEFT JOIN (SELECT regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key, min(team_id) AS historical_id FROM ({_FORMER.format(s="a")} UNION ALL {_FORMER.format(s="b")}) GROUP BY key HAVING count(DISTINCT team_id) = 1) h
    ON h.key = regexp_replace(lower(provider_name), '[^a-z0-9]+', '', 'g')) WHERE rn = 1""",
         "canonical",
     ),
 )
 def identity_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contests since 2000 as a provider lists them, bridged to those before; a third of the teams were named otherwise then."""
     c = canonical(spark, sf_dir)
-    old = c.where(F.col("match_date") < F.to_date(F.lit(_OLD))).where("team_a_id % 3 > 0 and team_b_id % 3 > 0")
+    former = lambda s: F.when(F.col(f"team_{s}_id") % 3 == 0, F.concat(f"team_{s}_name", F.lit(" II"))).otherwise(F.col(f"team_{s}_name"))
+    old = c.where(F.col("match_date") < F.to_date(F.lit(_NEW))).withColumns({"team_a_name": former("a"), "team_b_name": former("b")})
     new = c.where(F.col("match_date") >= F.to_date(F.lit(_NEW)))
     bridge = new.select("match_id", (F.col("team_a_id") + 1000).alias("provider_a_id"), F.upper("team_a_name").alias("team_a_name"), (F.col("team_b_id") + 1000).alias("provider_b_id"), F.upper("team_b_name").alias("team_b_name"))
     return J.identity_bridge(bridge, old)[1]

@@ -71,9 +71,9 @@ def lineups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def named_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(team_name, team_id): the first word of each document, and doc_id % 50."""
+    """(team_name, team_id): every word of each document with doc_id % 50, each pair once."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.regexp_extract("text", r"^([^\x20\x09-\x0D]+)", 1).alias("team_name"), (F.col("doc_id") % 50).alias("team_id"))
+    return d.select(F.explode(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))).alias("team_name"), (F.col("doc_id") % 50).alias("team_id")).distinct()
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:

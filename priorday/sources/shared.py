@@ -26,11 +26,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Cut lineage: write `df` as Parquet in the shared folder and read it back.
 
     The path is kept on the returned frame as `written_path` so that `forget`
-    can drop a table that nothing reads any more."""
+    can drop a table that nothing reads any more. What a lazy result still reads
+    stays until `clear`, which spares tables written to `keep`."""
     spark = df.sparkSession
     path = scratch(spark, name)
     before = spark.conf.get(_CLEAN, "false")
@@ -41,11 +42,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
+    if not keep:
+        spark.__dict__.setdefault("_priorday_written", set()).add(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by `written` that nothing reads any more."""
-    spark = df.sparkSession
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    df.sparkSession.__dict__.get("_priorday_written", set()).discard(df.written_path)
+    _delete(df.sparkSession, df.written_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this session has written on the way; call it once the results made from them are saved."""
+    for path in spark.__dict__.pop("_priorday_written", set()):
+        _delete(spark, path)
