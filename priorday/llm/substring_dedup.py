@@ -1,11 +1,13 @@
 """Removal of repeated token windows by Rabin-Karp hashes counted in Spark.
 
-Every window of `width` consecutive words gets a rolling hash. Windows are dealt
-by hash; for each hash the smallest doc_id that holds it is found, and every
-window of a larger doc_id is reported back to its document, where touching
+Every window of `width` consecutive words gets two rolling hashes: one of 64 bits
+and an independent one of 32 that verifies matches of the first. Windows are
+dealt by hash; for each hash the smallest doc_id that holds it is found, and
+every window of a larger doc_id is reported back to its document, where touching
 windows merge into maximal removal intervals. Windows travel packed: one row per
-hash bucket and text slice, with hashes (56 bits beside the bucket), documents
-and position gaps as arrays. This keeps the shuffle near ten bytes a window.
+hash bucket and text slice, with hashes, documents and position gaps as arrays.
+There is a bucket for every BUCKET_BYTES of text, so a bucket's memory does not
+grow with the input.
 
 Defined results: a null or empty text has no words and keeps the empty text's
 digest. A row with a null doc_id has no order, so it neither removes nor loses
@@ -25,26 +27,29 @@ from pyspark.sql import functions as F
 from .common import batched, mixed, prefix_sums, span_hash, text_bytes, word_hashes, word_spans, written
 
 WIDTH = 13
-PACKED = "bucket int, docs binary, marks binary, counts binary, gaps binary, wide binary, low binary, mid binary, high binary"
+BUCKET_BYTES = 16 << 20  # text bytes whose windows make up one bucket
+PACKED = "bucket int, docs binary, marks binary, counts binary, gaps binary, wide binary, low binary, mid binary, high binary, proof binary"
+_OTHER = np.uint64(0xD1B54A32D192ED03)
 
 
-def windows(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text number and first word number (within its text) of every window."""
+def windows(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, verifying hash, text number and first word number (within its text) of every window."""
     starts, ends, first = word_spans(data, off)
     counts = np.maximum(np.diff(first) - width + 1, 0)
     owner = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     at = first[:-1][owner] + place
-    sums = prefix_sums(word_hashes(data, starts, ends))
-    return span_hash(sums, at, at + width), owner, place
+    words = word_hashes(data, starts, ends)
+    proof = span_hash(prefix_sums(mixed(words ^ _OTHER)), at, at + width)
+    return span_hash(prefix_sums(words), at, at + width), (proof >> np.uint64(32)).astype(np.uint32), owner, place
 
 
-def packed(hashes: np.ndarray, owner: np.ndarray, place: np.ndarray, doc: np.ndarray, mark: np.ndarray, buckets: int) -> list[tuple]:
+def packed(hashes: np.ndarray, proof: np.ndarray, owner: np.ndarray, place: np.ndarray, doc: np.ndarray, mark: np.ndarray, buckets: int) -> list[tuple]:
     """Rows of PACKED: the windows of a slice by bucket, in text order."""
     bucket = (hashes % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
     rest = hashes // np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
-    bucket, rest, owner, place = bucket[order], rest[order], owner[order], place[order]
+    bucket, rest, proof, owner, place = bucket[order], rest[order], proof[order], owner[order], place[order]
     cut = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
     out = []
     for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True):
@@ -59,7 +64,7 @@ def packed(hashes: np.ndarray, owner: np.ndarray, place: np.ndarray, doc: np.nda
         out.append(
             (
                 int(bucket[s]),
-                doc[own[runs]].tobytes(),
+                _numbers(doc[own[runs]]),
                 mark[own[runs]].tobytes(),
                 n.astype(np.uint8 if n.max() < 256 else np.uint32).tobytes(),
                 (gap & 255).astype(np.uint8).tobytes(),
@@ -67,17 +72,33 @@ def packed(hashes: np.ndarray, owner: np.ndarray, place: np.ndarray, doc: np.nda
                 (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(),
                 ((h >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes(),
                 ((h >> np.uint64(48)) & np.uint64(0xFF)).astype(np.uint8).tobytes(),
+                proof[s:e].tobytes(),
             )
         )
     return out
 
 
-def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash remainder, doc_id, text mark and position of every window of a bucket."""
+def _numbers(x: np.ndarray) -> bytes:
+    """64-bit numbers: the least, then 32-bit steps above it where they are enough, else all of them."""
+    low = int(x.min())
+    if int(x.max()) - low < 1 << 32 and len(x) > 1:
+        return np.int64(low).tobytes() + (x - low).astype(np.uint32).tobytes()
+    return x.tobytes()
+
+
+def _numbers_of(raw: bytes, n: int) -> np.ndarray:
+    if len(raw) == 8 * n:
+        return np.frombuffer(raw, np.int64)
+    return np.frombuffer(raw, np.int64, 1)[0] + np.frombuffer(raw, np.uint32, n, 8).astype(np.int64)
+
+
+def unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Hash remainder, verifying hash, doc_id, text mark and position of every window of a bucket."""
     parts = []
-    for _, docs, marks, counts, gaps, wide, low, mid, high in zip(*(c.to_pylist() for c in table.columns), strict=True):
-        doc = np.frombuffer(docs, np.int64)
-        n = np.frombuffer(counts, np.uint8 if len(counts) == len(doc) else np.uint32).astype(np.int64)
+    for _, docs, marks, counts, gaps, wide, low, mid, high, proof in zip(*(c.to_pylist() for c in table.columns), strict=True):
+        mark = np.frombuffer(marks, np.int64)
+        doc = _numbers_of(docs, len(mark))
+        n = np.frombuffer(counts, np.uint8 if len(counts) == len(mark) else np.uint32).astype(np.int64)
         gap = np.frombuffer(gaps, np.uint8).astype(np.int64)
         far, more = np.frombuffer(wide, np.uint32).reshape(2, -1).astype(np.int64)
         gap[far] += more << 8
@@ -85,7 +106,7 @@ def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         begin = np.cumsum(n) - n
         pos = total - np.repeat(total[begin] - gap[begin], n)
         h = np.frombuffer(low, np.uint32).astype(np.uint64) | np.frombuffer(mid, np.uint16).astype(np.uint64) << np.uint64(32) | np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(48)
-        parts.append((h, np.repeat(doc, n), np.repeat(np.frombuffer(marks, np.int16), n), pos))
+        parts.append((h, np.frombuffer(proof, np.uint32), np.repeat(doc, n), np.repeat(mark, n), pos.astype(np.uint32)))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -102,16 +123,20 @@ LATE = "part int, docs binary, marks binary, counts binary, starts binary"
 
 def later_windows(table: pa.Table, parts: int) -> pa.Table:
     """Windows of one bucket that a smaller doc_id holds too, packed by part of the documents (see LATE)."""
-    h, doc, mark, pos = unpacked(table)
-    order = np.argsort(h, kind="stable")
+    h, proof, doc, mark, pos = unpacked(table)
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    if (same & (proof[order[1:]] != proof[order[:-1]])).any():  # unequal windows with one hash
+        order = np.lexsort((proof, h))
+        same = (h[order[1:]] == h[order[:-1]]) & (proof[order[1:]] == proof[order[:-1]])
     h, doc, mark, pos = h[order], doc[order], mark[order], pos[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
     least = np.minimum.reduceat(doc, first)
     late = doc > np.repeat(least, np.diff(np.append(first, len(h))))
     doc, mark, pos = doc[late], mark[late], pos[late]
     part = (mixed(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
     order = np.lexsort((pos, mark, doc, part))
-    doc, mark, pos, part = doc[order], mark[order], pos[order].astype(np.uint32), part[order]
+    doc, mark, pos, part = doc[order], mark[order], pos[order], part[order]
     cut = np.flatnonzero(part[1:] != part[:-1]) + 1
     out = []
     for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(part)], strict=True):
@@ -124,12 +149,12 @@ def later_windows(table: pa.Table, parts: int) -> pa.Table:
 
 def gathered(table: pa.Table) -> pa.Table:
     """All windows of a part of the documents: one row (doc_id, mark, starts) per document."""
-    docs, marks, counts, starts = (np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()]) for c, kind in (("docs", np.int64), ("marks", np.int16), ("counts", np.uint32), ("starts", np.uint32)))
+    docs, marks, counts, starts = (np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()]) for c, kind in (("docs", np.int64), ("marks", np.int64), ("counts", np.uint32), ("starts", np.uint32)))
     doc, mark = np.repeat(docs, counts), np.repeat(marks, counts)
     order = np.lexsort((starts, mark, doc))
     doc, mark, pos = doc[order], mark[order], starts[order]
     first, n = _doc_runs(doc, mark)
-    return pa.table({"doc_id": pa.array(doc[first], pa.int64()), "mark": pa.array(mark[first], pa.int16()), "starts": pa.array([pos[s : s + k].tobytes() for s, k in zip(first.tolist(), n.tolist(), strict=True)], pa.binary())})
+    return pa.table({"doc_id": pa.array(doc[first], pa.int64()), "mark": pa.array(mark[first], pa.int64()), "starts": pa.array([pos[s : s + k].tobytes() for s, k in zip(first.tolist(), n.tolist(), strict=True)], pa.binary())})
 
 
 def kept_mask(n: int, starts: np.ndarray, width: int) -> np.ndarray:
@@ -141,27 +166,27 @@ def kept_mask(n: int, starts: np.ndarray, width: int) -> np.ndarray:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a 16-bit mark of the text, which tells rows of one doc_id apart."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text").bitwiseAND(32767).cast("short"))
+    """doc_id, text and a mark of the text, which tells rows of one doc_id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
 
 
-def repeated_starts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def repeated_starts(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, mark, starts): windows to remove, as little-endian 32-bit word numbers."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 * parts
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
     names = [x.split()[0] for x in PACKED.split(", ")]
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         data, off = text_bytes(batch.column("text"))
-        hashes, owner, place = windows(data, off, width)
+        hashes, proof, owner, place = windows(data, off, width)
         if not len(hashes):
             return None
-        rows = packed(hashes, owner, place, batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("mark").to_numpy(zero_copy_only=False), buckets)
+        rows = packed(hashes, proof, owner, place, batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("mark").to_numpy(zero_copy_only=False), buckets)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=names)
 
     rows = _marked(docs).where("doc_id is not null").mapInArrow(batched(pack, "text"), PACKED)
-    late = rows.groupBy("bucket").applyInArrow(lambda table: later_windows(table, parts), LATE)
-    return late.groupBy("part").applyInArrow(gathered, "doc_id long, mark short, starts binary")
+    late = rows.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(lambda table: later_windows(table, buckets), LATE)
+    return late.repartitionById(buckets, "part").groupBy("part").applyInArrow(gathered, "doc_id long, mark long, starts binary")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
