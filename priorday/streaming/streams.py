@@ -19,10 +19,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def ledger_stream(records: DataFrame, read: Callable[[], DataFrame], path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Appends a stream of records to the Parquet ledger at `path`; a replayed batch adds nothing.
 
-    `read` gives the ledger as it is; new rows are anti-joined to it in every batch."""
+    `read` gives the ledger as it is. Of it only the ids that a batch brings again are
+    looked at, so a batch that is small enough to broadcast never shuffles the ledger."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        ledger_append(batch, read()).write.mode("append").parquet(path)
+        batch.persist()
+        known = read().join(batch.select("record_id").distinct(), "record_id", "left_semi")
+        ledger_append(batch, known).write.mode("append").parquet(path)
+        batch.unpersist()
 
     writer = records.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="15 minutes")).start()
