@@ -8,7 +8,9 @@
    the first curve are bounded by centre and radius; a query skips each block whose
    bound misses its bar and reranks the rest. No true neighbour is lost.
 
-On vectors without structure no block can be skipped and the second step reads
+In the second step a row moves once, to its block; queries are sent to the blocks
+and stream past the rows held there, so a task holds one block and one batch of
+queries. On vectors without structure no block can be skipped and that step reads
 all pairs of query and row in blocks, never as rows.
 
 Defined results: vectors that are null, empty, all zero or hold null or non-finite
@@ -32,8 +34,7 @@ CURVES = 4
 AXES = 8
 CELL_BITS = 6
 WINDOW = 256  # rows on either side of a query in an ordering
-BLOCK = 8192  # rows of a block
-QUERIES = 2048  # queries of a block
+BLOCK = 16384  # rows of a block
 CHUNK = 2048
 
 
@@ -165,44 +166,70 @@ def window_neighbours(rows: DataFrame, k: int, curves: int, window: int) -> Data
     return placed.mapInArrow(run, FOUND)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = K, curves: int = CURVES, window: int = WINDOW, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
+def _reranked(k: int):
+    """mapInArrow function over rows sorted by (block, dim, bar given): a block's vectors, then the queries sent to it."""
+
+    def score(q_ids: np.ndarray, q: np.ndarray, bar: np.ndarray, x_ids: np.ndarray, x: np.ndarray, centre: np.ndarray, radius: float) -> list[tuple]:
+        out = []
+        slack = 1e-9 * (1 + np.abs(bar))
+        slack[np.isinf(slack)] = 0
+        live = np.flatnonzero(q @ centre + np.linalg.norm(q, axis=1) * radius >= bar - slack)
+        for at in range(0, len(live), 256):
+            some = live[at : at + 256]
+            rough = q[some] @ x.T
+            for i, row in zip(some.tolist(), rough, strict=True):
+                near = np.flatnonzero((row >= bar[i] - slack[i]) & (x_ids != q_ids[i]))
+                if len(near) > 4 * k and np.isinf(bar[i]):
+                    edge = np.partition(row[near], len(near) - k)[len(near) - k]
+                    if len(np.unique(x_ids[near])) == len(near):
+                        near = near[row[near] >= edge - 1e-9 * (1 + abs(edge))]
+                if len(near):
+                    ids, exact = best(q[i], x_ids[near], x[near], k)
+                    out.append((int(q_ids[i]), ids.tolist(), exact.tolist()))
+        return out
+
+    def run(batches):
+        at, ids, rows, ball = None, [], [], None  # the block held: its place, ids, vectors; centre and radius once it is whole
+        for batch in batches:
+            place = batch.column("block").to_numpy().astype(np.int64) << 32 | batch.column("dim").to_numpy()
+            asked = batch.column("asked").to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero((place[1:] != place[:-1]) | (asked[1:] != asked[:-1])) + 1
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+                if e == s:
+                    continue
+                if place[s] != at:
+                    at, ids, rows, ball = place[s], [], [], None
+                part = batch.slice(s, e - s)
+                vectors, names = _matrix(part.column("embedding")), part.column("vec_id").to_numpy()
+                if not asked[s]:
+                    ids.append(names)
+                    rows.append(vectors)
+                elif rows:
+                    if ball is None:
+                        ids, rows = [np.concatenate(ids)], [np.concatenate(rows)]
+                        centre = rows[0].mean(axis=0)
+                        ball = centre, float(np.sqrt(((rows[0] - centre) ** 2).sum(axis=1).max()))
+                    bar = part.column("bar").to_numpy(zero_copy_only=False).astype(float)
+                    out = score(names, vectors, np.where(np.isnan(bar), -np.inf, bar), ids[0], rows[0], *ball)
+                    if out:
+                        yield _found(out)
+
+    return run
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = K, curves: int = CURVES, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of every row that `is_query` marks, among all other rows."""
     rows = usable(vectors).withColumn("is_query", F.coalesce(is_query, F.lit(False)))
     bars = merged_bars(window_neighbours(rows, k, curves, window), k)
-    counted = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
-    blocks, askers = -(-counted.n // block) or 1, -(-counted.q // queries) or 1
-    dealt = written(keyed(rows, 1).repartitionByRange(blocks, "dim", "key", "vec_id").select("vec_id", "embedding", "dim", F.spark_partition_id().alias("block")), "vector-blocks")
-    asks = rows.where("is_query").join(bars, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "embedding", "dim", "bar", F.pmod(F.xxhash64("vec_id"), F.lit(askers)).cast("int").alias("asker"))
-    left = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("asker", "block", "dim")
-    right = dealt.withColumn("asker", F.explode(F.sequence(F.lit(0), F.lit(askers - 1)))).groupBy("asker", "block", "dim")
-
-    def rerank(asked: pa.Table, given: pa.Table) -> pa.Table:
-        out = []
-        if asked.num_rows and given.num_rows:
-            q, x = _matrix(asked["embedding"].combine_chunks()), _matrix(given["embedding"].combine_chunks())
-            q_ids, x_ids = asked["vec_id"].to_numpy(), given["vec_id"].to_numpy()
-            bar = asked["bar"].to_numpy(zero_copy_only=False).astype(float)
-            bar = np.where(np.isnan(bar), -np.inf, bar)
-            centre = x.mean(axis=0)
-            radius = np.sqrt(((x - centre) ** 2).sum(axis=1).max())
-            slack = 1e-9 * (1 + np.abs(bar))
-            slack[np.isinf(slack)] = 0
-            live = np.flatnonzero(q @ centre + np.linalg.norm(q, axis=1) * radius >= bar - slack)
-            for at in range(0, len(live), 256):
-                some = live[at : at + 256]
-                rough = q[some] @ x.T
-                for i, row in zip(some.tolist(), rough, strict=True):
-                    near = np.flatnonzero((row >= bar[i] - slack[i]) & (x_ids != q_ids[i]))
-                    if len(near) > 4 * k and np.isinf(bar[i]):
-                        edge = np.partition(row[near], len(near) - k)[len(near) - k]
-                        if len(np.unique(x_ids[near])) == len(near):
-                            near = near[row[near] >= edge - 1e-9 * (1 + abs(edge))]
-                    if len(near):
-                        ids, score = best(q[i], x_ids[near], x[near], k)
-                        out.append((int(q_ids[i]), ids.tolist(), score.tolist()))
-        return pa.Table.from_batches([_found(out)])
-
-    found = left.cogroup(right).applyInArrow(rerank, FOUND)
+    n = rows.count()
+    dealt = keyed(rows, 1).repartitionByRange(-(-n // block) or 1, "dim", "key", "vec_id").select("vec_id", "embedding", "dim", F.spark_partition_id().alias("block"))
+    dealt = written(dealt, "vector-blocks")
+    blocks = (dealt.agg(F.max("block")).first()[0] or 0) + 1
+    asks = rows.where("is_query").join(bars, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "embedding", "dim", "bar")
+    sent = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asked", F.lit(True))
+    both = dealt.withColumns({"bar": F.lit(None).cast("double"), "asked": F.lit(False)}).unionByName(sent)
+    met = both.repartitionById(blocks, "block").sortWithinPartitions("block", "dim", "asked")
+    found = met.mapInArrow(_reranked(k), FOUND)
     pairs = found.select("query_id", F.explode(F.arrays_zip("vec_id", "score")).alias("x")).select("query_id", "x.vec_id", "x.score").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
