@@ -33,8 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, text_bytes, written
-from .components import connected_components
+from priorday.operators.components import connected_components
+
+from .common import batched, forget, salted_join, text_bytes, written
 
 SHINGLE = 3
 SEED = 42
@@ -284,14 +285,17 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: i
     nodes = written(prints.select("fp").distinct().select("fp", F.col("fp").alias("node")), "classes")
     member = connected_components(fingerprint_links(nodes, radius)).select(F.col("node").alias("fp"), "component")
     named = nodes.join(member, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
-    return prints.join(named, "fp").select("doc_id", "mark", "fp", "component")
+    out = written(prints.join(named, "fp").select("doc_id", "mark", "fp", "component"), "near-classes")
+    forget(prints)
+    forget(nodes)
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
-    found = written(classes(docs, shingle, seed, radius), "near-classes")
+    found = classes(docs, shingle, seed, radius)
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return found.join(least, "component").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return salted_join(found, least, "component", F.col("doc_id")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
