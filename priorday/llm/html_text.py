@@ -23,17 +23,21 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batched, byte_values, prefix_sums, span_hash, text_bytes, written
+from .common import batched, written
 
 MAIN, OPEN, BOILER, INNER, FORM = range(5)
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.DOTALL)
+PAIRS = 32  # pairs of equal lines per line up to which all pairs are gone through
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 TELLING = re.compile(r"hidden|style|class|id|role", re.IGNORECASE)
 NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
@@ -80,11 +84,66 @@ def _marks(attributes: str) -> tuple[bool, set[str]]:
     return hidden, BOILER_LABELS.intersection(w.replace("_", "-") for k in ("class", "id", "role") for w in of.get(k, "").split())
 
 
+class Tags:
+    """Tags and comments of a page from left to right, in time linear in its length.
+
+    A tag ends at the first > outside quotes; one that never ends is text. What a
+    failed search has passed is remembered, so no part is searched again and again."""
+
+    def __init__(self, html: str):
+        self.html, self.dead, self.last = html, set(), html.rfind(">")
+        self.sought, self.stop = 0, -1  # the first > or quote from `sought` on
+
+    def _end(self, at: int) -> int:
+        """Place after the > that closes a tag whose attributes start at `at`; -1 without one."""
+        html, passed = self.html, []
+        while at >= 0:
+            if not self.sought <= at <= self.stop:
+                found = STOP.search(html, at)
+                self.sought, self.stop = at, found.start() if found else len(html)
+            if self.stop == len(html) or self.stop in self.dead:
+                break
+            if html[self.stop] == ">":
+                return self.stop + 1
+            passed.append(self.stop)
+            at = html.find(html[self.stop], self.stop + 1) + 1 or -1
+        self.dead.update(passed)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether it closes, name in lower case, attributes) of the next tag; the name is empty for comments and the like."""
+        html = self.html
+        while (s := html.find("<", at)) >= 0:
+            if html.startswith("<!--", s):
+                e = html.find("-->", s + 4)
+                return s, e + 3 if e >= 0 else len(html), False, "", ""
+            if s > self.last:
+                at = html.find("<!--", s)
+                if at < 0:
+                    return None
+                continue
+            closes = html.startswith("/", s + 1)
+            name = NAME.match(html, s + 1 + closes)
+            if name is None:
+                if html[s + 1 : s + 2] in ("!", "?", "/"):
+                    return s, html.find(">", s) + 1, False, "", ""
+            else:
+                e = self._end(name.end())
+                if e >= 0:
+                    return s, e, closes, name[0].lower(), html[name.end() : e - 1]
+                if closes:
+                    return s, html.find(">", s) + 1, False, "", ""
+            at = s + 1
+        return None
+
+
 def lines_of(html: str) -> list[tuple[str, int]]:
     """(text, zone) of every non-empty block of a page, in page order."""
     out: list[tuple[str, int]] = []
     held: list[str] = []
     zones: list[list] = []  # [element, open elements of its name, zone, whether an article may still open in it]
+    opened: Counter[str] = Counter()  # zones by element
+    tags = Tags(html)
     zone, at, n = OPEN, 0, len(html)
 
     def flush() -> None:
@@ -95,39 +154,41 @@ def lines_of(html: str) -> list[tuple[str, int]]:
             held.clear()
 
     while at < n:
-        m = TAG.search(html, at)
-        if m is None:
+        tag = tags.next(at)
+        if tag is None:
             held.append(html[at:])
             break
-        if m.start() > at:
-            held.append(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        start, end, closes, name, attributes = tag
+        if start > at:
+            held.append(html[at:start])
+        at = end
+        if not name:
             continue
-        name = m[2].lower()
         if name in BLOCK:
             flush()
-        if m[1]:
+        if closes:
             if zones and zones[-1][0] == name:
                 zones[-1][1] -= 1
                 if not zones[-1][1]:
                     flush()
-                    zones.pop()
-            elif name in MAIN_TAGS or name in BOILER_TAGS:
-                k = next((k for k in range(len(zones) - 1, -1, -1) if zones[k][0] == name), None)
-                if k is not None:
-                    flush()
-                    del zones[k:]
+                    opened[zones.pop()[0]] -= 1
+            elif opened[name] and (name in MAIN_TAGS or name in BOILER_TAGS):
+                flush()
+                while True:
+                    gone = zones.pop()[0]
+                    opened[gone] -= 1
+                    if gone == name:
+                        break
             zone = zones[-1][2] if zones else OPEN
             continue
         if name in RAW:
-            if not m[3].endswith("/"):
-                close = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(html, at)
-                at = close.end() if close else n
+            if not attributes.endswith("/"):
+                close = re.compile(rf"</{name}\b", re.IGNORECASE).search(html, at)
+                at = (html.find(">", close.end()) + 1 or n) if close else n
             continue
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
-        hidden, labels = _marks(m[3]) if m[3] and name not in ("html", "body") else (False, set())
+        hidden, labels = _marks(attributes) if attributes and name not in ("html", "body") else (False, set())
         may = zones[-1][3] if zones else True
         foreign = any(FOREIGN.match(w) for w in labels)
         if name in MAIN_TAGS and zone != BOILER:
@@ -146,6 +207,7 @@ def lines_of(html: str) -> list[tuple[str, int]]:
         if into is not None:
             flush()
             zones.append([name, 1, into, may and into not in (MAIN, INNER)])
+            opened[name] += 1
             zone = into
         elif zones and zones[-1][0] == name:
             zones[-1][1] += 1
@@ -153,21 +215,29 @@ def lines_of(html: str) -> list[tuple[str, int]]:
     return out
 
 
-def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Places in `a` that a longest common subsequence of `a` and `b` uses."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
+def _prefix_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of `a` and each prefix of `b`, by bit vectors."""
+    where: dict[int, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    v = every
+    for x in a:
+        u = v & where.get(x, 0)
+        v = (v + u | v - u) & every
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(-(-len(b) // 8), "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _chain(a: list[int], b: list[int]) -> list[int]:
+    """Places in `a` that a longest common subsequence uses, from all pairs of equal lines."""
     places: dict[int, list[int]] = {}
-    for j in range(len(b) - tail - 1, head - 1, -1):
+    for j in range(len(b) - 1, -1, -1):
         places.setdefault(b[j], []).append(j)
     ends: list[int] = []  # smallest end in b of a common subsequence of each length
     links: list[tuple] = []  # its last pair, as (place in a, pair before)
-    for i in range(head, len(a) - tail):
-        for j in places.get(a[i], ()):
+    for i, x in enumerate(a):
+        for j in places.get(x, ()):
             k = bisect_left(ends, j)
             link = (i, links[k - 1] if k else None)
             if k == len(ends):
@@ -175,11 +245,38 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
                 links.append(link)
             elif j < ends[k]:
                 ends[k], links[k] = j, link
-    middle, link = [], links[-1] if links else None
+    out, link = [], links[-1] if links else None
     while link:
-        middle.append(link[0])
+        out.append(link[0])
         link = link[1]
-    return [*range(head), *reversed(middle), *range(len(a) - tail, len(a))]
+    return out[::-1]
+
+
+def common_lines(a: list[int], b: list[int]) -> list[int]:
+    """Places in `a` that a longest common subsequence of `a` and `b` uses.
+
+    Where lines repeat so often that the pairs of equal ones are many, `a` is halved
+    and `b` cut where the lengths for both halves sum to the most (Hirschberg), which
+    keeps memory linear and the result exact."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        s, e, x, y = todo.pop()
+        while s < e and x < y and a[s] == b[x]:
+            out.append(s)
+            s, x = s + 1, x + 1
+        while s < e and x < y and a[e - 1] == b[y - 1]:
+            e, y = e - 1, y - 1
+            out.append(e)
+        if s == e or x == y:
+            continue
+        of_b = Counter(b[x:y])
+        if e - s < 2 or sum(of_b[v] for v in a[s:e]) <= PAIRS * (e - s + y - x):
+            out.extend(s + i for i in _chain(a[s:e], b[x:y]))
+            continue
+        mid = (s + e) // 2
+        cut = x + int(np.argmax(_prefix_lengths(a[s:mid], b[x:y]) + _prefix_lengths(a[mid:e][::-1], b[x:y][::-1])[::-1]))
+        todo += [(s, mid, x, cut), (mid, e, cut, y)]
+    return sorted(out)
 
 
 def main_text(lines: list[tuple[str, int]], shared: list[int] | None) -> str:
@@ -221,8 +318,7 @@ def partners(narrow: DataFrame) -> DataFrame:
 
 
 def _line_hashes(texts: list[str]) -> np.ndarray:
-    data, off = text_bytes(pa.array(texts, pa.string()))
-    return span_hash(prefix_sums(byte_values(data)), off[:-1], off[1:]).view(np.int64)
+    return np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
