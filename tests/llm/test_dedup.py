@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from priorday.llm import components, simhash, substring_dedup, suffix, suffix_dedup
+from priorday.llm import common, simhash, substring_dedup, suffix, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -48,12 +50,6 @@ def test_suffix_arrays_and_prefixes():
             assert lcp[a] == k
 
 
-def test_components_of_chains_and_stars(spark):
-    edges = [(i + 1, i) for i in range(100, 140)] + [(5, i) for i in range(6, 30)] + [(1, 2), (2, 1), (3, 3)]
-    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 100 for i in range(101, 141)} | {i: 5 for i in range(6, 30)} | {2: 1}
-
-
 def test_bucket_links_carry_the_components():
     rng = np.random.default_rng(4)
     centre = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
@@ -157,6 +153,95 @@ def test_suffix_dedup_matches_brute_force(texts, docs, how):
     assert got == brute_bytes(texts, 60)
 
 
+@pytest.fixture(scope="module")
+def shared_passages():
+    """700 texts around one passage, so that its anchor has more kinds than SPREAD; texts 2i and 2i+1 share more."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz      "
+    made = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    passage, out = made(450), []
+    for i in range(0, 700, 2):
+        more = made(120)
+        out += [(i + d, made(200) + passage + more + made(150)) for d in (0, 1)]
+    return [*out, (900, passage), (901, passage[:399])]
+
+
+def test_suffix_dedup_at_full_length_merges_shards(spark, shared_passages):
+    docs = spark.createDataFrame(shared_passages, "doc_id long, text string").repartition(4)
+    kinds = suffix_dedup.region_kinds(suffix_dedup.occurrences(docs, suffix_dedup.LENGTH, suffix_dedup.GRAM))
+    assert kinds.agg(F.max("n_kinds")).first()[0] > suffix_dedup.SPREAD
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == brute_bytes(shared_passages, 400)
+
+
+def test_suffix_dedup_of_the_small_table(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == brute_bytes(rows, 400)
+
+
+def thue_morse(n):
+    """Two words whose sums of powers modulo 2**64 agree for every odd base and any two letter values."""
+    word = ["ab"[bin(i).count("1") & 1] for i in range(n)]
+    return "".join(word), "".join("ab"["ab".index(c) ^ 1] for c in word)
+
+
+def test_words_with_equal_sums_of_powers_stay_apart(spark):
+    a, b = thue_morse(1 << 10)
+    rest = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([a, *rest])), (2, " ".join([b, *rest])), (3, a + "\n" + "x" * 40), (4, b + "\n" + "y" * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.n_removed == 0 for r in substring_dedup.remove_repeats(docs).collect())
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == brute_bytes(rows, 400)
+
+
+def test_windows_with_one_hash_are_told_apart(monkeypatch, texts, docs):
+    """With the first hash cut to 8 bits the verifying hash alone keeps the result right."""
+    plain = substring_dedup.windows
+
+    def dull(*args):
+        h, *rest = plain(*args)
+        return h & np.uint64(0xFF), *rest
+
+    monkeypatch.setattr(substring_dedup, "windows", dull)
+    h, proof, owner, place = substring_dedup.windows(*_bytes([t for _, t in texts]), 4)
+    table = _bucket(h, proof, owner, place, [-1 if d is None else d for d, _ in texts])
+    late = substring_dedup.gathered(substring_dedup.later_windows(table, 1))
+    words = [WORD.findall(t or "") for _, t in texts]
+    first = {}
+    for (doc, _), w in zip(texts, words, strict=True):
+        for k in range(len(w) - 3):
+            first[tuple(w[k : k + 4])] = min(first.get(tuple(w[k : k + 4]), 999), -1 if doc is None else doc)
+    want = sorted((-1 if d is None else d, k) for (d, _), w in zip(texts, words, strict=True) for k in range(len(w) - 3) if first[tuple(w[k : k + 4])] < (-1 if d is None else d))
+    assert sorted((d, k) for d, s in zip(late["doc_id"].to_pylist(), late["starts"].to_pylist(), strict=True) for k in np.frombuffer(s, np.uint32).tolist()) == want
+
+
+def _bytes(values):
+    return common.text_bytes(pa.array(values, pa.string()))
+
+
+def _bucket(h, proof, owner, place, doc):
+    doc = np.array(doc, np.int64)
+    rows = substring_dedup.packed(h, proof, owner, place, doc, np.arange(len(doc)), 1)
+    return pa.table({c.split()[0]: [r[i] for r in rows] for i, c in enumerate(substring_dedup.PACKED.split(", "))})
+
+
+def test_very_long_texts(spark):
+    """A megabyte in one text, of one word and of many, in bounded time."""
+    rng = random.Random(13)
+    many = " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(170_000))
+    rows = [(1, "x" * 1_000_000), (2, many), (3, many[500:1500]), (4, "ab " * 330_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    began = time.time()
+    nine = {r.doc_id: r for r in substring_dedup.remove_repeats(docs).collect()}
+    eight = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert time.time() - began < 180
+    assert nine[1].n_removed == nine[2].n_removed == nine[4].n_removed == 0 and nine[3].n_removed >= nine[3].n_words - 2
+    assert eight[1].n_removed == 1_000_000 and eight[4].n_removed == 990_000 and eight[2].n_removed == eight[3].n_removed == 1000
+
+
 def test_empty_tables(docs):
     none = docs.where("doc_id < 0")
     assert simhash.near_duplicates(none).count() == 0
