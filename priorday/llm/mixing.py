@@ -21,6 +21,7 @@ used here are safe: each row is packed before anything is added."""
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ ROUNDS = 10
 TEMPER = 0.5
 SHARE = 0.5  # tokens of the sample as a share of all tokens
 BROADCAST_CELLS = 20_000  # cells beyond which their table is joined by shuffle, salted
+STEP = 5  # rounds between written cells
 WINDOW_CELLS = 1_000_000  # cells beyond which a margin is summed by grouping instead of in a window
 SALTS = 16
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,9 +86,9 @@ def by_sums(cells: DataFrame, margin: str, total: float) -> DataFrame:
 def raked(docs: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER, share: float = SHARE, topic: Column | None = None, targets: Mapping[str, Mapping[str, float]] | None = None, window_cells: int = WINDOW_CELLS) -> DataFrame:
     """(source, lang, topic, tokens, rate): every cell that has tokens, fitted to the targets.
 
-    Goals are joined to the cells once. A round is one job of three shuffles over the
-    written cells (three jobs where there are more than `window_cells`), so plans do
-    not grow with the rounds."""
+    Goals are joined to the cells once. STEP rounds are one job over the written cells,
+    three shuffles a round (three jobs a round where there are more than
+    `window_cells`), so plans do not grow with the rounds."""
     cells = _with_cell(docs, topic).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
     now = written(cells.withColumn("w", F.col("tokens").cast("double")), "cells")
     n, tokens = now.agg(F.count("*"), F.sum("tokens")).first()
@@ -95,11 +97,11 @@ def raked(docs: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER, share:
     for m in MARGINS:
         aimed = aimed.join(_targets(now, m, temper, (targets or {}).get(m)).withColumnRenamed("goal", f"{m}_goal"), m)
     now = _replaced(now, aimed)
-    for _ in range(rounds):
-        if n <= window_cells:
-            now = _replaced(now, in_windows(now, total))
-            continue
-        for m in MARGINS:
+    if n <= window_cells:
+        for done in range(0, rounds, STEP):
+            now = _replaced(now, reduce(lambda x, _: in_windows(x, total), range(min(STEP, rounds - done)), now))
+    else:
+        for m in MARGINS * rounds:
             now = _replaced(now, by_sums(now, m, total))
     return now.select(*MARGINS, "tokens", (F.col("w") / F.col("tokens")).alias("rate"))
 
