@@ -82,8 +82,8 @@ class DayRatings(StatefulProcessor):
             day, match_id, a, b, won = (x[:n] for x in rows)
             pool = Pool(self.k, self.scale, self.initial)
             teams, ratings, counts = self._held(self.teams, self.TEAMS)
-            pool.places(teams)
-            pool.ratings[:], pool.counts[:] = ratings, counts
+            held = pool.places(teams)
+            pool.ratings[held], pool.counts[held] = ratings, counts
             at, bt = pool.places(a), pool.places(b)
             cut = [0, *(np.flatnonzero(np.diff(day)) + 1).tolist(), n]
             made = [np.concatenate(x) for x in zip(*(pool.day(at[s:e], bt[s:e], won[s:e].astype(float)) for s, e in zip(cut[:-1], cut[1:], strict=True)), strict=True)]
