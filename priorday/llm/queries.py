@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .quality_rules import repetition_rules
 from .simhash import near_duplicates
-from . import bpe, hilbert_ann, html_text, mixing, nbsvm, secret_scan, substring_dedup, suffix_dedup
+from . import bpe, hilbert_ann, html_text, mixing, nbsvm, secret_scan, substring_dedup, suffix_dedup, token_align
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.alignments(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 SUBSTRING_SQL = r"""
