@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .quality_rules import repetition_rules
 from .simhash import near_duplicates
-from . import bpe, hilbert_ann, html_text, mixing, nbsvm, secret_scan, substring_dedup, suffix_dedup, token_align
+from . import bpe, filter_audit, hilbert_ann, html_text, mixing, nbsvm, secret_scan, substring_dedup, suffix_dedup, token_align
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.alignments(_table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scan": op10_secret_scan,
     "op11_token_alignment": op11_token_alignment,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 SUBSTRING_SQL = r"""
@@ -107,4 +112,4 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0)
 FROM words LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op5_raked_mixing": mixing.mixing_sql(), "op9_substring_dedup": SUBSTRING_SQL}
+ORACLES: dict[str, str] = {"op5_raked_mixing": mixing.mixing_sql(), "op9_substring_dedup": SUBSTRING_SQL, "op13_filter_audit": filter_audit.AUDIT_SQL}

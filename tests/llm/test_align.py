@@ -2,12 +2,15 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
+from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from priorday.llm import token_align
+from priorday.llm import filter_audit, token_align
 from priorday.llm.bpe import byte_letters, default_path
 
 
@@ -106,3 +109,82 @@ def test_groups_meet_at_all_common_ends(seed):
     end_b = np.array([x + i * n for i, t in enumerate(others) for x in t])
     got = token_align.shared_groups(end_a, end_b, np.cumsum([len(t) for t in texts]))
     assert got.tolist() == [k + 1 for k, x in enumerate(end_a.tolist()) if x in set(end_b.tolist())]
+
+
+# --- filter audit ----------------------------------------------------------------
+
+
+def brute_audit(rows, labels):
+    """Every order applied to every document, one step after the other."""
+    marks = defaultdict(lambda: [False, False])
+    for i, q, t in labels:
+        if i is not None:
+            marks[i] = [marks[i][0] or q == 1, marks[i][1] or t == 1]
+    least = {}
+    for i, text, _ in rows:
+        if i is not None:
+            least[text or ""] = min(least.get(text or "", i), i)
+    judged = []
+    for i, text, source in rows:
+        t = text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        fails = {"A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 2 * len(t), "D": bool(re.search("[#$%&*|]", t)), "E": i is not None and least[t] < i}
+        judged.append((source or "", {c for c in fails if fails[c]}, *(marks[i] if i is not None else [False, False])))
+    out = {}
+    for part in {x[0] for x in judged}:
+        mine = [x for x in judged if x[0] == part]
+        shapley = Counter()
+        for order in map("".join, permutations("ABCDE")):
+            left = mine
+            for step, c in enumerate(order, 1):
+                gone = [x for x in left if c in x[1]]
+                left = [x for x in left if c not in x[1]]
+                shapley[c] += len(gone)
+                out[part, order, step] = [len(left), len(gone), sum(c in x[1] for x in mine) - len(gone), sum(x[1] == {c} for x in mine), sum(x[2] for x in gone), sum(x[3] for x in gone)]
+        for (p, order, step), row in out.items():
+            if p == part:
+                row.append(shapley[order[step - 1]])
+    return out
+
+
+def test_filter_audit_equals_brute_force(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(160):
+        n = rng.choice([0, 3, 150, 230, 260])
+        kinds = rng.choice([20, 400])
+        w = [f"w{rng.randint(0, kinds)}" for _ in range(n)] + rng.choice([[], [], ["AB"] * 9, ["a|b"], ["\x1cé"]])
+        rows.append((i if rng.random() < 0.9 else None, " \n".join(w) if rng.random() < 0.95 else None, rng.choice(["s", "t", "", None])))
+    rows += [(rng.choice([None, 3, 3, 500, 501]), rng.choice(rows)[1], rng.choice("st")) for _ in range(60)]
+    rows += [(1, "one text", "s"), (1, "one text", "t"), (1, "one text", "t"), (2, "one text", "s"), (None, "one text", "t")]
+    labels = [(rng.choice([None, *range(160)]), rng.choice([0, 1, None]), rng.choice([0, 1, None])) for _ in range(120)] + [(1, 0, 1), (1, 1, 0)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, source string, mask int, digest string").repartition(3)
+    marks = spark.createDataFrame([(*r, 2) for r in labels], "doc_id long, quality int, toxic int, spread int")
+    got = filter_audit.audit(docs, marks).collect()
+    want = brute_audit(rows, labels)
+    assert len(got) == len(want) == 3 * 600
+    for r in got:
+        assert list(r)[3:] == want[r.part, r.filter_order, r.step], r
+    assert filter_audit.audit(docs.where("doc_id < 0"), marks).count() == 0
+    assert all(r.good_lost == 0 for r in filter_audit.audit(docs, marks.where("doc_id < 0")).collect())
+
+
+def test_filter_audit_takes_other_filters(spark):
+    docs = spark.createDataFrame([(1, "aa", "p"), (2, "b", "p"), (3, "ab", "q")], "doc_id long, text string, kind string")
+    rows = filter_audit.audit(docs, spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int"), {"x": F.col("text").contains("a"), "y": F.length("text") == 1}, part="kind").collect()
+    assert {(r.part, r.filter_order, r.step): (r.kept, r.removed, r.good_lost, r.shapley) for r in rows} == {
+        ("p", "xy", 1): (1, 1, 0, 2), ("p", "xy", 2): (0, 1, 1, 2), ("p", "yx", 1): (1, 1, 1, 2), ("p", "yx", 2): (0, 1, 0, 2),
+        ("q", "xy", 1): (0, 1, 0, 2), ("q", "xy", 2): (0, 0, 0, 0), ("q", "yx", 1): (1, 0, 0, 0), ("q", "yx", 2): (0, 1, 0, 2),
+    }
+    with pytest.raises(ValueError):
+        filter_audit.audit(docs, docs, {})
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5])
+def test_intervals_are_the_orders_in_which_a_mask_falls(k):
+    spans = filter_audit.removal_intervals(k)
+    letters = "ABCDEF"[:k]
+    for rank, order in enumerate(filter_audit.orders(letters)):
+        for mask in range(1, 1 << k):
+            step = min(order.index(letters[i]) for i in range(k) if mask >> i & 1) + 1
+            assert [s for m, s, lo, hi in spans if m == mask and lo <= rank < hi] == [step]
