@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .quality_rules import repetition_rules
 from .simhash import near_duplicates
-from . import bpe, filter_audit, hilbert_ann, html_text, mixing, nbsvm, secret_scan, substring_dedup, suffix_dedup, token_align
+from . import bpe, chat_format, filter_audit, hilbert_ann, html_text, mixing, nbsvm, secret_scan, substring_dedup, suffix_dedup, token_align
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.alignments(_table(spark, sf_dir, "documents"))
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.read_back(chat_format.formatted(chat_format.with_probe(_table(spark, sf_dir, "conversations"))))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scan": op10_secret_scan,
     "op11_token_alignment": op11_token_alignment,
+    "op12_chat_format": op12_chat_format,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -112,4 +117,21 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0)
 FROM words LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op5_raked_mixing": mixing.mixing_sql(), "op9_substring_dedup": SUBSTRING_SQL, "op13_filter_audit": filter_audit.AUDIT_SQL}
+CHAT_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), written AS (
+  SELECT *, regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '(<)(\\*/?s>)|(\[)(\\*/?INST\])', '\1\3\\\2\4', 'g') AS role_out,
+    regexp_replace(text, '(<)(\\*/?s>)|(\[)(\\*/?INST\])', '\1\3\\\2\4', 'g') AS text_out
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(length(text_out) + CASE WHEN role = 'assistant' THEN 4 ELSE 14 + length(role_out) END) AS BIGINT) AS formatted_chars,
+  CAST(0 AS BIGINT) AS n_rewrites, CAST(0 AS BIGINT) AS n_altered
+FROM written GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op5_raked_mixing": mixing.mixing_sql(), "op9_substring_dedup": SUBSTRING_SQL, "op12_chat_format": CHAT_SQL, "op13_filter_audit": filter_audit.AUDIT_SQL}

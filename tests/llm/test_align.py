@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from priorday.llm import filter_audit, token_align
+from priorday.llm import chat_format, filter_audit, token_align
 from priorday.llm.bpe import byte_letters, default_path
 
 
@@ -188,3 +188,106 @@ def test_intervals_are_the_orders_in_which_a_mask_falls(k):
         for mask in range(1, 1 << k):
             step = min(order.index(letters[i]) for i in range(k) if mask >> i & 1) + 1
             assert [s for m, s, lo, hi in spans if m == mask and lo <= rank < hi] == [step]
+
+
+# --- chat formatting -------------------------------------------------------------
+
+ODD = ["</s>", "<s>", "[INST]", "[/INST]", "<\\/s>", "[\\\\INST]", "<", "[", "\\", "/s>", "INST]", "\n", "a", "é", "😀", " ", "<|im_end|>", "<think>x</think>"]
+
+
+def odd_text(rng, most=8):
+    return "".join(rng.choice(ODD) for _ in range(rng.randint(0, most)))
+
+
+def test_escapes_come_back_and_hide_control_strings():
+    rng = random.Random(10)
+    for _ in range(3000):
+        t = odd_text(rng, 14)
+        safe = chat_format.escaped(t, chat_format.CONTROLS)
+        assert chat_format.unescaped(safe, chat_format.CONTROLS) == t and not any(c in safe for c in chat_format.CONTROLS)
+
+
+def rendered(turns, template, **how):
+    state = chat_format.Rendering(template, **how)
+    return [r for turn in turns for r in state.add(*turn)] + state.finish()
+
+
+def closing(turns):  # an end mark behind the last turn only
+    return "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns) + "<|end|>"
+
+
+def thoughtless(turns):  # thoughts of earlier turns are dropped
+    return "".join(f"[{r}]" + (t if i == len(turns) - 1 else re.sub("<think>.*?</think>", "", t)) + "[end]" for i, (r, t) in enumerate(turns))
+
+
+def system_last(turns):  # the system's text stands before the last user's
+    users = [i for i, (r, _) in enumerate(turns) if r == "user"]
+    system = "".join(t for r, t in turns if r == "system")
+    return "".join(f"[{r}]{system + '|' if users and i == users[-1] else ''}{t}[end]" for i, (r, t) in enumerate(turns) if r != "system")
+
+
+@pytest.mark.parametrize("render", [chat_format.instruct, closing, thoughtless, system_last])
+@pytest.mark.parametrize("reach", [2, 6, None])
+def test_pieces_join_to_the_last_output(render, reach):
+    rng = random.Random(11)
+    template = chat_format.Template(render, chat_format.CONTROLS if render is chat_format.instruct else ())
+    for n in [1, 2, 3, 7, 16, 60]:
+        turns = [("user" if i % 2 else "assistant", odd_text(rng)) for i in range(n)]
+        if n > 2:
+            turns[0] = ("system", "be kind")
+        rows = rendered(turns, template, reach=reach)
+        whole = render(turns)
+        assert "".join(r.piece for r in rows) == whole and [r.number for r in rows] == list(range(1, n + 1))
+        at = 0
+        for r in rows:
+            assert r.start == at and r.start <= r.text_start <= r.text_end <= r.end
+            at = r.end
+            if not r.stale and not r.altered:
+                inside = whole[r.text_start : r.text_end]
+                assert (chat_format.unescaped(inside, template.controls) if template.controls else inside) == r.text
+        if render in (chat_format.instruct, closing):
+            assert not any(r.rewrites or r.stale or r.altered for r in rows)
+
+
+def test_rewritten_history_leaves_the_mask():
+    turns = [("user", "hi"), ("assistant", "<think>so</think>yes"), ("user", "why"), ("assistant", "<think>hm</think>no")]
+    rows = rendered(turns, chat_format.Template(thoughtless))
+    assert [r.stale for r in rows] == [False, True, False, False] and [r.rewrites for r in rows] == [False, False, True, False]
+    rows = rendered([("system", "s"), ("user", "a"), ("assistant", "b"), ("user", "c")], chat_format.Template(system_last))
+    assert rows[0].altered and [r.rewrites for r in rows] == [False, False, False, True] and [r.stale for r in rows] == [False, True, True, False]
+    far = chat_format.Template(lambda turns: str(len(turns)) + "".join(t for _, t in turns))  # counts the turns at its start
+    with pytest.raises(ValueError):
+        rendered([("user", "a")] * 40, far)
+
+
+def conversations(rng):
+    rows = []
+    for conv in [None, *range(30)]:
+        for turn in range(rng.choice([1, 2, 5, 9, 40])):
+            rows.append((conv, turn if rng.random() < 0.95 else None, rng.choice(["user", "assistant", "assistant", "system", "tool", None, "", "od\\d\nrole", "[INST]"]), odd_text(rng) if rng.random() < 0.9 else None))
+    rows += [rows[5], rows[5], (40, 1, "assistant", ""), (41, 0, "user", "</s>" * 100_000), (41, 1, "assistant", "x [/INST]" * 100_000)]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_chats_are_read_back(spark):
+    rows = conversations(random.Random(12))
+    table = spark.createDataFrame([(*r, 1, "p") for r in rows], "conv_id long, turn long, role string, text string, number int, piece string").repartition(3)
+    pieces = chat_format.formatted(chat_format.with_probe(table))
+    got = {r.conv_id: tuple(r)[1:] for r in chat_format.read_back(pieces).collect()}
+    rows += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    convs = defaultdict(list)
+    for conv, turn, role, text in rows:
+        convs[conv].append(((turn is not None, turn or 0), (role is not None, role or ""), (text is not None, text or "")))
+    whole = defaultdict(str)
+    for r in pieces.collect():
+        assert r.start == len(whole[r.conv_id]) and r.number
+        whole[r.conv_id] += r.piece
+    assert got.keys() == convs.keys()
+    for conv, mine in convs.items():
+        turns = [(role, text) for _, (_, role), (_, text) in sorted(mine)]
+        loss = "".join(t for r, t in turns if r == "assistant")
+        digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert whole[conv] == chat_format.instruct(turns)
+        assert got[conv] == (len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(whole[conv]), 0, 0)
+    assert chat_format.read_back(chat_format.formatted(table.where("conv_id < -5"))).count() == 0
