@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from priorday.sources.shared import forget, shared_dir, written
 
-__all__ = ["forget", "shared_dir", "written", "batched", "byte_values", "mixed", "offsets", "powers", "prefix_sums", "salted_join", "slices", "span_hash", "text_bytes", "word_hashes", "word_spans"]
+__all__ = ["forget", "shared_dir", "written", "batched", "byte_values", "mixed", "offsets", "powers", "prefix_sums", "salted_join", "slices", "span_hash", "text_bytes", "word_codes", "word_hashes", "word_spans"]
 
 SLICE_BYTES = 2 << 20  # text handled at once inside a Python worker
 
@@ -83,6 +83,7 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = np.random.Generator(np.random.PCG64(42)).integers(1, 1 << 63, 256, dtype=np.uint64)
+_SECOND = np.uint64(0xD1B54A32D192ED03)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -144,25 +145,35 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, off)
 
 
-_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-LONG_WORD = 64  # bytes from which a word is hashed by itself
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
+SHORT_WORD = 7  # bytes up to which a word and its length fit a 64-bit key
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: eight bytes at a time over all short spans at once, XXH3 for long ones.
-
-    No sum of powers is taken over the bytes, which unequal strings can share."""
+def _word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of byte spans that hold bytes and length, for spans up to SHORT_WORD; the numbers of the longer spans."""
     n = ends - starts
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
-    out = mixed(n.astype(np.uint64) + np.uint64(1))
-    for at in range(0, LONG_WORD, 8):
-        live = np.flatnonzero((n > at) & (n <= LONG_WORD))
-        if not len(live):
-            break
-        out[live] = mixed(out[live] ^ (lanes[starts[live] + at] & _LOW[np.minimum(n[live] - at, 8)]))
-    long = np.flatnonzero(n > LONG_WORD)
+    keys = (lanes[starts] & _LOW[np.minimum(n, SHORT_WORD)]) | (n.astype(np.uint64) << np.uint64(56))
+    return keys, np.flatnonzero(n > SHORT_WORD)
+
+
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers of byte spans, the same for equal spans and for no others."""
+    keys, long = _word_keys(data, starts, ends)
+    raw, found = data.tobytes(), {}
+    mark = (SHORT_WORD + 1) << 56
+    keys[long] = [mark + found.setdefault(raw[a:b], len(found)) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return np.unique(keys, return_inverse=True)[1]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each byte span. Short spans differ in both wherever they differ at all; those of long
+    spans are the halves of XXH3-128 and independent of each other."""
+    keys, long = _word_keys(data, starts, ends)
+    one, two = mixed(keys), mixed(keys ^ _SECOND)
     if len(long):
         raw = data.tobytes()
-        out[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
-    return out
+        both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]), ">u8").astype(np.uint64).reshape(-1, 2)
+        one[long], two[long] = both[:, 0], both[:, 1]
+    return one, two

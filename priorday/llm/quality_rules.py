@@ -8,7 +8,8 @@ A text is kept if the base rules hold, the united spans cover at most
 `max_covered` of its words and no repeat is longer than `max_repeat` of them.
 
 Defined results: a null or empty text has no words, fails the base rules and is
-not kept. Rows are judged one by one, so repeated rows and ties get equal
+not kept. Words are told apart by their bytes, long ones too. A text over the slice
+size is a slice of its own. Rows are judged one by one, so repeated rows and ties get equal
 results; other columns are passed over (`text` and `doc_id` are read by name).
 An empty table gives an empty result."""
 
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batched, text_bytes, word_hashes, word_spans
+from .common import batched, text_bytes, word_codes, word_spans
 from .suffix import longest_repeats
 
 MIN_REPEAT = 16  # words of the shortest repeat that counts as covered
@@ -56,7 +57,7 @@ def repetition(data: np.ndarray, off: np.ndarray, min_repeat: int) -> tuple[np.n
     if not n:
         zero = np.zeros(len(counts), np.int64)
         return counts, zero, zero, zero
-    _, word = np.unique(word_hashes(data, starts, ends), return_inverse=True)
+    word = word_codes(data, starts, ends)
     owner = np.repeat(np.arange(len(counts)), counts)
     _, codes = np.unique(owner * (word.max() + 1) + word, return_inverse=True)
     longest = longest_repeats(codes)

@@ -1,7 +1,8 @@
 """Removal of repeated token windows by Rabin-Karp hashes counted in Spark.
 
 Every window of `width` consecutive words gets two rolling hashes: one of 64 bits
-and an independent one of 32 that verifies matches of the first. Windows are
+and one of 32 from other hashes of the same words, which verifies matches of the
+first; words of up to seven bytes differ in both. Windows are
 dealt by hash; for each hash the smallest doc_id that holds it is found, and
 every window of a larger doc_id is reported back to its document, where touching
 windows merge into maximal removal intervals. Windows travel packed: one row per
@@ -29,7 +30,6 @@ from .common import batched, mixed, prefix_sums, span_hash, text_bytes, word_has
 WIDTH = 13
 BUCKET_BYTES = 16 << 20  # text bytes whose windows make up one bucket
 PACKED = "bucket int, docs binary, marks binary, counts binary, gaps binary, wide binary, low binary, mid binary, high binary, proof binary"
-_OTHER = np.uint64(0xD1B54A32D192ED03)
 
 
 def windows(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -39,8 +39,8 @@ def windows(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray,
     owner = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     at = first[:-1][owner] + place
-    words = word_hashes(data, starts, ends)
-    proof = span_hash(prefix_sums(mixed(words ^ _OTHER)), at, at + width)
+    words, others = word_hashes(data, starts, ends)
+    proof = span_hash(prefix_sums(others), at, at + width)
     return span_hash(prefix_sums(words), at, at + width), (proof >> np.uint64(32)).astype(np.uint32), owner, place
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from priorday.llm import common, simhash, substring_dedup, suffix, suffix_dedup
+from priorday.llm import common, quality_rules, simhash, substring_dedup, suffix, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -247,3 +247,24 @@ def test_empty_tables(docs):
     assert simhash.near_duplicates(none).count() == 0
     assert substring_dedup.remove_repeats(none).count() == 0
     assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+# Two words that one chained 64-bit word hash cannot tell apart.
+ALIKE = ("r?iGp/58!@@!!!@!", "'b&#z9PRzhqMD#vE")
+
+
+def test_words_are_told_apart(spark):
+    rng = random.Random(14)
+    words = list({"".join(rng.choice("ab\0é") for _ in range(rng.randint(1, 9))) for _ in range(4000)} | set(ALIKE))
+    raw = [w.encode() for w in words]
+    ends = np.cumsum(list(map(len, raw)))
+    at = (np.frombuffer(b"".join(raw), np.uint8), ends - list(map(len, raw)), ends)
+    assert len(set(common.word_codes(*at).tolist())) == len(words)
+    for hashes in common.word_hashes(*at):
+        assert len(set(hashes.tolist())) == len(words)
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = substring_dedup.remove_repeats(spark.createDataFrame([(i, f"{rest} {w}") for i, w in enumerate(ALIKE)], "doc_id long, text string")).collect()
+    assert [r.n_removed for r in rows] == [0, 0]
+    both = " ".join(f"x{i} {w} y z{i}" for i in range(1) for w in ALIKE) + " q" * 1
+    judged = quality_rules.repetition_rules(spark.createDataFrame([(0, f"a {ALIKE[0]} b mid a {ALIKE[1]} b"), (1, both)], "doc_id long, text string")).collect()
+    assert [r.n_repeat_words for r in judged] == [0, 0]
