@@ -192,8 +192,17 @@ def ledger_step(fixtures: DataFrame, events: DataFrame, quotes: DataFrame, resul
 
     Each step's rows are written to the shared folder before the next one reads
     them, so every step sees the same rows and no plan holds another twice."""
-    seen, fixtures, states = as_records(ledger), written(fixtures, "fixtures"), written(states, "states")
-    made = None
+    steps = ledger_steps(fixtures, events, quotes, results, ledger, written(states, "states"), now)
+    made = steps[0]
+    for rows in steps[1:]:
+        made = made.unionByName(rows)
+    return made
+
+
+def ledger_steps(fixtures: DataFrame, events: DataFrame, quotes: DataFrame, results: DataFrame, ledger: DataFrame, states: DataFrame, now: str) -> list[DataFrame]:
+    """The written rows of each step of one pass; `forget` them once they are appended. `states` should be a table."""
+    seen, made = as_records(ledger), []
+    fixtures = fixtures if hasattr(fixtures, "written_path") else written(fixtures, "fixtures")
     for step in (
         lambda x: missed_forecasts(fixtures, x, now),
         lambda x: forecast_replacement(fixtures, x, states, now).unionByName(reschedules(fixtures, x, now)),
@@ -203,7 +212,7 @@ def ledger_step(fixtures: DataFrame, events: DataFrame, quotes: DataFrame, resul
         lambda x: due_primaries(x, now),
     ):
         rows = written(ledger_append(as_records(step(seen)), seen), "ledger-step")
-        made = rows if made is None else made.unionByName(rows)
+        made.append(rows)
         seen = seen.unionByName(rows)
     return made
 

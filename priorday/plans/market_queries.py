@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,8 @@ from priorday.operators import market as M
 from priorday.operators import quality as Q
 from priorday.operators import rating as R
 from priorday.sources import contests as A
-from priorday.sources.shared import scratch
+from priorday.sources.commits import CommittedTables
+from priorday.sources.shared import scratch, written
 from priorday.streaming import streams
 
 from .base import NOW, query, sql
@@ -308,7 +310,7 @@ def ledger_step_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ledger_stream", sql("SELECT record_type, count(*) AS n FROM ledger GROUP BY 1", "ledger"))
 def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger's daily files streamed one a batch, every row twice; counts of what was appended."""
+    """The ledger's records, every row twice, streamed in four files two a batch, and appended alone; counts of what was appended."""
     home = scratch(spark, "ledger-stream")
     rows = L.as_records(A.ledger(spark, sf_dir))
     rows.unionByName(rows).repartitionByRange(4, "recorded_at").write.parquet(f"{home}/in")
@@ -318,6 +320,126 @@ def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.ledger_status(spark.read.schema(rows.schema).parquet(f"{home}/ledger"))
 
 
+FILES = 8  # daily poll files of each kind in a micro-batch
+_AT = "strftime({0}, '%Y-%m-%dT%H:%M:%SZ')"
+_RATED = "1 / (1 + pow(10, (coalesce(rb.rating, 1500) - coalesce(ra.rating, 1500)) / 400))"
+
+
+def _pass_sql(i: int) -> str:
+    """One pass after the other in SQL: l{i} is the ledger after batch i, e{i}_n what its later steps see."""
+    before = f"l{i - 1}" if i else "none"
+    columns = "record_id, record_type, match_id, recorded_at, scheduled_start, refers_to, reason, p, odds_a, odds_b"
+    row = lambda rid, kind, start="CAST(NULL AS TIMESTAMP)", refers="NULL", reason="NULL", p="NULL", at="now", odds="NULL, NULL": f"SELECT {rid}, '{kind}', match_id, {at}, {start}, {refers}, {reason}, {p}, {odds}"
+    at = _AT.format("scheduled_at")
+    starts = "SELECT match_id, coalesce(arg_max(scheduled_start, (recorded_at, record_id)) FILTER (record_type = 'reschedule'), arg_min(scheduled_start, (recorded_at, record_id))) AS active_start FROM {0} WHERE scheduled_start IS NOT NULL GROUP BY 1"
+    live = "SELECT match_id, min((recorded_at, record_id))[2] AS refers_to FROM {0} WHERE record_type = 'forecast_generated' AND record_id NOT IN (SELECT refers_to FROM {0} WHERE record_type = 'forecast_superseded') GROUP BY 1"
+    grown = lambda name, old, made: f"{name}({columns}) AS MATERIALIZED (SELECT * FROM {old} UNION ALL SELECT * FROM ({made}) x({columns}) WHERE record_id NOT IN (SELECT record_id FROM {old}))"
+    parts = [
+        f"now{i} AS MATERIALIZED (SELECT CAST(least(lo + {FILES * i + FILES - 1}, hi) AS TIMESTAMP) + INTERVAL 750 MINUTE AS now FROM bounds)",
+        f"f{i} AS MATERIALIZED (SELECT *, start AS scheduled_at FROM polled WHERE batch = {i} AND event_type IN ('signup', 'view') QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY arrival DESC, event_id DESC) = 1)",
+        grown(f"e{i}_1", before, row("'terminal:' || match_id || ':missed_prospective_forecast'", "terminal_exclusion", reason="'missed_prospective_forecast'") + f" FROM f{i}, now{i} WHERE scheduled_at <= now AND match_id NOT IN (SELECT match_id FROM {before})"),
+        f"moved{i} AS MATERIALIZED (SELECT * FROM f{i} JOIN ({starts.format(f'e{i}_1')}) USING (match_id), now{i} WHERE abs(epoch_us(scheduled_at) - epoch_us(active_start)) > 3600000000)",
+        f"due{i} AS MATERIALIZED (SELECT m.*, refers_to, {_RATED} AS p FROM moved{i} m JOIN ({live.format(f'e{i}_1')}) USING (match_id) LEFT JOIN rated ra ON ra.team_id = a LEFT JOIN rated rb ON rb.team_id = b WHERE CAST(scheduled_at AS DATE) <> CAST(active_start AS DATE))",
+        grown(
+            f"e{i}_2",
+            f"e{i}_1",
+            " UNION ALL ".join(
+                [
+                    row(f"'forecast_superseded:' || refers_to || ':' || {at}", "forecast_superseded", "scheduled_at", "refers_to") + f" FROM due{i}",
+                    row(f"'forecast:' || match_id || ':' || {at}", "forecast_generated", "scheduled_at", "refers_to", p="p") + f" FROM due{i} WHERE scheduled_at > now",
+                    row(f"'terminal:' || match_id || ':missed_rescheduled_forecast:' || {at}", "terminal_exclusion", "scheduled_at", "refers_to", "'missed_rescheduled_forecast'") + f" FROM due{i} WHERE scheduled_at <= now",
+                    row(f"'reschedule:' || match_id || ':' || {at}", "reschedule", "scheduled_at") + f" FROM moved{i}",
+                    row(f"'primary_superseded:' || record_id || ':' || {at}", "primary_market_superseded", "scheduled_at", "record_id") + f" FROM moved{i} JOIN (SELECT record_id, match_id FROM e{i}_1 WHERE record_type = 'primary_market_selected') USING (match_id)",
+                ]
+            ),
+        ),
+        f"""known{i} AS MATERIALIZED (SELECT *, CASE WHEN status = 'canceled' THEN 'cancelled' WHEN forfeit THEN 'forfeit_excluded' ELSE 'unresolved_or_invalid_result' END AS why,
+ CASE WHEN status = 'running' AND NOT forfeit THEN NULL WHEN status = 'finished' AND NOT forfeit AND winner_id IN (a, b) THEN 'outcome_attached' ELSE 'terminal_exclusion' END AS kind
+ FROM polled WHERE batch <= {i} AND event_type IN ('purchase', 'error') QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY arrival DESC, event_id DESC) = 1)""",
+        grown(
+            f"e{i}_3",
+            f"e{i}_2",
+            "SELECT CASE WHEN kind = 'outcome_attached' THEN 'outcome:' || match_id ELSE 'terminal:' || match_id || ':' || why END, kind, match_id, now, NULL, NULL, CASE WHEN kind = 'terminal_exclusion' THEN why END, NULL, NULL, NULL"
+            f" FROM known{i} JOIN ({live.format(f'e{i}_2')}) USING (match_id) JOIN ({starts.format(f'e{i}_2')}) USING (match_id), now{i}"
+            f" WHERE kind IS NOT NULL AND active_start <= now AND match_id NOT IN (SELECT match_id FROM e{i}_2 WHERE record_type IN ('outcome_attached', 'terminal_exclusion'))",
+        ),
+        f"near{i} AS MATERIALIZED (SELECT * FROM f{i}, now{i} WHERE (epoch_us(scheduled_at) - epoch_us(now)) / 6e7::DOUBLE BETWEEN 45 AND 75 AND a <> b)",
+        f"""pairs{i} AS MATERIALIZED (SELECT x.match_id, count(*) OVER (PARTITION BY x.match_id) AS m, count(*) OVER (PARTITION BY y.match_id) AS n FROM near{i} x JOIN f{i} y
+ ON least(x.a, x.b) = least(y.a, y.b) AND greatest(x.a, x.b) = greatest(y.a, y.b) WHERE abs(epoch(x.scheduled_at) - epoch(y.scheduled_at + INTERVAL 1 HOUR)) <= 7200)""",
+        grown(
+            f"e{i}_4",
+            f"e{i}_3",
+            row(f"'forecast:' || match_id || ':' || {at}", "forecast_generated", "scheduled_at", p=_RATED) + f" FROM near{i} LEFT JOIN rated ra ON ra.team_id = a LEFT JOIN rated rb ON rb.team_id = b"
+            f" WHERE match_id IN (SELECT match_id FROM pairs{i} WHERE m = 1 AND n = 1) AND match_id NOT IN (SELECT match_id FROM ({live.format(f'e{i}_3')}))",
+        ),
+        grown(
+            f"e{i}_5",
+            f"e{i}_4",
+            f"SELECT rid, 'market_candidate', any_value(match_id), any_value(captured_at), any_value(start), NULL, NULL, NULL, any_value(odds_a), any_value(odds_b) FROM (SELECT *, 'candidate:' || match_id || ':' || {_AT.format('captured_at')} || ':' || odds_a || ':' || odds_b AS rid"
+            f" FROM polled WHERE batch = {i} AND event_type = 'click' AND odds_a > 1 AND odds_b > 1) GROUP BY rid",
+        ),
+        grown(
+            f"l{i}",
+            f"e{i}_5",
+            f"""SELECT 'primary:' || match_id || ':' || record_id, 'primary_market_selected', match_id, now, scheduled_start, record_id, NULL, NULL, NULL, NULL FROM (SELECT c.*, now FROM e{i}_5 c JOIN ({starts.format(f'e{i}_5')}) s ON s.match_id = c.match_id AND s.active_start = c.scheduled_start, now{i}
+ WHERE record_type = 'market_candidate' AND (epoch_us(active_start) - epoch_us(now)) / 6e7::DOUBLE < 45 AND (epoch_us(scheduled_start) - epoch_us(recorded_at)) / 6e7::DOUBLE BETWEEN 45 AND 75
+ AND NOT EXISTS (SELECT 1 FROM e{i}_5 p WHERE p.record_type = 'primary_market_selected' AND p.match_id = c.match_id AND p.scheduled_start = c.scheduled_start)
+ QUALIFY row_number() OVER (PARTITION BY c.match_id ORDER BY abs((epoch_us(scheduled_start) - epoch_us(recorded_at)) / 6e7::DOUBLE - 60), recorded_at, md5(record_id)) = 1)""",
+        ),
+    ]
+    return ",\n".join(parts)
+
+
+_POLLED = """, rated AS MATERIALIZED (SELECT team_id, arg_max(rating, match_date) AS rating FROM states GROUP BY 1),
+landed AS (SELECT *, user_id || ':' || ((CAST(ts AS DATE) - DATE '1970-01-01') // 3) AS match_id, user_id % 100 AS a, (user_id * 7 + 13) % 100 AS b, CAST(ts AS DATE) + CASE WHEN event_id % 37 = 0 THEN 2 ELSE 0 END AS arrival,
+  CASE WHEN event_id % 2 = 1 THEN date_trunc('hour', ts) + INTERVAL 90 MINUTE ELSE CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 810 MINUTE END AS start FROM events),
+bounds AS MATERIALIZED (SELECT min(arrival) AS lo, max(arrival) AS hi FROM landed),
+polled AS MATERIALIZED (SELECT *, (arrival - lo) // {FILES} AS batch, start - to_minutes(45 + event_id % 40) AS captured_at, 0.99::DOUBLE + value / 50 AS odds_a, 0.99::DOUBLE + (event_id % 400)::DOUBLE / 100.0::DOUBLE AS odds_b,
+  CASE WHEN event_type = 'purchase' THEN 'finished' WHEN event_id % 2 = 1 THEN 'canceled' ELSE 'running' END AS status, event_id % 11 = 0 AS forfeit, CASE event_id % 3 WHEN 0 THEN a WHEN 1 THEN b ELSE 9999 END AS winner_id FROM landed, bounds),
+none AS MATERIALIZED (SELECT CAST(NULL AS VARCHAR) AS record_id, CAST(NULL AS VARCHAR) AS record_type, CAST(NULL AS VARCHAR) AS match_id, CAST(NULL AS TIMESTAMP) AS recorded_at, CAST(NULL AS TIMESTAMP) AS scheduled_start, CAST(NULL AS VARCHAR) AS refers_to,
+  CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS DOUBLE) AS p, CAST(NULL AS DOUBLE) AS odds_a, CAST(NULL AS DOUBLE) AS odds_b WHERE false),
+""".replace("{FILES}", str(FILES))
+_BATCHES = 32 // FILES  # the events' 30 days and two for late rows
+_POLLS_SQL = _POLLED + ",\n".join(map(_pass_sql, range(_BATCHES))) + f"""
+SELECT record_type, match_id, {_AT.format("recorded_at")} AS recorded_at, coalesce({_AT.format("scheduled_start")}, '') AS scheduled_start, coalesce(reason, '') AS reason, count(*) AS n,
+ round(sum(p) FILTER (record_type = 'forecast_generated'), 6) AS p_team_a FROM l{_BATCHES - 1} GROUP BY ALL"""
+
+
+def land_polls(spark: SparkSession, sf_dir: str, home: str) -> None:
+    """The polls as files of JSON lines, one a day and kind, with times of change in the order of days, which streams follow."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(home).getFileSystem(spark._jsc.hadoopConfiguration())
+    for kind, rows in A.polls(spark, sf_dir).items():
+        rows.repartition("arrival").write.partitionBy("arrival").json(f"{home}/{kind}")
+        days = sorted((x.getPath() for x in fs.listStatus(path(f"{home}/{kind}")) if x.isDirectory()), key=lambda p: p.getName())
+        for n, day in enumerate(days):
+            for file in fs.listStatus(day):
+                fs.setTimes(file.getPath(), 1_700_000_000_000 + 1000 * n, -1)
+
+
+@query("ledger_polls", _after(sql(_POLLS_SQL, "states", ks="64.0")))
+def ledger_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily polls streamed eight days a batch, every batch a pass of the ledger; the first start is lost before its second commit."""
+
+    def lost(batch: int) -> None:
+        if batch == 1:
+            raise RuntimeError("lost before the commit")
+
+    home = scratch(spark, "ledger-polls")
+    land_polls(spark, sf_dir, home)
+    tables = CommittedTables(spark, f"{home}/tables", streams.POLL_TABLES)
+    rated = written(states(spark, sf_dir), "states")
+    start = lambda hook: streams.ledger_polls(streams.poll_feed(spark, home, FILES), tables, rated, f"{home}/checkpoint", before_commit=hook)
+    try:
+        start(lost).awaitTermination()
+    except StreamingQueryException:
+        start(None).awaitTermination()
+    forecast = F.when(F.col("record_type") == "forecast_generated", F.col("p_team_a"))
+    kinds = ("record_type", "match_id", "recorded_at", "scheduled_start", "reason")
+    rows = tables.read("ledger").select("record_type", "match_id", stamp("recorded_at"), F.coalesce(stamp("scheduled_start"), F.lit("")).alias("scheduled_start"), F.coalesce("reason", F.lit("")).alias("reason"), forecast.alias("p"))
+    return rows.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("p"), 6).alias("p_team_a"))
+
+
 @query("elo_stream", sql("SELECT 'all' AS pool, match_id, match_date, round(rating_a_pre, 6) AS rating_a_pre, round(rating_b_pre, 6) AS rating_b_pre, round(p, 6) AS probability_a, team_a_prior, team_b_prior FROM history", "history", ks="64.0"))
 def elo_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All contests streamed in date order in one pool, as in elo_history; every day's ratings.

@@ -173,3 +173,44 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(a % 3 == 0, a).when(a % 3 == 1, b).otherwise(F.lit(9999)).alias("winner_id"),
         F.array(a, b).alias("opponent_ids"),
     )
+
+
+def polls(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """What a poll a day would have landed, by kind, with the day it landed (`arrival`), from the event stream.
+
+    A match is a user's three days; a day's events are its listings (with the same match of another source, sides
+    swapped, an hour later), quotes and results. Every 37th event lands two days late. Every kind lands a row on every
+    day, one with a null match_id where there is nothing."""
+    a, b, odd = F.col("user_id") % 100, (F.col("user_id") * 7 + 13) % 100, F.col("event_id") % 2 == 1
+    names = [F.concat(F.lit("team "), x.cast("string")) for x in (a, b)]
+    day = F.to_date("ts")
+    e = events(spark, sf_dir).withColumns(
+        {
+            "match_id": F.concat_ws(":", F.col("user_id").cast("string"), F.floor(F.unix_date(day) / 3).cast("string")),
+            "arrival": F.when(F.col("event_id") % 37 == 0, F.date_add(day, 2)).otherwise(day),
+            "start": F.when(odd, F.date_trunc("hour", "ts") + F.expr("INTERVAL 90 MINUTES")).otherwise(day.cast("timestamp") + F.expr("INTERVAL 810 MINUTES")),
+            "sequence": F.col("event_id"),
+        }
+    )
+    shapes = {
+        "fixtures": (("signup", "view"), [a.alias("team_a_id"), b.alias("team_b_id"), names[0].alias("team_a_name"), names[1].alias("team_b_name"), F.col("start").alias("scheduled_at")]),
+        "events": (("signup", "view"), [names[1].alias("team_a"), names[0].alias("team_b"), (F.col("start") + F.expr("INTERVAL 1 HOUR")).alias("start")]),
+        "quotes": (("click",), [(F.col("start") - F.make_dt_interval(mins=(F.lit(45) + F.col("event_id") % 40).cast("int"))).alias("captured_at"), "start", (F.lit(0.99) + F.col("value") / 50).alias("odds_a"), (F.lit(0.99) + (F.col("event_id") % 400) / F.lit(100.0)).alias("odds_b")]),
+        "results": (
+            ("purchase", "error"),
+            [
+                F.when(F.col("event_type") == "purchase", "finished").when(odd, "canceled").otherwise("running").alias("status"),
+                (F.col("event_id") % 11 == 0).alias("forfeit"),
+                F.when(F.col("event_id") % 3 == 0, a).when(F.col("event_id") % 3 == 1, b).otherwise(F.lit(9999)).alias("winner_id"),
+                F.array(a, b).alias("opponent_ids"),
+            ],
+        ),
+    }
+    days = e.agg(F.min("arrival").alias("lo"), F.max("arrival").alias("hi")).where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("arrival"))
+    polled = (F.col("arrival").cast("timestamp") + F.expr("INTERVAL 750 MINUTES")).alias("polled_at")
+    made = {}
+    for kind, (types, columns) in shapes.items():
+        rows = e.where(F.col("event_type").isin(*types)).select("arrival", polled, "sequence", "match_id", *columns)
+        empty = days.select("arrival", polled, *(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name not in ("arrival", "polled_at")))
+        made[kind] = rows.unionByName(empty)
+    return made

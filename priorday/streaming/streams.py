@@ -1,17 +1,20 @@
-"""Streaming forms: the ledger pass per micro-batch, and day-batched ratings that apply a day once it is closed."""
+"""Streaming forms: the ledger's polling pass per micro-batch, appends alone, and day-batched ratings that apply a day once it is closed."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from priorday.operators.ledger import ledger_append
+from priorday.operators.ledger import RECORD, as_records, ledger_append, ledger_steps
 from priorday.operators.rating import HISTORY, Pool
+from priorday.sources.commits import CommittedTables
+from priorday.sources.shared import forget, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -32,6 +35,68 @@ def ledger_stream(records: DataFrame, read: Callable[[], DataFrame], path: str,
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="15 minutes")).start()
 
 
+#: What polls land, by kind: a line of JSON for each row, and one with a null match_id where a poll found nothing.
+POLLS = {
+    "fixtures": "match_id string, team_a_id long, team_b_id long, team_a_name string, team_b_name string, scheduled_at timestamp",
+    "events": "match_id string, team_a string, team_b string, start timestamp",
+    "quotes": "match_id string, captured_at timestamp, start timestamp, odds_a double, odds_b double",
+    "results": "match_id string, status string, forfeit boolean, winner_id long, opponent_ids array<long>",
+}
+_STAMP = "polled_at timestamp, sequence long"
+#: The tables that a batch changes together: the ledger, the last known result of every match, and one row per pass.
+POLL_TABLES = {
+    "ledger": ", ".join(f"{c} {t}" for c, t in RECORD.items()),
+    "results": f"{POLLS['results']}, {_STAMP}",
+    "passes": "batch long, now timestamp, fixtures long, appended long",
+}
+
+
+def poll_feed(spark: SparkSession, home: str, files: int = 1) -> DataFrame:
+    """The landed polls as one stream: a file stream for each kind, `files` files of each a batch, rows as structs by kind."""
+    feeds = []
+    for kind, columns in POLLS.items():
+        rows = spark.readStream.schema(f"{columns}, {_STAMP}").option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).json(f"{home}/{kind}")
+        others = [F.lit(None).cast(f"struct<{', '.join(x.replace(' ', ':', 1) for x in c.split(', '))}>").alias(k) if k != kind else F.struct(*(x.split(" ")[0] for x in c.split(", "))).alias(k) for k, c in POLLS.items()]
+        feeds.append(rows.select("polled_at", "sequence", "match_id", F.lit(kind).alias("kind"), *others))
+    return reduce(DataFrame.unionAll, feeds)
+
+
+def ledger_polls(feed: DataFrame, tables: CommittedTables, states: DataFrame, checkpoint: str, available_now: bool = True, before_commit: Callable[[int], None] | None = None) -> StreamingQuery:
+    """The polling loop: every micro-batch of landed polls is one pass of the ledger at the time of its last poll.
+
+    Of each match the last listing of the batch counts, and the last result of all batches; quotes all count. Late rows
+    count in the batch that brings them. A pass reads the last commit and adds rows to POLL_TABLES with one commit of
+    the batch's id, so that a batch which is lost half way is done again from the same tables, and one that was
+    committed before it was lost changes nothing when it is replayed. `before_commit` is called when all is staged."""
+    last_of = lambda rows, kind: rows.where(F.col("kind") == kind).groupBy("match_id").agg(F.max_by(kind, F.struct("polled_at", "sequence")).alias("x")).select("x.*")
+
+    def apply(batch: DataFrame, number: int) -> None:
+        committed, at = tables.last()
+        if number <= committed:
+            return
+        batch.persist()
+        now = batch.agg(F.date_format(F.max("polled_at"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+        if now is not None:
+            rows = batch.where("match_id is not null")
+            results = rows.where("kind = 'results'").select("results.*", "polled_at", "sequence")
+            known = tables.read("results", at).unionByName(results).groupBy("match_id").agg(F.max_by(F.struct("status", "forfeit", "winner_id", "opponent_ids"), F.struct("polled_at", "sequence")).alias("x")).select("match_id", "x.*")
+            fixtures = written(last_of(rows, "fixtures"), "fixtures")
+            events = last_of(rows, "events").withColumnRenamed("match_id", "right_id")
+            steps = ledger_steps(fixtures, events, rows.where("kind = 'quotes'").select("quotes.*"), known, tables.read("ledger", at), states, now)
+            added = {"ledger": [tables.stage("ledger", as_records(reduce(DataFrame.unionByName, steps)))], "results": [tables.stage("results", results)]}
+            counts = tables.read("ledger", added).agg(F.count(F.lit(1)).alias("appended")).crossJoin(fixtures.agg(F.count(F.lit(1)).alias("fixtures")))
+            added["passes"] = [tables.stage("passes", counts.select(F.lit(number).cast("long").alias("batch"), F.to_timestamp(F.lit(now)).alias("now"), "fixtures", "appended"))]
+            if before_commit:
+                before_commit(number)
+            tables.commit(number, added)
+            for used in (fixtures, *steps):
+                forget(used)
+        batch.unpersist()
+
+    writer = feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="15 minutes")).start()
+
+
 class DayRatings(StatefulProcessor):
     """Holds a pool's open days; when the watermark passes a day's end, the day moves the ratings and is emitted.
 

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from priorday.functions import scalars as S
@@ -10,6 +11,8 @@ from priorday.operators import ledger as L
 from priorday.operators import market as M
 from priorday.operators import rating as R
 from priorday.sources import files
+from priorday.sources.commits import CommittedTables
+from priorday.sources.shared import written
 from priorday.streaming import streams
 
 T = dt.datetime(2024, 5, 1, 12)
@@ -160,3 +163,71 @@ def test_stream_query_gives_every_contest_of_the_batch(spark, small):
     for m, r in want.items():
         assert (got[m].match_date, got[m].team_a_prior, got[m].team_b_prior) == (r.match_date, r.team_a_prior, r.team_b_prior)
         assert abs(got[m].rating_a_pre - r.rating_a_pre) < 1e-5 and abs(got[m].probability_a - r.probability_a) < 1e-5
+
+
+POLL_DAYS = [dt.datetime(2024, 5, d, 12) for d in (1, 2, 3)]
+
+
+def poll_rows():
+    """Three days of polls: two fixtures are forecast, one moves to another day, one quote lands late, results follow."""
+    one, two, three = POLL_DAYS
+    hour = dt.timedelta(hours=1)
+    listed = lambda m, a, b, start, at, n: {"match_id": m, "team_a_id": a, "team_b_id": b, "team_a_name": f"t{a}", "team_b_name": f"t{b}", "scheduled_at": start, "polled_at": at, "sequence": n}
+    seen = lambda m, a, b, start, at, n: {"match_id": m, "team_a": f"t{b}", "team_b": f"t{a}", "start": start, "polled_at": at, "sequence": n}
+    quote = lambda m, start, at, n: {"match_id": m, "captured_at": start - hour, "start": start, "odds_a": 1.5, "odds_b": 2.5, "polled_at": at, "sequence": n}
+    result = lambda m, a, b, at, n: {"match_id": m, "status": "finished", "forfeit": False, "winner_id": a, "opponent_ids": [a, b], "polled_at": at, "sequence": n}
+    return [
+        {"fixtures": [listed("m1", 1, 2, one + hour, one, 1), listed("m2", 3, 4, one + hour, one, 2), listed("m3", 5, 6, one - hour, one, 3)], "events": [seen("m1", 1, 2, one + hour, one, 1), seen("m2", 3, 4, one + hour, one, 2)], "quotes": [quote("m1", one + hour, one, 1)], "results": []},
+        {"fixtures": [listed("m2", 3, 4, three + hour, two, 4)], "events": [], "quotes": [], "results": [result("m1", 1, 2, two, 1)]},
+        {"fixtures": [], "events": [], "quotes": [quote("m2", three + hour, three, 3)], "results": []},
+    ]
+
+
+def land(spark, home, days):
+    for n, day in enumerate(days):
+        for kind, rows in day.items():
+            empty = {"match_id": None, "polled_at": POLL_DAYS[n], "sequence": None}
+            schema = f"{streams.POLLS[kind]}, polled_at timestamp, sequence long"
+            names = [c.split(" ")[0] for c in schema.split(", ")]
+            spark.createDataFrame([tuple(r.get(c) for c in names) for r in [*rows, empty]], schema).coalesce(1).write.mode("append").json(f"{home}/{kind}")
+
+
+def test_polling_stream_is_the_pass_of_every_batch(spark, tmp_path):
+    home = f"file://{tmp_path}"
+    land(spark, home, poll_rows())
+    tables = CommittedTables(spark, f"{home}/tables", streams.POLL_TABLES)
+    states = written(spark.createDataFrame([("p", 32.0, 1, dt.date(2024, 4, 1), 1600.0, 3)], STATES), "states")
+
+    def lost(batch):
+        if batch == 1:
+            raise RuntimeError("lost")
+
+    start = lambda hook, where: streams.ledger_polls(streams.poll_feed(spark, home), tables, states, f"{home}/{where}", before_commit=hook).awaitTermination()
+    with pytest.raises(StreamingQueryException):
+        start(lost, "c1")
+    assert tables.last()[0] == 0 and tables.read("passes").count() == 1
+    start(None, "c1")
+    rows = {r.record_id: r for r in tables.read("ledger").collect()}
+    one, three = (x.strftime("%Y-%m-%dT13:00:00Z") for x in (POLL_DAYS[0], POLL_DAYS[2]))
+    candidates = sorted(k for k in rows if k.startswith("candidate:"))
+    assert [k.split(":")[1] for k in candidates] == ["m1", "m2"]
+    assert set(rows) - set(candidates) == {
+        "terminal:m3:missed_prospective_forecast", f"forecast:m1:{one}", f"forecast:m2:{one}",
+        f"reschedule:m2:{three}", f"forecast_superseded:forecast:m2:{one}:{three}", f"forecast:m2:{three}", "outcome:m1", f"primary:m1:{candidates[0]}",
+    }
+    assert rows["outcome:m1"].team_a_won and rows[f"forecast:m1:{one}"].p_team_a > 0.6 and rows[f"forecast:m2:{three}"].refers_to == f"forecast:m2:{one}"
+    assert [(r.batch, r.appended) for r in tables.read("passes").orderBy("batch").collect()] == [(0, 4), (1, 5), (2, 1)]
+    number, at = tables.last()
+    start(None, "c2")  # another stream over the same polls finds its batches committed
+    assert tables.last() == (number, at) and number == 2
+
+
+def test_commits_change_tables_together(spark, tmp_path):
+    tables = CommittedTables(spark, f"file://{tmp_path}/t", {"x": "a long", "y": "b string"}, merge_at=3)
+    assert tables.last() == (-1, {}) and tables.read("x").count() == 0
+    for n in range(5):
+        x, y = tables.stage("x", spark.range(n, n + 2).withColumnRenamed("id", "a")), tables.stage("y", spark.createDataFrame([(str(n),)], "b string"))
+        assert tables.read("x").count() == 2 * n  # staged rows do not count
+        assert tables.commit(n, {"x": [x], "y": [y]}) and not tables.commit(n, {"x": [x]})
+    assert sorted(r.a for r in tables.read("x").collect()) == sorted(i for n in range(5) for i in (n, n + 1))
+    assert sorted(r.b for r in tables.read("y").collect()) == list("01234") and len(tables.last()[1]["x"]) < 5
