@@ -13,7 +13,7 @@ from priorday.operators import rating as R
 from priorday.operators import resolve as J
 from priorday.sources import contests as A
 from priorday.sources import files
-from priorday.sources.shared import written
+from priorday.sources.shared import exists, written
 
 from .base import DEVELOPMENT, GRID, K, query, sql
 
@@ -28,7 +28,7 @@ _pools: dict[tuple[str, str], DataFrame] = {}
 def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical contests with the pool of their teams; pools are found once per application and written."""
     made, key = canonical(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
-    if key not in _pools:
+    if key not in _pools or not exists(_pools[key]):
         _pools[key] = written(R.meeting_pools(made), "pools", keep=True)
     return R.with_pools(made, _pools[key])
 

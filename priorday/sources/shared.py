@@ -21,9 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh path in the shared folder, which `clear` deletes unless it is to `keep`."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if not keep:
+        spark.__dict__.setdefault("_priorday_written", set()).add(path)
+    return path
 
 
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -33,7 +36,7 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     can drop a table that nothing reads any more. What a lazy result still reads
     stays until `clear`, which spares tables written to `keep`."""
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = scratch(spark, name, keep)
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")  # the shuffle files of this write are not read again
     try:
@@ -42,11 +45,15 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
-    if not keep:
-        spark.__dict__.setdefault("_priorday_written", set()).add(path)
     return out
 
 
+def exists(df: DataFrame) -> bool:
+    """Whether the files of a table made by `written` are still there."""
+    jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_path)
+    return jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(jpath)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
@@ -59,6 +66,6 @@ def forget(df: DataFrame) -> None:
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete all tables that this session has written on the way; call it once the results made from them are saved."""
+    """Delete all tables and scratch folders that this session has written on the way; call it once the results made from them are saved."""
     for path in spark.__dict__.pop("_priorday_written", set()):
         _delete(spark, path)

@@ -1,7 +1,12 @@
 """Tables in the shared folder, reports by run, and ledgers that are not there yet."""
 
 import os
+import subprocess
+import sys
+from pathlib import Path
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from priorday.sources import files, shared
@@ -38,3 +43,29 @@ def test_inventory_of_empty_and_filled_files(spark, tmp_path):
     got = {os.path.basename(r.path): (r.n_rows, r.null_x, r.null_y) for r in files.file_inventory(spark, f"file://{tmp_path}/*.csv", ["x", "y"]).collect()}
     assert got["a.csv"] == (2, 0, 1) and got["b.csv"][0] == 0
     assert files.read_strings(spark, f"file://{tmp_path}/a.csv", ["x", "y"]).where(F.col("x") == "nan").count() == 1
+
+
+def test_clear_deletes_scratch_and_written_tables(spark):
+    from priorday.sources import shared
+
+    kept, gone = shared.written(spark.range(3), "kept", keep=True), shared.written(spark.range(3), "gone")
+    path = shared.scratch(spark, "files")
+    spark.range(2).write.parquet(path)
+    shared.clear(spark)
+    assert shared.exists(kept) and not shared.exists(gone) and kept.count() == 3
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
+    shared.forget(kept)
+
+
+def test_only_the_optional_part_may_be_missing(tmp_path):
+    """The entry stands without the training-data part, and says so when something else is missing."""
+    root = Path(__file__).resolve().parents[1]
+    for name in ("priorday", "__spark_entry__.py"):
+        (tmp_path / name).symlink_to(root / name)
+    run = lambda code: subprocess.run([sys.executable, "-c", f"import sys; sys.path.insert(0, '.'); {code}"], cwd=tmp_path, capture_output=True, text=True)
+    hide = "import importlib.abc as a; F = type('F', (a.MetaPathFinder,), {'find_spec': lambda s, n, p, t=None: (_ for _ in ()).throw(ModuleNotFoundError(n, name=n)) if n in HIDDEN else None}); sys.meta_path.insert(0, F()); "
+    alone = run(f"HIDDEN = {{'priorday.llm', 'corpus_pipeline'}}; {hide}import __spark_entry__ as e; print(len(e.queries()), any(x.startswith('op1_') for x in e.queries()))")
+    assert alone.returncode == 0 and alone.stdout.split()[1] == "False", alone.stderr
+    broken = run(f"HIDDEN = {{'priorday.plans.market_queries'}}; {hide}import __spark_entry__")
+    assert broken.returncode != 0 and "market_queries" in broken.stderr
