@@ -15,7 +15,7 @@ any column expression can take its place.
 Defined results: null source or language counts as the empty name. Null or
 wordless texts have no tokens, fall into topic "empty" and are never drawn. Rows
 that share doc_id and cell share the draw; a null doc_id draws as the empty name.
-An empty table gives an empty result. Columns of `docs` that clash with names
+Texts of any length count whole, by one pass of a pattern. An empty table gives an empty result. Columns of `docs` that clash with names
 used here are safe: each row is packed before anything is added."""
 
 from __future__ import annotations
@@ -163,8 +163,9 @@ def mixing_sql(rounds: int = ROUNDS, temper: float = TEMPER, share: float = SHAR
         "WITH "
         + ",\n".join(parts)
         + f"""
-SELECT doc_id, source, lang, topic, n_tokens, round(p, 6) AS probability, u < p AS sampled FROM (
- SELECT doc_id, d.source, d.lang, d.topic, n_tokens, CASE WHEN w IS NULL THEN 0.0 ELSE least(w / tokens, 1.0) END AS p,
+SELECT doc_id, source, lang, topic, n_tokens, round(rate, 6) AS rate, round(least(rate, 1.0), 6) AS probability,
+ CAST(floor(rate) AS BIGINT) + CAST(u < rate - floor(rate) AS BIGINT) AS copies, u < least(rate, 1.0) AS sampled FROM (
+ SELECT doc_id, d.source, d.lang, d.topic, n_tokens, CASE WHEN w IS NULL THEN 0.0 ELSE w / tokens END AS rate,
   CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
  FROM docs d LEFT JOIN c{k} c ON d.source = c.source AND d.lang = c.lang AND d.topic = c.topic)"""
     )

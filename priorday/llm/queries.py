@@ -43,7 +43,9 @@ def op5_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang",
         "topic",
         F.col("tokens").alias("n_tokens"),
+        F.round(F.coalesce("rate", F.lit(0.0)), 6).alias("rate"),
         F.round("probability", 6).alias("probability"),
+        "copies",
         "sampled",
     )
 

@@ -361,3 +361,22 @@ def test_neighbours_match_brute_force(spark, how):
         assert [(k, i) for k, i, _ in sorted(got[q])] == list(enumerate(want, 1))
         assert all(s == score[i] for _, i, s in got[q])
     assert set(got) == set(range(0, 230, 10))
+
+
+def test_expected_tokens_meet_every_margin(spark, small):
+    """The registered result's rates, times tokens, sum to the targets of all margins; copies follow the rates."""
+    from priorday.llm import queries
+
+    rows = queries.op5_raked_mixing(spark, small).collect()
+    total = mixing.SHARE * sum(r.n_tokens for r in rows)
+    assert abs(sum(r.rate * r.n_tokens for r in rows) / total - 1) < 1e-3
+    for margin in mixing.MARGINS:
+        weight, expected = {}, {}
+        for r in rows:
+            weight[r[margin]] = weight.get(r[margin], 0) + r.n_tokens
+            expected[r[margin]] = expected.get(r[margin], 0.0) + r.rate * r.n_tokens
+        tempered = {k: n**mixing.TEMPER for k, n in weight.items() if n}
+        for k, n in tempered.items():
+            assert abs(expected[k] / (total * n / sum(tempered.values())) - 1) < 0.02, (margin, k)
+    assert any(r.rate > 1 for r in rows)
+    assert all(r.copies in (int(r.rate), int(r.rate) + 1) and r.sampled == (r.copies > 0) and abs(r.probability - min(r.rate, 1)) < 1e-9 for r in rows)
