@@ -8,6 +8,7 @@ in numpy: memory is the pool's team ratings plus a batch and one day."""
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +47,9 @@ class Pool:
         delta = self.k * (won - p)
         teams, moves = np.stack([a, b], 1).ravel(), np.stack([delta, -delta], 1).ravel()
         if self.last_wins:
-            moved = np.zeros(len(self.ratings))
-            moved[teams] = moves  # of a team's rows the last stays
-            self.ratings = self.ratings + moved
-            self.counts[np.unique(teams)] += 1
+            known, at = np.unique(teams[::-1], return_index=True)
+            self.ratings[known] += moves[::-1][at]  # of a team's rows the last stays
+            self.counts[known] += 1
         else:
             np.add.at(self.ratings, teams, moves)
             np.add.at(self.counts, teams, 1)
@@ -62,36 +62,41 @@ def _folded(scale: float, initial: float, last_wins: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state, last, held = None, None, None, None
-
-        def judged(rows: pa.Table) -> pa.RecordBatch:
-            """Whole days of one pool, in order."""
-            days = rows["match_date"].cast(pa.int32()).to_numpy()
-            if (np.diff(days) < 0).any() or (last is not None and days[0] <= last):
-                raise ValueError("dates must rise inside a pool")
-            a, b = (state.places(rows[f"team_{s}_id"].to_numpy()) for s in "ab")
+        for batch in chain(batches, [None]):  # at None the rows held back are due
+            parts = [held] if held is not None else []
+            rows = pa.concat_tables(parts + ([pa.Table.from_batches([batch])] if batch is not None else [])) if parts or batch is not None else None
+            if rows is None or not rows.num_rows:
+                continue
+            pools, ks, days = rows["pool"].combine_chunks().dictionary_encode(), rows["k"].to_numpy(), rows["match_date"].cast(pa.int32()).to_numpy()
+            codes, names_of = pools.indices.to_numpy(), pools.dictionary.to_pylist()
+            cut = np.flatnonzero((np.diff(codes) != 0) | (np.diff(ks) != 0)) + 1
+            upto = len(ks)
+            if batch is not None:  # the last pool's last day may go on in the next batch
+                first = cut[-1] if len(cut) else 0
+                upto = first + int(np.flatnonzero(np.append(0, np.diff(days[first:])))[-1:].sum())
+            a, b = (rows[f"team_{s}_id"].to_numpy() for s in "ab")
             won = rows["team_a_won"].cast(pa.int8()).to_numpy().astype(float)
-            cut = [0, *(np.flatnonzero(np.diff(days)) + 1).tolist(), len(days)]
-            made = [state.day(a[s:e], b[s:e], won[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
-            for name, values in zip(numbers, zip(*made, strict=True), strict=True):
-                rows = rows.append_column(name, pa.array(np.concatenate(values)))
-            return rows.select(names).combine_chunks().to_batches()[0]
-
-        for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            while held.num_rows:
-                pools, ks, days = held["pool"].combine_chunks(), held["k"].to_numpy(), held["match_date"].cast(pa.int32()).to_numpy()
-                codes = pools.dictionary_encode().indices.to_numpy()
-                other = np.flatnonzero((codes != codes[0]) | (ks != ks[0]))
-                if (pools[0].as_py(), float(ks[0])) != key:
-                    key, state, last = (pools[0].as_py(), float(ks[0])), Pool(float(ks[0]), scale, initial, last_wins), None
-                # a pool's last day may go on in the next batch
-                n = other[0] if len(other) else np.flatnonzero(np.append(0, np.diff(days)))[-1:].sum()
-                if not n:
-                    break
-                yield judged(held.slice(0, n))
-                last, held = days[n - 1], held.slice(n)
-        if held is not None and held.num_rows:
-            yield judged(held)
+            made = []
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(ks)], strict=True):
+                e = min(e, upto)
+                if e <= s:
+                    continue
+                if (names_of[codes[s]], float(ks[s])) != key:
+                    key, last = (names_of[codes[s]], float(ks[s])), None
+                    state = Pool(float(ks[s]), scale, initial, last_wins)
+                step = np.diff(days[s:e])
+                if (step < 0).any() or (last is not None and days[s] <= last):
+                    raise ValueError("dates must rise inside a pool")
+                last = days[e - 1]
+                at, bt = state.places(a[s:e]), state.places(b[s:e])
+                edges = [0, *(np.flatnonzero(step) + 1).tolist(), e - s]
+                made += [state.day(at[i:j], bt[i:j], won[s + i : s + j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+            held = rows.slice(upto) if upto < len(ks) else None
+            if made:
+                done = rows.slice(0, upto)
+                for name, values in zip(numbers, zip(*made, strict=True), strict=True):
+                    done = done.append_column(name, pa.array(np.concatenate(values)))
+                yield done.select(names).combine_chunks().to_batches()[0]
 
     return run
 
@@ -103,9 +108,18 @@ def elo_history(matches: DataFrame, k: float | Sequence[float] = 32.0, pool: str
     k: one value or several; each is a pool of its own and runs in parallel.
     pool: a column with groups of teams that never meet across groups.
     last_wins: of a team's rows of one day only the last one moves it (by match_id, game)."""
+    dealt = rating_rows(matches, k, pool).repartition("pool", "k").sortWithinPartitions("pool", "k", *ORDER)
+    return dealt.mapInArrow(_folded(scale, initial, last_wins), HISTORY)
+
+
+ORDER = ("match_date", "match_id", "game")
+
+
+def rating_rows(matches: DataFrame, k: float | Sequence[float], pool: str | None) -> DataFrame:
+    """The columns that a rating reads, once for each K."""
     ks = [float(x) for x in (k if isinstance(k, Sequence) else [k])]
     game = F.col("game") if "game" in matches.columns else F.lit(0)
-    rows = matches.select(
+    return matches.select(
         (F.col(pool).cast("string") if pool else F.lit("all")).alias("pool"),
         F.explode(F.array(*map(F.lit, ks))).alias("k"),
         F.col("match_id").cast("long").alias("match_id"),
@@ -115,9 +129,6 @@ def elo_history(matches: DataFrame, k: float | Sequence[float] = 32.0, pool: str
         F.col("team_b_id").cast("long").alias("team_b_id"),
         "team_a_won",
     )
-    order = ["match_date", "match_id", "game"]
-    dealt = rows.repartition("pool", "k").sortWithinPartitions("pool", "k", *order)
-    return dealt.mapInArrow(_folded(scale, initial, last_wins), HISTORY)
 
 
 def meeting_pools(matches: DataFrame) -> DataFrame:

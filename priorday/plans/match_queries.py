@@ -10,6 +10,7 @@ from priorday.operators import evaluate as E
 from priorday.operators import features as X
 from priorday.operators import quality as Q
 from priorday.operators import rating as R
+from priorday.operators import rating_blocks as RB
 from priorday.operators import resolve as J
 from priorday.sources import contests as A
 from priorday.sources import files
@@ -281,6 +282,16 @@ def elo_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("match_id", "match_date", "team_a_id", "team_b_id", "team_a_won", *r6("rating_a_pre", "rating_b_pre", "probability_a", "elo_delta_a"), "team_a_prior", "team_b_prior", "any_team_unseen")
 
 
+@query(
+    "elo_blocks",
+    sql("SELECT k, match_id, match_date, round(rating_a_pre, 6) AS rating_a_pre, round(rating_b_pre, 6) AS rating_b_pre, round(delta, 6) AS elo_delta_a, team_a_prior, team_b_prior FROM history", "history", ks="16.0, 32.0, 64.0"),
+)
+def elo_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratings of every K with all contests in one pool, folded block after block of days."""
+    h = RB.elo_history_in_blocks(canonical(spark, sf_dir), GRID, block_rows=5_000)
+    return h.select("k", "match_id", "match_date", *r6("rating_a_pre", "rating_b_pre", "elo_delta_a"), "team_a_prior", "team_b_prior")
+
+
 @query("elo_final", sql("SELECT team AS team_id, round(rating, 6) AS rating FROM st WHERE d = (SELECT max(d) FROM days)", "st", "days"))
 def elo_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.elo_final(history(spark, sf_dir)).select("team_id", *r6("rating"))

@@ -11,6 +11,7 @@ from priorday.operators import components
 from priorday.operators import features as X
 from priorday.operators import quality as Q
 from priorday.operators import rating as R
+from priorday.operators import rating_blocks as RB
 from priorday.operators import resolve as J
 from priorday.sources import files
 
@@ -208,3 +209,30 @@ def test_snapshots_are_written_once(spark, tmp_path):
     for _ in range(2):
         files.append_snapshots(df, f"file://{tmp_path}/snap", "2024-01-01 00:00:00")
     assert spark.read.parquet(f"file://{tmp_path}/snap").count() == 1
+
+
+def test_many_small_pools_take_linear_time(spark):
+    rows = [(i, D[i % 3], 2 * i, 2 * i + 1, i % 2 == 0, f"p{i:05}") for i in range(2000)] + [(i + 5000, D[4], 2 * i, 2 * i + 1, True, f"p{i:05}") for i in range(2000)]
+    h = R.elo_history(spark.createDataFrame(rows, f"{COLS}, league string"), 32.0, pool="league")
+    second = {r.match_id: r for r in h.where("match_id >= 5000").collect()}
+    assert len(second) == 2000 and all(r.team_a_prior == 1 and (r.rating_a_pre > 1500) == ((r.match_id - 5000) % 2 == 0) for r in second.values())
+
+
+def test_blocks_plan_days_within_the_limit():
+    days = [(D[i], n) for i, n in enumerate([3, 4, 2, 50, 1, 9])]
+    assert [b for _, b, _ in RB.planned_blocks(reversed(days), 9)] == [0, 0, 0, 1, 2, 3] and RB.planned_blocks([], 5) == []
+
+
+@pytest.mark.parametrize("most", [1, 12, 60, 10_000])
+def test_blocks_equal_the_fold(spark, most):
+    rng = random.Random(most)
+    rows = []
+    for i in range(260):
+        a, b = rng.sample(range(40), 2) if rng.random() < 0.8 else (0, rng.randint(1, 39))  # one team in a fifth of all
+        rows.append((i, D[rng.randrange(12)] + dt.timedelta(days=100 * rng.randrange(3)), a, b, rng.random() < 0.5))
+    df = spark.createDataFrame(rows, COLS)
+    numbers = lambda h: {(r.k, r.match_id): (r.match_date, r.team_a_prior, r.team_b_prior, *(round(x, 7) for x in (r.rating_a_pre, r.rating_b_pre, r.probability_a, r.elo_delta_a))) for r in h.collect()}
+    report = []
+    assert numbers(RB.elo_history_in_blocks(df, (16.0, 32.0), block_rows=most, share=0.0, report=report)) == numbers(R.elo_history(df, (16.0, 32.0)))
+    assert sum(x["rows"] for x in report) == 260 and all(x["rows"] <= most or x["days"] == 1 for x in report)
+    assert RB.elo_history_in_blocks(df.where("match_id < 0")).count() == 0
