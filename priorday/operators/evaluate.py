@@ -57,30 +57,57 @@ def metric_slices(forecasts: DataFrame, development: tuple[str, str], test_from:
     return F.broadcast(wanted).join(made, ["period", "seen"], "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
 
 
-def _bins(spark, n: int, low: float, width: float) -> DataFrame:
-    return spark.range(n).select(F.col("id").cast("int").alias("bin"), (F.lit(low) + F.col("id") * F.lit(width)).alias("lo"), (F.lit(low) + (F.col("id") + 1) * F.lit(width)).alias("hi"))
+def yearly_slices(forecasts: DataFrame, development: tuple[str, str], test_from: str) -> DataFrame:
+    """Metric blocks with distinct teams for every year, both periods and all, by seen group; empty slices stay with n = 0.
 
+    A row counts in at most six slices, which are summed and counted together."""
+    day = F.col("match_date")
+    labels = F.array_compact(F.array(F.lit("all"), F.date_format(day, "yyyy"), periods(day, development, test_from)))
+    x = forecasts.select("*", F.explode(labels).alias("slice")).select("*", F.explode(F.array(F.lit("all"), F.when(F.col("any_team_unseen"), "any_unseen").otherwise("both_seen"))).alias("seen"))
+    made = x.groupBy("slice", "seen").agg(*_block())
+    teams = x.select("slice", "seen", F.explode(F.array("team_a_id", "team_b_id")).alias("t")).groupBy("slice", "seen").agg(F.count_distinct("t").alias("n_unique_teams"))
+    names = forecasts.sparkSession.createDataFrame([(x,) for x in ("all", "development", "test")], "slice string")
+    slices = names.unionByName(forecasts.select(F.date_format(day, "yyyy").alias("slice"))).distinct()
+    wanted = slices.select("slice", F.explode(F.array(*map(F.lit, ("all", "any_unseen", "both_seen")))).alias("seen"))
+    full = wanted.join(made, ["slice", "seen"], "left").join(teams, ["slice", "seen"], "left")
+    return full.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_matches", "n_unique_teams")})
 
-def _binned(rows: DataFrame, value: Column, bins: DataFrame) -> DataFrame:
-    """Rows with `_v` and their right-closed bin; the lowest bound itself falls into the first bin."""
-    low = (F.col("_v") > F.col("lo")) | (F.col("bin") == 0)
-    return rows.withColumn("_v", value).join(F.broadcast(bins), low & (F.col("_v") <= F.col("hi")))
+
+def _bins(spark, n: int) -> DataFrame:
+    return spark.range(n).select(F.col("id").cast("int").alias("bin"))
+
+
+def _binned(rows: DataFrame, value: Column, n: int, low: float, width: float) -> DataFrame:
+    """Rows with `_v` and their right-closed bin, values outside dropped; the lowest bound itself falls into the first bin.
+
+    The bin is computed and then held against its own edges, low + bin * width, so no join is needed."""
+    edge = lambda i: F.lit(low) + i * F.lit(width)
+    at = rows.withColumn("_v", value).where((F.col("_v") >= low) & (F.col("_v") <= F.lit(low) + F.lit(n) * F.lit(width)))
+    at = at.withColumn("_g", F.least(F.greatest(F.ceil((F.col("_v") - low) / width) - 1, F.lit(0)), F.lit(n - 1)))
+    g, v = F.col("_g"), F.col("_v")
+    return at.withColumn("bin", F.when((g > 0) & (v <= edge(g)), g - 1).when((g < n - 1) & (v > edge(g + 1)), g + 1).otherwise(g).cast("int")).drop("_g")
 
 
 def calibration(forecasts: DataFrame) -> DataFrame:
     """Ten right-closed bins on [0, 1]: n, mean probability, observed rate; empty bins stay."""
-    bins = _bins(forecasts.sparkSession, 10, 0.0, 0.1)
-    made = _binned(forecasts, F.col("probability_a"), bins).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("probability_a").alias("mean_p"), F.avg(F.col("team_a_won").cast("double")).alias("observed"))
+    bins = _bins(forecasts.sparkSession, 10)
+    made = _binned(forecasts, F.col("probability_a"), 10, 0.0, 0.1).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("probability_a").alias("mean_p"), F.avg(F.col("team_a_won").cast("double")).alias("observed"))
     return bins.select("bin").join(made, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def favorite_calibration(forecasts: DataFrame) -> DataFrame:
     """Five bins on [.5, 1] of the favourite's probability: n, mean, observed rate and gap; empty bins stay."""
-    bins = _bins(forecasts.sparkSession, 5, 0.5, 0.1)
-    p = confidence(F.col("probability_a"))
-    x = _binned(forecasts, p, bins).withColumn("hit", correct(F.col("probability_a"), F.col("team_a_won")).cast("double"))
-    made = x.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean_p"), F.avg("hit").alias("observed"), (F.avg("hit") - F.avg("_v")).alias("gap"))
-    return bins.select("bin").join(made, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return model_calibration(forecasts, ["probability_a"]).drop("model")
+
+
+def model_calibration(forecasts: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Favourite calibration of several forecasts, columns of the same rows: (model, bin, n, mean_p, observed, gap)."""
+    spark = forecasts.sparkSession
+    long = forecasts.select("team_a_won", *models).unpivot("team_a_won", list(models), "model", "p")
+    x = _binned(long, confidence(F.col("p")), 5, 0.5, 0.1).withColumn("hit", correct(F.col("p"), F.col("team_a_won")).cast("double"))
+    made = x.groupBy("model", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean_p"), F.avg("hit").alias("observed"), (F.avg("hit") - F.avg("_v")).alias("gap"))
+    all_bins = spark.createDataFrame([(m, b) for m in models for b in range(5)], "model string, bin int")
+    return all_bins.join(made, ["model", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def loss_table(forecasts: DataFrame, by: Column, name: str) -> DataFrame:
@@ -127,6 +154,23 @@ def date_bootstrap(losses: DataFrame, value: str = "delta_log_loss", draws: int
     return means.agg(F.count(F.lit(1)).alias("n_draws"), F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("p2_5"), F.percentile("m", 0.975).alias("p97_5"), F.avg((F.col("m") < 0).cast("double")).alias("share_below_zero"))
 
 
+def bootstrap_losses(losses: DataFrame, values: Sequence[str] = ("delta_log_loss", "delta_brier"), draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+    """A row per loss: dates, draws, the observed mean, and mean, 2.5 and 97.5 percentiles and share below zero of the same resamples of whole dates."""
+    days = losses.groupBy("match_date").agg(F.count(F.lit(1)).alias("n"), *(F.sum(v).alias(v) for v in values)).withColumn("place", F.row_number().over(Window.orderBy("match_date")) - 1)
+    drawn = date_draws(days, draws, seed).join(F.broadcast(days), "place")  # a row per calendar date
+    means = drawn.groupBy("replicate").agg(*((F.sum(v) / F.sum("n")).alias(v) for v in values)).unpivot("replicate", list(values), "loss", "m")
+    spread = means.groupBy("loss").agg(F.count(F.lit(1)).alias("n_draws"), F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("p2_5"), F.percentile("m", 0.975).alias("p97_5"), F.avg((F.col("m") < 0).cast("double")).alias("share_below_zero"))
+    total = days.agg(F.count(F.lit(1)).alias("n_dates"), *((F.sum(v) / F.sum("n")).alias(v) for v in values)).unpivot("n_dates", list(values), "loss", "observed")
+    return total.join(spread, "loss", "left")
+
+
+def paired_losses(forecasts: DataFrame, challenger: str, incumbent: str, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+    """`bootstrap_losses` of the challenger's log loss and Brier score less the incumbent's."""
+    won = F.col("team_a_won")
+    gaps = {f"delta_{n}": f(F.col(challenger), won) - f(F.col(incumbent), won) for n, f in (("log_loss", log_loss), ("brier", brier))}
+    return bootstrap_losses(forecasts.withColumns(gaps), tuple(gaps), draws, seed)
+
+
 def resample_rows(losses: DataFrame, replicate: int, seed: int = SEED) -> DataFrame:
     """Rows of one resample: every row of each drawn date, once per draw."""
     days = daily_sums(losses, "log_loss")

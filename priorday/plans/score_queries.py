@@ -35,6 +35,11 @@ def metric_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.metric_block(history(spark, sf_dir)))
 
 
+def _after(text: str) -> str:
+    """Append further common table expressions that start the body of a statement made by `sql`."""
+    return text.replace("\n, ", ",\n", 1)
+
+
 _SLICE = f"CASE WHEN match_date BETWEEN DATE '{DEVELOPMENT[0]}' AND DATE '{DEVELOPMENT[1]}' THEN 'development' WHEN {_TEST} THEN 'test' ELSE 'other' END"
 
 
@@ -78,6 +83,47 @@ def favorite_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.favorite_calibration(test_period(spark, sf_dir)).select("bin", "n", *r6("mean_p", "observed", "gap"))
 
 
+_SLICES = """SELECT w.slice, w.seen, coalesce(n_matches, 0) AS n_matches, log_loss, brier_score, accuracy, team_a_rate, pct_any_team_unseen, average_confidence, coalesce(n_unique_teams, 0) AS n_unique_teams
+FROM (SELECT * FROM (SELECT unnest(['all', 'development', 'test']) AS slice UNION SELECT CAST(year AS VARCHAR) FROM losses), (SELECT unnest(['all', 'any_unseen', 'both_seen']) AS seen)) w LEFT JOIN (
+ SELECT slice, seen, {BLOCK} FROM labelled GROUP BY ALL) m ON m.slice = w.slice AND m.seen = w.seen
+LEFT JOIN (SELECT slice, seen, count(DISTINCT t) AS n_unique_teams FROM (SELECT slice, seen, unnest([team_a_id, team_b_id]) AS t FROM labelled) GROUP BY ALL) u ON u.slice = w.slice AND u.seen = w.seen""".replace("{BLOCK}", _BLOCK)
+
+
+@query(
+    "yearly_slices",
+    _after(
+        sql(
+            f""", labelled AS (SELECT * FROM (SELECT *, unnest(['all', CAST(year AS VARCHAR), {_SLICE}]) AS slice FROM (
+ SELECT *, unnest(['all', CASE WHEN any_team_unseen THEN 'any_unseen' ELSE 'both_seen' END]) AS seen FROM losses)) WHERE slice <> 'other')
+{_SLICES}""",
+            "losses",
+        )
+    ),
+)
+def yearly_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.yearly_slices(history(spark, sf_dir), DEVELOPMENT, TEST_FROM))
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test period's matches with the forecast of every K beside each other."""
+    h = history(spark, sf_dir, GRID).where(F.col("match_date") >= F.to_date(F.lit(TEST_FROM)))
+    return h.groupBy("match_id", "match_date", "team_a_won").agg(*(F.max(F.when(F.col("k") == k, F.col("probability_a"))).alias(f"k{k:.0f}") for k in GRID))
+
+
+@query(
+    "model_calibration",
+    sql(
+        f"""SELECT w.model, CAST(w.b AS INTEGER) AS bin, coalesce(n, 0) AS n, mean_p, observed, gap FROM (SELECT * FROM (SELECT unnest(['k16', 'k32', 'k64']) AS model), range(5) t(b)) w LEFT JOIN (
+ SELECT 'k' || CAST(k AS INTEGER) AS model, b2, count(*) AS n, round(avg(confidence), 6) AS mean_p, round(avg(CAST(correct AS DOUBLE)), 6) AS observed, round(avg(CAST(correct AS DOUBLE)) - avg(confidence), 6) AS gap FROM losses, (SELECT range AS b2 FROM range(5))
+ WHERE {_TEST} AND (confidence > 0.5::DOUBLE + b2 * 0.1::DOUBLE OR b2 = 0) AND confidence <= 0.5::DOUBLE + (b2 + 1) * 0.1::DOUBLE GROUP BY ALL) m ON m.model = w.model AND m.b2 = w.b""",
+        "losses",
+        ks="16.0, 32.0, 64.0",
+    ),
+)
+def model_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.model_calibration(_wide(spark, sf_dir), [f"k{k:.0f}" for k in GRID]).select("model", "bin", "n", *r6("mean_p", "observed", "gap"))
+
+
 @query("month_segments", sql(f"SELECT strftime(match_date, '%Y-%m') AS month, {_BLOCK} FROM losses WHERE {_TEST} GROUP BY 1", "losses"))
 def month_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.loss_table(test_period(spark, sf_dir), F.date_format("match_date", "yyyy-MM"), "month"))
@@ -118,17 +164,35 @@ means AS (SELECT r, sum(total) / sum(n) AS m FROM draws JOIN daily USING (place)
 _BOOT_OUT = "SELECT count(*) AS n_draws, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS p2_5, round(quantile_cont(m, 0.975), 6) AS p97_5, round(avg(CAST(m < 0 AS DOUBLE)), 6) AS share_below_zero FROM means"
 
 
-def _after(text: str) -> str:
-    """Append further common table expressions that start the body of a statement made by `sql`."""
-    return text.replace("\n, ", ",\n", 1)
-
-
 @query("date_bootstrap", _after(sql(", " + _boot_sql("log_loss - ln(2)", "losses") + _BOOT_OUT, "losses")))
 def date_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = E.date_bootstrap(E.per_row_losses(test_period(spark, sf_dir)), draws=_DRAWS)
     return b.select("n_draws", *r6("mean", "p2_5", "p97_5", "share_below_zero"))
 
 
+def _boots_sql(log_loss: str, brier: str, source: str) -> str:
+    """Both losses of the same draws, with their observed means."""
+    out = lambda name, v: f"SELECT '{name}' AS loss, (SELECT count(*) FROM daily) AS n_dates, round((SELECT sum({v}) / sum(n) FROM daily), 6) AS observed, count(*) AS n_draws, round(avg({v}), 6) AS mean, round(quantile_cont({v}, 0.025), 6) AS p2_5, round(quantile_cont({v}, 0.975), 6) AS p97_5, round(avg(CAST({v} < 0 AS DOUBLE)), 6) AS share_below_zero FROM means"
+    return f""", daily AS (SELECT match_date, sum({log_loss}) AS x, sum({brier}) AS y, count(*) AS n, row_number() OVER (ORDER BY match_date) - 1 AS place FROM {source} WHERE {_TEST} GROUP BY match_date),
+draws AS (SELECT r, i, CAST('0x' || substr(md5('{E.SEED}:' || r || ':' || i), 1, 8) AS BIGINT) % (SELECT count(*) FROM daily) AS place FROM range({_DRAWS}) a(r), range((SELECT count(*) FROM daily)) b(i)),
+means AS MATERIALIZED (SELECT r, sum(x) / sum(n) AS x, sum(y) / sum(n) AS y FROM draws JOIN daily USING (place) GROUP BY r)
+""" + out("delta_log_loss", "x") + " UNION ALL " + out("delta_brier", "y")
+
+
+_SPREAD = ("observed", "mean", "p2_5", "p97_5", "share_below_zero")
+
+
+@query("bootstrap_losses", _after(sql(_boots_sql("log_loss - ln(2)", "brier - 0.25", "losses"), "losses")))
+def bootstrap_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = E.bootstrap_losses(E.per_row_losses(test_period(spark, sf_dir)), draws=_DRAWS)
+    return b.select("loss", "n_dates", "n_draws", *r6(*_SPREAD))
+
+
+@query("paired_losses", _after(sql(", gaps AS (SELECT a.match_date, a.log_loss - b.log_loss AS x0, a.brier - b.brier AS y0 FROM losses a JOIN losses b USING (match_id) WHERE a.k = 64 AND b.k = 16)" + _boots_sql("x0", "y0", "gaps"), "losses", ks="16.0, 64.0")))
+def paired_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.paired_losses(_wide(spark, sf_dir), "k64", "k16", _DRAWS).select("loss", "n_dates", "n_draws", *r6(*_SPREAD))
+
+
 @query("resample_rows", _after(sql(", " + _boot_sql("log_loss", "losses") + "SELECT match_id, i, match_date, round(log_loss, 6) AS log_loss FROM losses JOIN daily USING (match_date) JOIN draws USING (place) WHERE r = 3", "losses")))
 def resample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = E.resample_rows(E.per_row_losses(test_period(spark, sf_dir)), 3)
