@@ -104,20 +104,30 @@ def active_starts(ledger: DataFrame) -> DataFrame:
     return ledger.where("scheduled_start is not null").groupBy("match_id").agg(F.coalesce(moved, F.min_by("scheduled_start", at)).alias("active_start"))
 
 
+def first_starts(ledger: DataFrame) -> DataFrame:
+    """(match_id, active_start): the first recorded start, whatever was rescheduled since."""
+    at = F.struct("recorded_at", "record_id")
+    return ledger.where("scheduled_start is not null").groupBy("match_id").agg(F.min_by("scheduled_start", at).alias("active_start"))
+
+
 def missed_forecasts(fixtures: DataFrame, ledger: DataFrame, now: str) -> DataFrame:
     """Terminal rows for fixtures first seen at or after their start."""
     late = fixtures.where(F.col("scheduled_at") <= moment(now)).join(ledger.select("match_id").distinct(), "match_id", "left_anti")
     return as_records(late.select(_id("terminal", F.col("match_id"), "missed_prospective_forecast").alias("record_id"), F.lit("terminal_exclusion").alias("record_type"), "match_id", moment(now).alias("recorded_at"), F.lit("missed_prospective_forecast").alias("reason")))
 
 
-def moved_fixtures(fixtures: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Fixtures whose start moved by more than an hour from the active one."""
-    return fixtures.join(active_starts(ledger), "match_id").where(~snapshot_current(F.col("active_start"), F.col("scheduled_at")))
+def moved_fixtures(fixtures: DataFrame, ledger: DataFrame, against: str = "active") -> DataFrame:
+    """Fixtures whose start moved by more than an hour from the active one, or from the `first` recorded one."""
+    starts = {"active": active_starts, "first": first_starts}[against]
+    return fixtures.join(starts(ledger), "match_id").where(~snapshot_current(F.col("active_start"), F.col("scheduled_at")))
+
 
+def reschedules(fixtures: DataFrame, ledger: DataFrame, now: str, against: str = "active") -> DataFrame:
+    """A reschedule row per moved fixture, and one that supersedes each of its primary quotes; see moved_fixtures for `against`.
 
-def reschedules(fixtures: DataFrame, ledger: DataFrame, now: str) -> DataFrame:
-    """A reschedule row per moved fixture, and one that supersedes each of its primary quotes."""
-    moved = moved_fixtures(fixtures, ledger).select("match_id", F.col("scheduled_at").alias("scheduled_start"), moment(now).alias("recorded_at"))
+    Against the first start a fixture that was moved and moved on by less than an hour gives a row for each of its
+    starts, and one that was moved back gives none."""
+    moved = moved_fixtures(fixtures, ledger, against).select("match_id", F.col("scheduled_at").alias("scheduled_start"), moment(now).alias("recorded_at"))
     rows = moved.select("*", _id("reschedule", F.col("match_id"), _at(F.col("scheduled_start"))).alias("record_id"), F.lit("reschedule").alias("record_type"))
     old = ledger.where("record_type = 'primary_market_selected'").select("match_id", F.col("record_id").alias("refers_to"))
     stale = moved.join(old, "match_id").select("*", _id("primary_superseded", F.col("refers_to"), _at(F.col("scheduled_start"))).alias("record_id"), F.lit("primary_market_superseded").alias("record_type"))

@@ -127,6 +127,32 @@ def map_and_roster_link(matches: DataFrame, games: DataFrame, players: DataFrame
     return matches.select("match_id").join(g, "match_id", "left").join(p, "match_id", "left").select("match_id", F.coalesce("n_games", F.lit(0)).alias("n_games"), F.coalesce("n_players", F.lit(0)).alias("n_players"))
 
 
+# The text columns by which map and roster rows name their match.
+MAP_KEY = ("year", "tournament", "stage", "match_type", "match_name", "team_a", "team_b")
+ROSTER_KEY = ("year", "tournament", "stage", "match_type", "match_name")
+
+
+def linked_rows(matches: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Every match with the rows that carry its text key; a match without any keeps one row of nulls.
+
+    matches: match_id and the key; rows: the key and what is linked. Keys are compared as text, exactly; a match whose
+    key holds a null has no rows. Where matches share a key each of them gets all its rows, as the source cannot tell
+    them apart."""
+    text = lambda df: [F.col(c).cast("string").alias(c) for c in key]
+    rest = [c for c in rows.columns if c not in key]
+    return matches.select("match_id", *text(matches)).join(rows.select(*text(rows), *rest), list(key), "left").select("match_id", *rest)
+
+
+def linked_maps(matches: DataFrame, maps: DataFrame) -> DataFrame:
+    """Map scores of every match, by the seven columns of MAP_KEY."""
+    return linked_rows(matches, maps, MAP_KEY)
+
+
+def linked_rosters(matches: DataFrame, players: DataFrame) -> DataFrame:
+    """Players of every match over both sides of play, by the five columns of ROSTER_KEY; per-side rows are left out."""
+    return linked_rows(matches, players.where("side = 'both'").drop("side"), ROSTER_KEY)
+
+
 def feature_coverage(linked: DataFrame, games: DataFrame) -> DataFrame:
     """One row: matches, those with games, those with a roster, and games in all."""
     total = games.agg(F.count(F.lit(1)).alias("map_rows"))

@@ -165,6 +165,34 @@ def reschedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.reschedules(A.fixtures(spark, sf_dir), old_ledger(spark, sf_dir), NOW).select("record_id", "record_type", "match_id", "refers_to")
 
 
+# The ledger after one reschedule of every match of an even team_b to four hours later, so that both rules differ.
+_MOVED_ON = """, moved_on AS (SELECT record_id, record_type, match_id, recorded_at, scheduled_start FROM old_ledger
+ UNION ALL SELECT 'reschedule:' || match_id, 'reschedule', match_id, TIMESTAMP '{NOW}', min(scheduled_start) + INTERVAL 4 HOUR FROM old_ledger WHERE team_b_id % 2 = 0 GROUP BY match_id),
+starts AS (SELECT match_id, arg_min(scheduled_start, (recorded_at, record_id)) AS first_start FROM moved_on GROUP BY 1),
+shifted AS (SELECT * FROM fixtures JOIN starts USING (match_id) WHERE abs(epoch_us(scheduled_at) - epoch_us(first_start)) > 3600000000)
+"""
+
+
+@query(
+    "reschedules_from_first",
+    _after(
+        sql(
+            _MOVED_ON
+            + f"""SELECT 'reschedule:' || match_id || ':' || strftime(scheduled_at, {_TIME}) AS record_id, 'reschedule' AS record_type, match_id, CAST(NULL AS VARCHAR) AS refers_to FROM shifted
+UNION ALL SELECT 'primary_superseded:' || record_id || ':' || strftime(scheduled_at, {_TIME}), 'primary_market_superseded', match_id, record_id FROM shifted JOIN old_ledger USING (match_id) WHERE record_type = 'primary_market_selected'""",
+            "fixtures",
+            "old_ledger",
+        )
+    ),
+)
+def reschedules_from_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reschedules judged against the first start, over a ledger that holds a reschedule of half its matches."""
+    old = old_ledger(spark, sf_dir)
+    even = old.where(F.col("team_b_id") % 2 == 0).groupBy("match_id").agg((F.min("scheduled_start") + F.expr("INTERVAL 4 HOURS")).alias("scheduled_start"))
+    later = even.select(F.concat(F.lit("reschedule:"), "match_id").alias("record_id"), F.lit("reschedule").alias("record_type"), "match_id", L.moment(NOW).alias("recorded_at"), "scheduled_start")
+    return L.reschedules(A.fixtures(spark, sf_dir), old.unionByName(L.as_records(later)), NOW, against="first").select("record_id", "record_type", "match_id", "refers_to")
+
+
 _STATE_AT = "coalesce((SELECT arg_max(rating, s.match_date) FROM states s WHERE s.team_id = {t} AND s.match_date < CAST({d} AS DATE)), 1500)"
 _P = f"round(1 / (1 + pow(10, ({_STATE_AT.format(t='x.team_b_id', d='x.scheduled_at')} - {_STATE_AT.format(t='x.team_a_id', d='x.scheduled_at')}) / 400)), 6)"
 

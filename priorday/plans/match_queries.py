@@ -262,6 +262,45 @@ def map_and_roster_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.map_and_roster_link(canonical(spark, sf_dir), A.map_games(spark, sf_dir), A.lineups(spark, sf_dir))
 
 
+_TEXT_KEYS = """, named AS (SELECT match_id, year, tournament, 'Stage ' || quarter(match_date) AS stage, CASE WHEN match_id % 2 = 0 THEN 'Group' ELSE 'Final' END AS match_type, team_a_name || ' vs ' || team_b_name AS match_name, team_a_name AS team_a, team_b_name AS team_b FROM contests)
+"""
+
+
+def _joined_sql(text: str) -> str:
+    return text.replace("\n, ", ",\n", 1)
+
+
+@query(
+    "linked_maps",
+    _joined_sql(
+        sql(
+            _TEXT_KEYS
+            + """SELECT m.match_id, f.map, f.game, f.score_a, f.score_b FROM named m LEFT JOIN (SELECT n.*, map, game, CASE WHEN team_a_won THEN 13 ELSE 7 END AS score_a, CASE WHEN team_a_won THEN 7 ELSE 13 END AS score_b FROM named n JOIN map_games USING (match_id) WHERE match_id % 7 <> 0) f
+ ON f.year = m.year AND f.tournament = m.tournament AND f.stage = m.stage AND f.match_type = m.match_type AND f.match_name = m.match_name AND f.team_a = m.team_a AND f.team_b = m.team_b""",
+            "contests",
+            "map_games",
+        )
+    ),
+)
+def linked_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.linked_maps(A.text_keys(spark, sf_dir), A.map_files(spark, sf_dir)).select("match_id", "map", "game", "score_a", "score_b")
+
+
+@query(
+    "linked_rosters",
+    _joined_sql(
+        sql(
+            _TEXT_KEYS
+            + """SELECT m.match_id, f.team_id, f.player FROM named m LEFT JOIN (SELECT n.*, l_suppkey AS team_id, 'P' || (l_partkey % 7) AS player FROM named n JOIN lineitem ON l_orderkey = match_id WHERE match_id % 9 <> 0 AND l_linenumber % 3 <> 0) f
+ ON f.year = m.year AND f.tournament = m.tournament AND f.stage = m.stage AND f.match_type = m.match_type AND f.match_name = m.match_name""",
+            "contests",
+        )
+    ),
+)
+def linked_rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.linked_rosters(A.text_keys(spark, sf_dir), A.overview_files(spark, sf_dir)).select("match_id", "team_id", "player")
+
+
 @query("feature_coverage", sql(f"SELECT count(*) AS canonical_rows, count(*) FILTER (n_games > 0) AS series_with_maps, count(*) FILTER (n_players > 0) AS series_with_roster, (SELECT count(*) FROM map_games) AS map_rows FROM ({_LINK_SQL})", "canonical", "map_games", "sides", "lineups"))
 def feature_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.feature_coverage(map_and_roster_link(spark, sf_dir), A.map_games(spark, sf_dir))

@@ -62,6 +62,35 @@ def map_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(brand, F.col("g.part") == brand.p_partkey).select("match_id", "match_date", F.col("p_brand").alias("map"), F.col("g.game").alias("game"), "team_a_id", "team_b_id", (F.col("g.a") > F.col("g.b")).alias("team_a_won"))
 
 
+def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contests under the text by which map and roster files name them; few names keep some contests alike."""
+    c = contests(spark, sf_dir)
+    return c.select(
+        "match_id",
+        "year",
+        "tournament",
+        F.concat(F.lit("Stage "), F.quarter("match_date").cast("string")).alias("stage"),
+        F.when(F.col("match_id") % 2 == 0, "Group").otherwise("Final").alias("match_type"),
+        F.concat("team_a_name", F.lit(" vs "), "team_b_name").alias("match_name"),
+        F.col("team_a_name").alias("team_a"),
+        F.col("team_b_name").alias("team_b"),
+    )
+
+
+def map_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Map scores as a file lists them: text keys in place of ids, nothing for every seventh contest."""
+    keys = text_keys(spark, sf_dir).where("match_id % 7 <> 0")
+    games = map_games(spark, sf_dir).select("match_id", "map", "game", F.when(F.col("team_a_won"), 13).otherwise(7).alias("score_a"), F.when(F.col("team_a_won"), 7).otherwise(13).alias("score_b"))
+    return keys.join(games, "match_id").drop("match_id")
+
+
+def overview_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Players as a file lists them, by side of play; nothing for every ninth contest."""
+    keys = text_keys(spark, sf_dir).where("match_id % 9 <> 0").drop("team_a", "team_b")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("match_id"), F.col("l_suppkey").alias("team_id"), F.concat(F.lit("P"), (F.col("l_partkey") % 7).cast("string")).alias("player"), F.when(F.col("l_linenumber") % 3 == 0, "attack").otherwise("both").alias("side"))
+    return keys.join(lines, "match_id").drop("match_id")
+
+
 def lineups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(match_id, match_date, team_id, player) of every order line."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")

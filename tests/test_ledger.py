@@ -231,3 +231,10 @@ def test_commits_change_tables_together(spark, tmp_path):
         assert tables.commit(n, {"x": [x], "y": [y]}) and not tables.commit(n, {"x": [x]})
     assert sorted(r.a for r in tables.read("x").collect()) == sorted(i for n in range(5) for i in (n, n + 1))
     assert sorted(r.b for r in tables.read("y").collect()) == list("01234") and len(tables.last()[1]["x"]) < 5
+
+
+def test_reschedules_against_the_first_start(spark):
+    rows = [{"record_id": "f", "record_type": "forecast_generated", "match_id": "m", "recorded_at": at(-300), "scheduled_start": at(0)}, {"record_id": "r", "record_type": "reschedule", "match_id": "m", "recorded_at": at(-200), "scheduled_start": at(240)}]
+    fixtures = lambda minutes: spark.createDataFrame([("m", 1, 2, "a", "b", at(minutes))], FIXTURE)
+    n = lambda minutes, rule: L.reschedules(fixtures(minutes), ledger(spark, *rows), NOW, against=rule).count()
+    assert [n(270, "active"), n(270, "first"), n(30, "active"), n(30, "first")] == [0, 1, 1, 0]

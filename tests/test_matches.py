@@ -236,3 +236,13 @@ def test_blocks_equal_the_fold(spark, most):
     assert numbers(RB.elo_history_in_blocks(df, (16.0, 32.0), block_rows=most, share=0.0, report=report)) == numbers(R.elo_history(df, (16.0, 32.0)))
     assert sum(x["rows"] for x in report) == 260 and all(x["rows"] <= most or x["days"] == 1 for x in report)
     assert RB.elo_history_in_blocks(df.where("match_id < 0")).count() == 0
+
+
+def test_rows_are_linked_by_their_text(spark):
+    keys = "year int, tournament string, stage string, match_type string, match_name string"
+    one, two = (2024, "T", "S", "M", "a vs b"), (2024, "T", "S", "M", None)
+    m = spark.createDataFrame([(1, *one, "a", "b"), (2, *one, "a", "b"), (3, *two, "a", "b"), (4, *one, "b", "a")], f"match_id long, {keys}, team_a string, team_b string")
+    maps = spark.createDataFrame([("2024", *one[1:], "a", "b", "x", 13), ("2024", *one[1:], "a", "b", "y", 2), ("2023", *one[1:], "a", "b", "z", 1)], f"{keys.replace('year int', 'year string')}, team_a string, team_b string, map string, score int")
+    assert sorted((r.match_id, r.map or "") for r in J.linked_maps(m, maps).collect()) == [(1, "x"), (1, "y"), (2, "x"), (2, "y"), (3, ""), (4, "")]
+    players = spark.createDataFrame([(*one, "both", "p"), (*one, "attack", "q"), (*two, "both", "r")], f"{keys}, side string, player string")
+    assert sorted((r.match_id, r.player or "") for r in J.linked_rosters(m, players).collect()) == [(1, "p"), (2, "p"), (3, ""), (4, "p")]

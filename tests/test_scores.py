@@ -84,3 +84,22 @@ def test_logistic_meets_its_optimum(spark):
     p = 1 / (1 + np.exp(-(z @ coef + w["intercept"])))
     assert np.abs(coef + z.T @ (p - y[:250])).max() < 1e-3 and abs((p - y[:250]).sum()) < 1e-3
     assert out.count() == 50 and out.where("m is null").count() == 0
+
+
+def test_bins_are_those_of_their_edges(spark):
+    values = [0.0, 0.1, 0.2, 0.30000000000000004, 0.3, 0.5, 0.6, 0.7000000000000001, 0.7, 0.8, 0.9, 1.0, 0.15, 0.95, 1e-300]
+    rows = [(p, b) for p in values for b in range(10) if (p > 0.0 + b * 0.1 or b == 0) and p <= 0.0 + (b + 1) * 0.1]
+    df = spark.createDataFrame([(p,) for p in values], "p double")
+    assert sorted((r.p, r.bin) for r in E._binned(df, F.col("p"), 10, 0.0, 0.1).collect()) == sorted(rows)
+
+
+def test_slices_of_years_and_both_losses(spark):
+    rows = [(1, dt.date(2022, 5, 1), 1, 2, True, 0.7, False), (2, dt.date(2023, 5, 1), 2, 3, False, 0.6, True), (3, dt.date(2024, 5, 1), 4, 5, True, 0.5, False)]
+    f = spark.createDataFrame(rows, "match_id long, match_date date, team_a_id long, team_b_id long, team_a_won boolean, probability_a double, any_team_unseen boolean")
+    got = {(r.slice, r.seen): (r.n_matches, r.n_unique_teams) for r in E.yearly_slices(f, ("2022-01-01", "2023-12-31"), "2024-01-01").collect()}
+    assert len(got) == 18 and got["2022", "all"] == (1, 2) and got["development", "all"] == (2, 3) and got["development", "any_unseen"] == (1, 2) and got["test", "any_unseen"] == (0, 0) and got["all", "all"] == (3, 5)
+    b = {r.loss: r for r in E.bootstrap_losses(E.per_row_losses(f), draws=50).collect()}
+    assert b["delta_brier"].n_dates == 3 and b["delta_brier"].n_draws == 50 and abs(b["delta_brier"].observed - ((0.09 + 0.36 + 0.25) / 3 - 0.25)) < 1e-12
+    assert abs(b["delta_log_loss"].mean - E.date_bootstrap(E.per_row_losses(f), draws=50).first().mean) < 1e-12
+    m = {(r.model, r.bin): r.n for r in E.model_calibration(f.withColumn("q", F.lit(1.0)), ["probability_a", "q"]).collect()}
+    assert m == {("probability_a", 0): 2, ("probability_a", 1): 1, ("probability_a", 2): 0, ("probability_a", 3): 0, ("probability_a", 4): 0} | {("q", b): 3 * (b == 4) for b in range(5)}
