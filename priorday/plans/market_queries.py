@@ -16,7 +16,7 @@ from priorday.sources.commits import CommittedTables
 from priorday.sources.shared import scratch, written
 from priorday.streaming import streams
 
-from .base import NOW, query, sql
+from .base import CTES, NOW, query, sql
 from .match_queries import canonical, history, r6
 
 _TIME = "'%Y-%m-%dT%H:%M:%SZ'"
@@ -433,16 +433,21 @@ SELECT record_type, match_id, {_AT.format("recorded_at")} AS recorded_at, coales
  round(sum(p) FILTER (record_type = 'forecast_generated'), 6) AS p_team_a FROM l{_BATCHES - 1} GROUP BY ALL"""
 
 
+def follow_folders(spark: SparkSession, folder: str) -> None:
+    """Give files times of change in the order of their folders' names, the order in which a stream takes them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((x.getPath() for x in fs.listStatus(path(folder)) if x.isDirectory()), key=lambda p: p.getName())
+    for n, part in enumerate(parts):
+        for file in fs.listStatus(part):
+            fs.setTimes(file.getPath(), 1_700_000_000_000 + 1000 * n, -1)
+
+
 def land_polls(spark: SparkSession, sf_dir: str, home: str) -> None:
     """The polls as files of JSON lines, one a day and kind, with times of change in the order of days, which streams follow."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(home).getFileSystem(spark._jsc.hadoopConfiguration())
     for kind, rows in A.polls(spark, sf_dir).items():
         rows.repartition("arrival").write.partitionBy("arrival").json(f"{home}/{kind}")
-        days = sorted((x.getPath() for x in fs.listStatus(path(f"{home}/{kind}")) if x.isDirectory()), key=lambda p: p.getName())
-        for n, day in enumerate(days):
-            for file in fs.listStatus(day):
-                fs.setTimes(file.getPath(), 1_700_000_000_000 + 1000 * n, -1)
+        follow_folders(spark, f"{home}/{kind}")
 
 
 @query("ledger_polls", _after(sql(_POLLS_SQL, "states", ks="64.0")))
@@ -488,3 +493,40 @@ def elo_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.schema(R.HISTORY).parquet(f"{home}/out").select("pool", "match_id", "match_date", *r6("rating_a_pre", "rating_b_pre", "probability_a"), "team_a_prior", "team_b_prior")
+
+
+WARM_FROM = "1999-01-01"
+_WARM = sql(
+    f"""SELECT match_id, match_date, false AS late, round(rating_a_pre, 6) AS rating_a_pre, round(rating_b_pre, 6) AS rating_b_pre, round(p, 6) AS probability_a, team_a_prior, team_b_prior FROM history WHERE match_date >= DATE '{WARM_FROM}'
+UNION ALL SELECT match_id, match_date, true, NULL, NULL, NULL, NULL, NULL FROM every_match WHERE match_date >= DATE '{WARM_FROM}' AND match_id % 37 = 0""",
+    "history",
+    ks="64.0",
+)
+_ALL_OF = CTES["canonical"][1]
+#: The history without the rows that come too late, which the last part lists.
+_WARM = _WARM.replace(f"canonical AS MATERIALIZED ({_ALL_OF})", f"every_match AS MATERIALIZED ({_ALL_OF}),\ncanonical AS MATERIALIZED (SELECT * FROM every_match WHERE match_date < DATE '{WARM_FROM}' OR match_id % 37 <> 0)")
+
+
+@query("elo_warm_stream", _WARM)
+def elo_warm_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings from 1999 on, streamed by quarter from the batch state of the years before; every 37th match lands half a year late.
+
+    Late rows come out of the same query, without ratings. A last row in a pool of its own moves the watermark on."""
+    home = scratch(spark, "elo-warm")
+    c = canonical(spark, sf_dir)
+    start = F.to_date(F.lit(WARM_FROM))
+    states = written(streams.last_states(R.elo_history(c.where(F.col("match_date") < start), 64.0)), "warm-states")
+    played, held = F.col("match_date").cast("timestamp"), F.col("match_id") % 37 == 0
+    rows = c.where(F.col("match_date") >= start).select(F.lit("all").alias("pool"), played.alias("played_at"), F.when(held, F.add_months("match_date", 6).cast("timestamp")).otherwise(played).alias("landed_at"), "match_id", "team_a_id", "team_b_id", "team_a_won")
+    end = rows.agg(F.max("landed_at").alias("t")).where("t is not null").select(F.lit("").alias("pool"), (F.col("t") + F.expr("interval 2 days")).alias("played_at"), (F.col("t") + F.expr("interval 100 days")).alias("landed_at"), *(F.lit(v).cast(t).alias(n) for n, t, v in (("match_id", "long", 0), ("team_a_id", "long", 0), ("team_b_id", "long", 0), ("team_a_won", "boolean", False))))
+    rows = rows.select("pool", "played_at", "landed_at", *(F.col(x).cast("long").alias(x) for x in ("match_id", "team_a_id", "team_b_id")), "team_a_won").unionByName(end)
+    rows.withColumn("quarter", F.date_trunc("quarter", "landed_at").cast("date")).repartition("quarter").write.partitionBy("quarter").parquet(f"{home}/in")
+    follow_folders(spark, f"{home}/in")
+    feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    try:
+        streams.rated_stream(feed, states=states).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(streams.RATED).parquet(f"{home}/out").where("pool = 'all'").select("match_id", "match_date", "late", *r6("rating_a_pre", "rating_b_pre", "probability_a"), "team_a_prior", "team_b_prior")

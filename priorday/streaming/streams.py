@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from priorday.operators.ledger import RECORD, as_records, ledger_append, ledger_steps
-from priorday.operators.rating import HISTORY, Pool
+from priorday.operators.rating import HISTORY, Pool, rating_states
 from priorday.sources.commits import CommittedTables
 from priorday.sources.shared import forget, written
 
@@ -97,13 +97,19 @@ def ledger_polls(feed: DataFrame, tables: CommittedTables, states: DataFrame, ch
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="15 minutes")).start()
 
 
+RATED = f"{HISTORY}, late boolean"
+
+
 class DayRatings(StatefulProcessor):
     """Holds a pool's open days; when the watermark passes a day's end, the day moves the ratings and is emitted.
 
-    State is two values a pool, arrays packed as bytes: the rows of open days, and the
-    teams with ratings and counts. One timer stands at the end of the first open day."""
+    A row of a day that the watermark has passed when it comes is emitted as late and moves nothing. State is packed
+    arrays: the rows of open days in one value, and teams with ratings and counts in blocks of a map, of which only
+    those of the closed days' teams are read and written. One timer stands at the end of the first open day. Teams may
+    come with an initial state."""
 
     DAY = 86_400_000
+    BLOCKS = 4096
     OPEN = {"day": np.int64, "match_id": np.int64, "a": np.int64, "b": np.int64, "won": np.bool_}
     TEAMS = {"team": np.int64, "rating": np.float64, "n": np.int64}
 
@@ -113,65 +119,103 @@ class DayRatings(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", ", ".join(f"{c} binary" for c in self.OPEN))
-        self.teams = handle.getValueState("teams", ", ".join(f"{c} binary" for c in self.TEAMS))
+        self.teams = handle.getMapState("teams", "block int", ", ".join(f"{c} binary" for c in self.TEAMS))
 
     @staticmethod
-    def _held(state, kinds: dict[str, type]) -> list[np.ndarray]:
-        raw = state.get() if state.exists() else [b""] * len(kinds)
-        return [np.frombuffer(x, kind) for x, kind in zip(raw, kinds.values(), strict=True)]
+    def _unpacked(raw: tuple | None, kinds: dict[str, type]) -> list[np.ndarray]:
+        return [np.frombuffer(x, kind) for x, kind in zip(raw or [b""] * len(kinds), kinds.values(), strict=True)]
 
     @staticmethod
-    def _hold(state, columns: Iterable[np.ndarray], kinds: dict[str, type]) -> None:
-        state.update(tuple(np.asarray(x, kind).tobytes() for x, kind in zip(columns, kinds.values(), strict=True)))
+    def _packed(columns: Iterable[np.ndarray], kinds: dict[str, type]) -> tuple:
+        return tuple(np.asarray(x, kind).tobytes() for x, kind in zip(columns, kinds.values(), strict=True))
+
+    def _held(self) -> list[np.ndarray]:
+        return self._unpacked(self.open.get() if self.open.exists() else None, self.OPEN)
+
+    def _block(self, teams: np.ndarray) -> np.ndarray:
+        return ((teams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)).astype(np.int64) % self.BLOCKS
+
+    def _write(self, teams: np.ndarray, ratings: np.ndarray, counts: np.ndarray) -> None:
+        """Whole blocks of teams."""
+        block = self._block(teams)
+        for i in np.unique(block).tolist():
+            mine = block == i
+            self.teams.updateValue((i,), self._packed((teams[mine], ratings[mine], counts[mine]), self.TEAMS))
 
     def _wait(self, days: np.ndarray) -> None:
         if len(days):
             self.handle.registerTimer((int(days.min()) + 1) * self.DAY)
 
+    def _rows(self, key, day, match_id, a, b, won, made, late: bool) -> pd.DataFrame:
+        dates = (pd.Timestamp(0) + pd.to_timedelta(day, "D")).date
+        columns = (key[0], self.k, match_id, 0, dates, a, b, won, *made, late)
+        return pd.DataFrame(dict(zip((x.split()[0] for x in RATED.split(", ")), columns, strict=True)))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self._write(*(initialState[c].to_numpy() for c in ("team_id", "rating", "n_prior")))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        parts = [self._held(self.open, self.OPEN)]
+        passed = timerValues.getCurrentWatermarkInMs()
+        parts = [self._held()]
         for batch in rows:
-            parts.append([batch[c].to_numpy() for c in ("day", "match_id", "team_a_id", "team_b_id", "team_a_won")])
+            new = [batch[c].to_numpy() for c in ("day", "match_id", "team_a_id", "team_b_id", "team_a_won")]
+            late = (new[0] + 1) * self.DAY <= passed
+            if late.any():
+                none = np.full(int(late.sum()), np.nan)
+                yield self._rows(key, *(x[late] for x in new), (none, none, none, none, [None] * len(none), [None] * len(none)), True)
+            parts.append([x[~late] for x in new])
         day, match_id, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if not len(day):
+            return
         order = np.lexsort((match_id, day))
         last = np.append((np.diff(day[order]) != 0) | (np.diff(match_id[order]) != 0), True)  # of a match sent twice the later row stays
-        self._hold(self.open, (x[order][last] for x in (day, match_id, *rest)), self.OPEN)
+        self.open.update(self._packed((x[order][last] for x in (day, match_id, *rest)), self.OPEN))
         self._wait(day)
-        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         end = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())  # all closed days at once, in order
-        rows = self._held(self.open, self.OPEN)
+        rows = self._held()
         n = int(np.searchsorted((rows[0] + 1) * self.DAY, end, "right"))
         if n:
             day, match_id, a, b, won = (x[:n] for x in rows)
             pool = Pool(self.k, self.scale, self.initial)
-            teams, ratings, counts = self._held(self.teams, self.TEAMS)
-            held = pool.places(teams)
-            pool.ratings[held], pool.counts[held] = ratings, counts
+            blocks = np.unique(self._block(np.concatenate([a, b])))
+            stored = [self._unpacked(self.teams.getValue((i,)), self.TEAMS) for i in blocks.tolist() if self.teams.containsKey((i,))]
+            if stored:
+                teams, ratings, counts = (np.concatenate(x) for x in zip(*stored, strict=True))
+                held = pool.places(teams)
+                pool.ratings[held], pool.counts[held] = ratings, counts
             at, bt = pool.places(a), pool.places(b)
             cut = [0, *(np.flatnonzero(np.diff(day)) + 1).tolist(), n]
             made = [np.concatenate(x) for x in zip(*(pool.day(at[s:e], bt[s:e], won[s:e].astype(float)) for s, e in zip(cut[:-1], cut[1:], strict=True)), strict=True)]
-            self._hold(self.teams, (np.array(list(pool.place)), pool.ratings, pool.counts), self.TEAMS)
-            self._hold(self.open, (x[n:] for x in rows), self.OPEN)
-            dates = (pd.Timestamp(0) + pd.to_timedelta(day, "D")).date
-            columns = (key[0], self.k, match_id, 0, dates, a, b, won, *made)
-            yield pd.DataFrame(dict(zip((x.split()[0] for x in HISTORY.split(", ")), columns, strict=True)))
+            self._write(np.array(list(pool.place), np.int64), pool.ratings, pool.counts)
+            self.open.update(self._packed((x[n:] for x in rows), self.OPEN))
+            yield self._rows(key, day, match_id, a, b, won, made, False)
         self._wait(rows[0][n:])
 
     def close(self) -> None:
         pass
 
 
-def elo_stream(results: DataFrame, k: float = 64.0, scale: float = 400.0, initial: float = 1500.0, delay: str = "0 seconds") -> DataFrame:
-    """HISTORY rows of a stream of results (pool, played_at, match_id, team_a_id, team_b_id, team_a_won).
+def rated_stream(results: DataFrame, k: float = 64.0, scale: float = 400.0, initial: float = 1500.0, delay: str = "0 seconds", states: DataFrame | None = None) -> DataFrame:
+    """RATED rows of a stream of results (pool, played_at, landed_at, match_id, team_a_id, team_b_id, team_a_won).
+
+    The watermark follows `landed_at`, when a row came in, so that Spark drops none: a day is applied when the watermark
+    passes its end, and rows of days passed before are given as late, without ratings, for the late table.
+    states: (pool, team_id, rating, n_prior) to start from, as `last_states` gives them."""
+    marked = results.withWatermark("landed_at", delay).withColumn("day", F.unix_date(F.to_date("played_at")).cast("long"))
+    start = None if states is None else states.select("pool", F.col("team_id").cast("long").alias("team_id"), "rating", F.col("n_prior").cast("long").alias("n_prior")).groupBy("pool")
+    return marked.groupBy("pool").transformWithStateInPandas(DayRatings(k, scale, initial), RATED, "append", "EventTime", start)
+
 
-    A day is applied when the watermark passes its end. Rows behind the watermark are
-    dropped by Spark; `late_results` gives them when asked for beside the stream."""
-    marked = results.withWatermark("played_at", delay).withColumn("day", F.unix_date(F.to_date("played_at")).cast("long"))
-    return marked.groupBy("pool").transformWithStateInPandas(DayRatings(k, scale, initial), HISTORY, "append", "EventTime")
+def last_states(history: DataFrame) -> DataFrame:
+    """(pool, team_id, rating, n_prior) after all rows of a history of one K, to start a stream from."""
+    return rating_states(history).groupBy("pool", "team_id").agg(F.max_by("rating", "match_date").alias("rating"), F.max_by("n_prior", "match_date").alias("n_prior"))
 
 
-def late_results(results: DataFrame, closed_through: str) -> DataFrame:
-    """Rows of days that are already closed, for the late table."""
-    return results.where(F.to_date("played_at") <= F.to_date(F.lit(closed_through)))
+def elo_stream(results: DataFrame, k: float = 64.0, scale: float = 400.0, initial: float = 1500.0, delay: str = "0 seconds") -> DataFrame:
+    """HISTORY rows of a stream of results (pool, played_at, match_id, team_a_id, team_b_id, team_a_won).
+
+    A row is taken to land when it was played: a day is applied when the watermark passes its end, and rows behind the
+    watermark are dropped by Spark. `rated_stream` tells both times apart and keeps late rows."""
+    return rated_stream(results.withColumn("landed_at", F.col("played_at")), k, scale, initial, delay).where("not late").drop("late")

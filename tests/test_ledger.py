@@ -154,6 +154,26 @@ def test_rating_stream_equals_batch(spark, tmp_path):
     assert closed == set(got) and all(abs(got[m].probability_a - want[m].probability_a) < 1e-9 and got[m].team_a_prior == want[m].team_a_prior for m in closed)
 
 
+def test_rating_stream_starts_from_states_and_keeps_late_rows(spark, tmp_path):
+    home = f"file://{tmp_path}"
+    rows = [(str(i % 2), dt.datetime(2024, 1, 1 + i // 8), i, i % 4 * 2 + i % 2, (i + 1) % 4 * 2 + i % 2, i % 3 == 0) for i in range(80)]
+    df = spark.createDataFrame(rows, "pool string, played_at timestamp, match_id long, team_a_id long, team_b_id long, team_a_won boolean").withColumn("match_date", F.to_date("played_at"))
+    early, held = F.col("match_date") < F.lit(dt.date(2024, 1, 4)), F.col("match_id").isin(30, 41)
+    fed = df.where(~early).withColumn("landed_at", F.when(held, F.col("played_at") + F.expr("INTERVAL 4 DAYS")).otherwise(F.col("played_at")))
+    for day in range(4, 11):
+        fed.where(F.dayofmonth("landed_at") == day).drop("match_date").coalesce(1).write.mode("append").parquet(f"{home}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    feed = spark.readStream.schema(fed.drop("match_date").schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+    states = streams.last_states(R.elo_history(df.where(early), 64.0, pool="pool"))
+    streams.rated_stream(feed, states=states).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/c").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(streams.RATED).parquet(f"{home}/out").collect()
+    assert {r.match_id for r in got if r.late} == {30, 41} and all(r.rating_a_pre is None and r.team_a_prior is None for r in got if r.late)
+    want = {r.match_id: r for r in R.elo_history(df.where(~held), 64.0, pool="pool").collect()}
+    timely = {r.match_id: r for r in got if not r.late}
+    assert set(timely) == {m for m, r in want.items() if dt.date(2024, 1, 4) <= r.match_date < dt.date(2024, 1, 10)}
+    assert all(abs(r.rating_a_pre - want[m].rating_a_pre) < 1e-9 and r.team_b_prior == want[m].team_b_prior for m, r in timely.items())
+
+
 def test_stream_query_gives_every_contest_of_the_batch(spark, small):
     from priorday.plans import market_queries as Q
 
