@@ -101,22 +101,38 @@ def identity_bridge(bridge: DataFrame, historical: DataFrame) -> tuple[DataFrame
     return out, audit
 
 
+def _within(asks: DataFrame, offers: DataFrame, seconds: int) -> DataFrame:
+    """(ask, n, only): how many offers (id, _pair, _at) of its pair lie within `seconds` of each ask, and the one if it is one.
+
+    Offers and the two ends of every ask's span are swept in time order: a running count at the end less that at the
+    start is n, and the last offer seen at the end is the one. Rows are dealt by pair and day, with offers near a day's
+    edge in both days, so neither a much repeated pair nor a crowded slot makes pairs of rows."""
+    reach, day = seconds * 1_000_000, max(12 * seconds, 86_400) * 1_000_000
+    slot = lambda at: F.floor(at / F.lit(day))
+    at = F.unix_micros("_at")
+    ends = F.array(F.struct((at - reach).alias("t"), F.lit(0).alias("o")), F.struct((at + reach).alias("t"), F.lit(2).alias("o")))
+    probes = asks.select("_pair", slot(at).alias("_slot"), F.inline(ends), F.col("id").alias("ask"))
+    days = F.array_distinct(F.array(slot(at - reach), slot(at), slot(at + reach)))
+    offered = offers.select("_pair", F.explode(days).alias("_slot"), at.alias("t"), F.lit(1).alias("o"), F.col("id").alias("offer"))
+    seen = Window.partitionBy("_pair", "_slot").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
+    swept = probes.unionByName(offered, allowMissingColumns=True).withColumns({"c": F.sum((F.col("o") == 1).cast("long")).over(seen), "last": F.last("offer", ignorenulls=True).over(seen)}).where("o <> 1")
+    return swept.groupBy("ask").agg(F.sum(F.col("c") * (F.col("o") - 1)).alias("n"), F.max(F.when(F.col("o") == 2, F.col("last"))).alias("only"))
+
+
 def fixture_reconcile(left: DataFrame, right: DataFrame, seconds: int = 7200) -> DataFrame:
     """(left_id, right_id) of fixtures with the same unordered name pair within `seconds`, unambiguous both ways.
 
-    The pair of name keys and a time bucket make it an equi-join: right rows are
-    offered to their own bucket and both neighbours, so a much repeated pair is
-    spread over time and no cross join occurs."""
+    Each row is offered its single candidate or none (see `_within`); no two rows of a pair are joined but those. A
+    repeated id has the candidates of all its rows."""
 
-    def keyed(df: DataFrame) -> DataFrame:
+    def keyed(df: DataFrame, name: str) -> DataFrame:
         df = with_name_key(with_name_key(df, "team_a", "_ka"), "team_b", "_kb").where("start is not null and _ka <> '' and _kb <> '' and _ka <> _kb")
-        return df.select("*", F.array_sort(F.array("_ka", "_kb")).alias("_pair"), F.floor(F.unix_seconds("start") / seconds).alias("_slot"))
+        return df.select(F.col(name).alias("id"), F.array_sort(F.array("_ka", "_kb")).alias("_pair"), F.col("start").alias("_at"))
 
-    a = keyed(left).select("left_id", "_pair", "_slot", F.col("start").alias("_at"))
-    b = keyed(right).select("right_id", "_pair", F.explode(F.array(F.col("_slot") - 1, F.col("_slot"), F.col("_slot") + 1)).alias("_slot"), F.col("start").alias("_bt"))
-    near = a.join(b, ["_pair", "_slot"]).where(F.abs(F.unix_micros("_at") - F.unix_micros("_bt")) <= seconds * 1_000_000)
-    only = near.withColumns({"_nl": F.count(F.lit(1)).over(Window.partitionBy("left_id")), "_nr": F.count(F.lit(1)).over(Window.partitionBy("right_id"))})
-    return only.where("_nl = 1 and _nr = 1").select("left_id", "right_id")
+    a, b = keyed(left, "left_id"), keyed(right, "right_id")
+    mine = _within(a, b, seconds).where("n = 1").select(F.col("ask").alias("left_id"), F.col("only").alias("right_id"))
+    theirs = _within(b, a, seconds).where("n = 1").select(F.col("ask").alias("right_id"))
+    return mine.join(theirs, "right_id").select("left_id", "right_id")
 
 
 def map_and_roster_link(matches: DataFrame, games: DataFrame, players: DataFrame) -> DataFrame:

@@ -246,3 +246,24 @@ def test_rows_are_linked_by_their_text(spark):
     assert sorted((r.match_id, r.map or "") for r in J.linked_maps(m, maps).collect()) == [(1, "x"), (1, "y"), (2, "x"), (2, "y"), (3, ""), (4, "")]
     players = spark.createDataFrame([(*one, "both", "p"), (*one, "attack", "q"), (*two, "both", "r")], f"{keys}, side string, player string")
     assert sorted((r.match_id, r.player or "") for r in J.linked_rosters(m, players).collect()) == [(1, "p"), (2, "p"), (3, ""), (4, "p")]
+
+
+def test_reconcile_equals_all_pairs(spark):
+    rng = random.Random(15)
+    noon = dt.datetime(2024, 3, 1, 22)
+    names = lambda flip: (("b", "a") if flip and rng.random() < 0.5 else ("a", "b")) if rng.random() < 0.7 else ("c", "d")
+    after = lambda: dt.timedelta(seconds=rng.choice([0, 7200, 7201, 3600, 40_000, rng.randint(0, 900_000), rng.randint(0, 900_000)]))
+    make = lambda n, flip: [(i, *names(flip), noon + after()) for i in range(n)]
+    left, right = make(60, False), make(60, True)
+    left += [(left[3][0], *left[3][1:]), (900, "a", "b", None), (901, "", "b", noon), (902, "a", "a", noon)]
+    pairs = [(x[0], y[0]) for x in left for y in right if x[3] and x[1] and x[1] != x[2] and {x[1], x[2]} == {y[1], y[2]} and abs((x[3] - y[3]).total_seconds()) <= 7200]
+    want = sorted(p for p in pairs if [x for x, _ in pairs].count(p[0]) == 1 and [y for _, y in pairs].count(p[1]) == 1)
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, team_a string, team_b string, start timestamp")
+    assert want and sorted((r.left_id, r.right_id) for r in J.fixture_reconcile(frame(left, "left_id"), frame(right, "right_id")).collect()) == want
+
+
+def test_a_crowded_slot_makes_no_pairs_of_rows(spark):
+    rows = spark.range(100_000).select(F.col("id").alias("left_id"), F.lit("a").alias("team_a"), F.lit("b").alias("team_b"), (F.lit(dt.datetime(2024, 3, 1)) + F.make_dt_interval(secs=(F.col("id") % 600).cast("decimal(18,6)"))).alias("start"))
+    alone = spark.createDataFrame([(200_000, "a", "b", dt.datetime(2024, 3, 9))], "left_id long, team_a string, team_b string, start timestamp")
+    both = rows.unionByName(alone)
+    assert [tuple(r) for r in J.fixture_reconcile(both, both.withColumnRenamed("left_id", "right_id")).collect()] == [(200_000, 200_000)]
