@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from priorday.functions.scalars import brier, confidence, correct, log_loss
 
+from .quantiles import exact_quantiles
+
 # Resamples and their seed.
 DRAWS, SEED = 10_000, 20260724
 
@@ -198,7 +200,8 @@ def prep_stats(assigned: DataFrame, features: Sequence[str]) -> DataFrame:
     A column without values imputes 0; a zero deviation scales by 1."""
     train = assigned.where("role = 'train'")
     long = train.select("fold", *(F.col(f).cast("double").alias(f) for f in features)).unpivot("fold", list(features), "feature", "v")
-    med = long.groupBy("fold", "feature").agg(F.coalesce(F.percentile("v", 0.5), F.lit(0.0)).alias("median"))
+    known = exact_quantiles(long, ["fold", "feature"], "v", [0.5]).select("fold", "feature", F.col("value").alias("known"))
+    med = long.select("fold", "feature").distinct().join(known, ["fold", "feature"], "left").select("fold", "feature", F.coalesce("known", F.lit(0.0)).alias("median"))
     full = long.join(F.broadcast(med), ["fold", "feature"]).withColumn("x", F.coalesce("v", "median"))
     sd = F.stddev_pop("x")
     return full.groupBy("fold", "feature").agg(F.max("median").alias("median"), F.avg("x").alias("mean"), F.when(sd > 0, sd).otherwise(1.0).alias("std"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from priorday.functions.scalars import INITIAL, SCALE
 
 from .components import connected_components
+from .quantiles import exact_quantiles
 
 HISTORY = "pool string, k double, match_id long, game int, match_date date, team_a_id long, team_b_id long, team_a_won boolean, rating_a_pre double, rating_b_pre double, probability_a double, elo_delta_a double, team_a_prior long, team_b_prior long"
 
@@ -172,13 +173,17 @@ def elo_final(history: DataFrame) -> DataFrame:
 def as_of_states(asks: DataFrame, states: DataFrame, team: str = "team_id", day: str = "as_of") -> DataFrame:
     """Each ask with the team's state strictly before its date: rating, n_prior, last_date (defaults where there is none).
 
-    The union of asks and states is read in date order per team and the last state
-    carried forward, so no ask meets more than one state."""
-    s = states.select(F.col("team_id").alias("_team"), F.col("match_date").alias("_day"), F.lit(1).alias("_order"), F.struct("rating", "n_prior", F.col("match_date").alias("last_date")).alias("_state"), F.lit(None).cast(asks.select(F.struct("*")).schema[0].dataType).alias("_ask"))
-    a = asks.select(F.col(team).alias("_team"), F.col(day).alias("_day"), F.lit(0).alias("_order"), F.lit(None).cast("struct<rating:double,n_prior:bigint,last_date:date>").alias("_state"), F.struct("*").alias("_ask"))
+    The days that a team is asked about and those of its states are read in date order
+    and the last state carried forward: at most two rows a team and calendar day,
+    however many asks there are. Asks then find their team and day; many of one day
+    are split by the join."""
+    nothing = F.lit(None).cast("struct<rating:double,n_prior:bigint,last_date:date>")
+    s = states.select(F.col("team_id").alias("_team"), F.col("match_date").alias("_day"), F.lit(1).alias("_order"), F.struct("rating", "n_prior", F.col("match_date").alias("last_date")).alias("_state"))
+    a = asks.select(F.col(team).alias("_team"), F.col(day).alias("_day")).where("_team is not null and _day is not null").distinct().withColumns({"_order": F.lit(0), "_state": nothing})
     before = Window.partitionBy("_team").orderBy("_day", "_order").rowsBetween(Window.unboundedPreceding, 0)
-    both = s.unionByName(a).withColumn("_seen", F.last("_state", ignorenulls=True).over(before)).where("_ask is not null")
-    return both.select("_ask.*", F.coalesce("_seen.rating", F.lit(INITIAL)).alias("rating"), F.coalesce("_seen.n_prior", F.lit(0)).cast("long").alias("n_prior"), F.col("_seen.last_date").alias("last_date"))
+    seen = s.unionByName(a).withColumn("_seen", F.last("_state", ignorenulls=True).over(before)).where("_order = 0").select("_team", "_day", "_seen")
+    rows = asks.select(F.col(team).alias("_team"), F.col(day).alias("_day"), F.struct("*").alias("_ask"))
+    return rows.join(seen, ["_team", "_day"], "left").select("_ask.*", F.coalesce("_seen.rating", F.lit(INITIAL)).alias("rating"), F.coalesce("_seen.n_prior", F.lit(0)).cast("long").alias("n_prior"), F.col("_seen.last_date").alias("last_date"))
 
 
 def rating_distribution(states: DataFrame, dates: Sequence[str]) -> DataFrame:
@@ -186,6 +191,7 @@ def rating_distribution(states: DataFrame, dates: Sequence[str]) -> DataFrame:
     cuts = states.sparkSession.createDataFrame([(d,) for d in dates], "cut string").select(F.to_date("cut").alias("cut"))
     last = states.join(F.broadcast(cuts), F.col("match_date") <= F.col("cut")).groupBy("cut", "team_id").agg(F.max_by("rating", "match_date").alias("rating"))
     r = F.col("rating")
-    return last.groupBy("cut").agg(
-        F.count(F.lit(1)).alias("n_teams"), F.avg(r).alias("mean"), F.stddev_pop(r).alias("std"), F.min(r).alias("min"), F.percentile(r, 0.25).alias("p25"), F.percentile(r, 0.5).alias("median"), F.percentile(r, 0.75).alias("p75"), F.max(r).alias("max")
-    )
+    marks = exact_quantiles(last, ["cut"], "rating", [0.25, 0.5, 0.75]).groupBy("cut").pivot("q", [0.25, 0.5, 0.75]).agg(F.first("value"))
+    marks = marks.select("cut", F.col("`0.25`").alias("p25"), F.col("`0.5`").alias("median"), F.col("`0.75`").alias("p75"))
+    made = last.groupBy("cut").agg(F.count(F.lit(1)).alias("n_teams"), F.avg(r).alias("mean"), F.stddev_pop(r).alias("std"), F.min(r).alias("min"), F.max(r).alias("max"))
+    return made.join(marks, "cut").select("cut", "n_teams", "mean", "std", "min", "p25", "median", "p75", "max")

@@ -267,3 +267,19 @@ def test_a_crowded_slot_makes_no_pairs_of_rows(spark):
     alone = spark.createDataFrame([(200_000, "a", "b", dt.datetime(2024, 3, 9))], "left_id long, team_a string, team_b string, start timestamp")
     both = rows.unionByName(alone)
     assert [tuple(r) for r in J.fixture_reconcile(both, both.withColumnRenamed("left_id", "right_id")).collect()] == [(200_000, 200_000)]
+
+
+def test_one_team_is_asked_about_in_many_tasks(spark):
+    states = spark.createDataFrame([("p", 32.0, 1, D[2], 1510.0, 1), ("p", 32.0, 1, D[9], 1490.0, 2)], "pool string, k double, team_id long, match_date date, rating double, n_prior long")
+    asks = spark.range(20_000).select("id", F.when(F.col("id") % 500 == 0, None).otherwise(1).cast("long").alias("team_id"), F.when(F.col("id") % 300 == 1, None).otherwise(F.date_add(F.lit(D[0]), (F.col("id") % 20).cast("int"))).alias("as_of"), F.lit(0.5).alias("other"))
+    made = R.as_of_states(asks, states)
+    for r in made.collect():
+        late = r.team_id is not None and r.as_of is not None
+        assert r.rating == (1490.0 if late and r.as_of > D[9] else 1510.0 if late and r.as_of > D[2] else 1500.0) and r.other == 0.5
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        windows = [x for x in R.as_of_states(asks, states)._jdf.queryExecution().executedPlan().toString().split("\n") if "Window" in x]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(windows) == 1 and "_ask" not in windows[0]  # asks themselves pass no window

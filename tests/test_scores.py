@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from priorday.operators import evaluate as E
 from priorday.operators import models as M
+from priorday.operators.quantiles import exact_quantiles
 
 D0 = dt.date(2022, 1, 1)
 
@@ -103,3 +104,23 @@ def test_slices_of_years_and_both_losses(spark):
     assert abs(b["delta_log_loss"].mean - E.date_bootstrap(E.per_row_losses(f), draws=50).first().mean) < 1e-12
     m = {(r.model, r.bin): r.n for r in E.model_calibration(f.withColumn("q", F.lit(1.0)), ["probability_a", "q"]).collect()}
     assert m == {("probability_a", 0): 2, ("probability_a", 1): 1, ("probability_a", 2): 0, ("probability_a", 3): 0, ("probability_a", 4): 0} | {("q", b): 3 * (b == 4) for b in range(5)}
+
+
+@pytest.mark.parametrize("leaf", [1, 7, 10_000])
+def test_quantiles_are_exact(spark, leaf):
+    rng = random.Random(leaf)
+    values = {
+        "even": [rng.random() for _ in range(501)], "ties": [rng.choice([1.0, 2.0, 2.0, 3.0]) for _ in range(300)], "one": [5.0], "two": [1.0, 2.0],
+        "steep": [(-1.0) ** k * 2.0 ** (3 * k) for k in range(-60, 60)], "wide": [-1.7e308, 1.7e308, 0.0, -0.0, 1e-300], None: [float(k) for k in range(40)], "none": [],
+    }
+    rows = [(g, v) for g, vs in values.items() for v in vs] + [("none", None), ("none", float("nan")), ("even", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    qs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {(r.g, r.q): r.value for r in exact_quantiles(df, ["g"], "v", qs, leaf).collect()}
+    assert set(got) == {(g, q) for g, vs in values.items() if vs for q in qs}
+    for (g, q), x in got.items():
+        vs = sorted(values[g])
+        at = q * (len(vs) - 1)
+        lo, hi = vs[math.floor(at)], vs[math.ceil(at)]
+        want = lo if lo == hi else (math.ceil(at) - at) * lo + (at - math.floor(at)) * hi
+        assert x == want, (g, q)
