@@ -5,12 +5,15 @@ uni-, bi- and trigrams of word shapes (runs of letters, capitals and digits
 collapsed). Their document counts by class come from every labelled training row
 in Spark; the smoothed log ratio of class frequencies scales each indicator, and
 each text is brought to unit length. A linear hinge-loss model is then fitted by
-dual coordinate descent on at most SAMPLE labelled rows (those with the smallest
-id hashes), the one bounded sample here, and every text is scored.
+dual coordinate descent on a bounded sample of labelled documents, those with the
+smallest id hashes: at most SAMPLE of them, and no more than hold SAMPLE_FEATURES
+indicators together (4 bytes each on the driver), which is the one sample here.
+Every text is scored.
 
 Defined results: null and empty texts are scored by the model's bias alone. A row
 with a null doc_id is scored but never labelled. Repeated label rows of one
-doc_id count once, with the smaller quality. Without any labels every score is
+doc_id count once, with the smaller quality; of repeated rows of a labelled doc_id
+all count in the ratios and one is fitted on. Texts of any length are read whole. Without any labels every score is
 0.5; with one class only, every score is that class. An empty table gives an
 empty result; lang, source and further columns are never read."""
 
@@ -25,6 +28,7 @@ from .common import batched, byte_values, mixed, prefix_sums, span_hash, text_by
 
 FEATURE_BITS = 18
 SAMPLE = 8000  # labelled rows that the hinge-loss model is fitted on, at most
+SAMPLE_FEATURES = 40_000_000  # indicators of those rows, at most
 SMOOTH = 1.0
 C = 1.0
 EPOCHS = 20
@@ -77,8 +81,8 @@ def log_ratios(counts: list, n0: int, n1: int) -> np.ndarray:
     return np.log((rows[1] + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((rows[0] + SMOOTH) / (n0 + 2 * SMOOTH))
 
 
-def fitted(docs: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, c: float = C, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights (by feature) and bias of the hinge-loss model, by dual coordinate descent.
+def fitted(docs: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, c: float = C, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights (by feature) and bias of the hinge-loss model, by dual coordinate descent, and the dual variables.
 
     Rows are unit-length scaled indicators with a constant 1 for the bias; classes
     weigh the same in sum."""
@@ -100,10 +104,10 @@ def fitted(docs: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, c: float =
                 largest = max(largest, abs(step))
         if largest < 1e-3:
             break
-    return w, bias
+    return w, bias, alpha
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float] | float:
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_FEATURES) -> tuple[np.ndarray, np.ndarray, float] | float:
     """(log ratios, weights, bias), or a constant score if there are not two classes."""
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") > 0).alias("good")).where(~held_out())
     known = known.withColumn("order", F.xxhash64("doc_id"))
@@ -142,11 +146,16 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[n
     if not n0 or not n1:
         return 0.5 if not n0 and not n1 else float(n1 > 0)
     ratio = log_ratios([x for x in counts if x.feature >= 0], n0, n1)
-    chosen = sorted(((x.n1, x.n0, x.body) for x in made.where("feature = -2").collect()), key=lambda x: (x[0], x[1], x[2]))[: 2 * sample]
+    once = made.where("feature = -2").groupBy(F.col("n1").alias("id")).agg(F.min(F.struct("body", "n0")).alias("x")).withColumn("order", F.xxhash64("id"))
+    sizes = once.select("order", F.octet_length("x.body").alias("size")).orderBy("order").collect()  # `sample` small rows
+    room = np.searchsorted(np.cumsum([x["size"] // 4 for x in sizes]), most, "right")
+    if not room:
+        raise ValueError("the first labelled row holds more than the features allowed")
+    chosen = [(x.id, x.n0, x.body) for x in once.where(F.col("order") <= sizes[room - 1].order).select("id", "x.n0", "x.body").orderBy("id").collect()]
     y = np.array([1.0 if good else -1.0 for _, good, _ in chosen])
     if len(set(y.tolist())) < 2:
         return float(y[0] > 0)
-    w, bias = fitted([np.frombuffer(b, "<i4") for _, _, b in chosen], y, ratio)
+    w, bias, _ = fitted([np.frombuffer(b, "<i4") for _, _, b in chosen], y, ratio)
     return ratio, w, bias
 
 

@@ -380,3 +380,64 @@ def test_expected_tokens_meet_every_margin(spark, small):
             assert abs(expected[k] / (total * n / sum(tempered.values())) - 1) < 0.02, (margin, k)
     assert any(r.rate > 1 for r in rows)
     assert all(r.copies in (int(r.rate), int(r.rate) + 1) and r.sampled == (r.copies > 0) and abs(r.probability - min(r.rate, 1)) < 1e-9 for r in rows)
+
+
+def labelled(spark, n=240):
+    """Texts of two kinds with their labels; the label is the kind."""
+    rng = random.Random(31)
+    kinds = [["plain", "words", "of", "calm", "prose", "and", "rivers"], ["BUY", "now!!", "$$$", "click", "and", "win", "77"]]
+    texts = [" ".join(rng.choice(kinds[i % 2] + ["the", "a", "it"]) for _ in range(rng.randint(0, 30))) for i in range(n)]
+    return texts, spark.createDataFrame([(i, t, "en", i % 2) for i, t in enumerate(texts)], "doc_id long, text string, lang string, quality int").repartition(3), spark.createDataFrame([(i, 1 - i % 2) for i in range(n)], "doc_id long, quality int")
+
+
+def test_features_are_the_grams_of_words_and_shapes():
+    text = "The cat, the CAT x9 99  the cat"
+    words = text.lower().split()
+    shapes = [re.sub(r"A+", "A", re.sub(r"0+", "0", re.sub(r"a+", "a", re.sub("[0-9]", "0", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", w)))))) for w in text.split()]
+    grams = {(k, tuple(ws[i : i + n])) for k, ws, most in ((0, words, 2), (1, shapes, 3)) for n in range(1, most + 1) for i in range(len(ws) - n + 1)}
+    raw = np.frombuffer((text + text).encode(), np.uint8)
+    owner, feature = nbsvm.text_features(raw, np.array([0, len(text), 2 * len(text)]))
+    assert (owner == 0).sum() == (owner == 1).sum() == len(grams) and (feature[owner == 0] == feature[owner == 1]).all()
+
+
+def test_ratios_and_weights_equal_brute_force(spark):
+    texts, docs, labels = labelled(spark)
+    docs = docs.unionByName(docs.where("doc_id < 40"))  # repeated rows
+    ratio, w, bias = nbsvm.trained(docs, labels, sample=100)
+    learnt = [i for i in [*range(240), *range(40)] if zlib.crc32(str(i).encode()) % 3 != 1]
+    counts, n = np.zeros((2, 1 << nbsvm.FEATURE_BITS)), [0, 0]
+    of = {i: nbsvm.text_features(np.frombuffer(texts[i].encode(), np.uint8), np.array([0, len(texts[i].encode())]))[1] for i in set(learnt)}
+    for i in learnt:
+        counts[1 - i % 2, of[i]] += 1
+        n[1 - i % 2] += 1
+    want = np.log((counts[1] + 1) / (n[1] + 2)) - np.log((counts[0] + 1) / (n[0] + 2))
+    assert np.abs(ratio - want).max() < 1e-12
+    order = {r.doc_id: r.o for r in docs.select("doc_id", F.xxhash64("doc_id").alias("o")).collect()}
+    chosen = sorted(sorted(set(learnt), key=order.get)[:100])
+    y = np.array([1.0 - 2 * (i % 2) for i in chosen])
+    assert np.abs(nbsvm.fitted([of[i] for i in chosen], y, want)[0] - w).max() < 1e-12
+    # the optimum: what the loss and the dual differ by is small beside either
+    v, b, alpha = nbsvm.fitted([of[i] for i in chosen], y, want, epochs=3000)
+    rows = np.zeros((len(chosen), len(want) + 1))
+    for k, i in enumerate(chosen):
+        rows[k, of[i]] = want[of[i]] / max(np.sqrt((want[of[i]] ** 2).sum()), 1e-12)
+        rows[k, -1] = 1
+    full = np.append(v, b)
+    weight = nbsvm.C * len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))
+    loss = 0.5 * full @ full + (weight * np.maximum(1 - y * (rows @ full), 0)).sum()
+    dual = alpha.sum() - 0.5 * full @ full
+    assert np.abs(rows.T @ (alpha * y) - full).max() < 1e-6 and -1e-9 <= loss - dual <= 0.02 * loss and ((alpha >= 0) & (alpha <= weight + 1e-9)).all()
+
+
+def test_the_fitted_sample_stays_within_its_features(spark):
+    texts, docs, labels = labelled(spark)
+    _, w, _ = nbsvm.trained(docs, labels, most=600)
+    _, whole, _ = nbsvm.trained(docs, labels)
+    assert 0 < np.count_nonzero(w) <= 600 < np.count_nonzero(whole) or np.count_nonzero(whole) <= 600
+    with pytest.raises(ValueError):
+        nbsvm.trained(docs.withColumn("text", F.concat("text", F.lit(" more words"))), labels, most=1)
+    clash = nbsvm.scores(docs.withColumnsRenamed({"lang": "good"}).withColumn("sampled", F.lit(1)), labels.unionByName(labels)).collect()
+    assert {r.doc_id: r.score for r in clash} == {r.doc_id: r.score for r in nbsvm.scores(docs, labels).collect()}
+    long = spark.createDataFrame([(500, "plain words " * 100_000), (501, "BUY now!! " * 100_000)], "doc_id long, text string")
+    both = {r.doc_id: r.predicted for r in nbsvm.scores(docs.select("doc_id", "text").unionByName(long), labels).collect()}
+    assert (both[500], both[501]) == (1, 0)
