@@ -14,7 +14,7 @@ from priorday.operators import rating_blocks as RB
 from priorday.operators import resolve as J
 from priorday.sources import contests as A
 from priorday.sources import files
-from priorday.sources.shared import exists, written
+from priorday.sources.shared import exists, forget, written
 
 from .base import DEVELOPMENT, GRID, K, query, sql
 
@@ -26,6 +26,14 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 _pools: dict[tuple[str, str], DataFrame] = {}
 
 
+def forget_pools(spark: SparkSession) -> None:
+    """Let the next query find the pools of teams anew."""
+    for key in [k for k in _pools if k[0] == spark.sparkContext.applicationId]:
+        if exists(_pools[key]):
+            forget(_pools[key])
+        del _pools[key]
+
+
 def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical contests with the pool of their teams; pools are found once per application and written."""
     made, key = canonical(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)

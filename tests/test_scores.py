@@ -83,8 +83,29 @@ def test_logistic_meets_its_optimum(spark):
     z = (train - train.mean(0)) / train.std(0)
     coef = np.array([w["u"], w["v"]])
     p = 1 / (1 + np.exp(-(z @ coef + w["intercept"])))
-    assert np.abs(coef + z.T @ (p - y[:250])).max() < 1e-3 and abs((p - y[:250]).sum()) < 1e-3
+    assert np.abs(coef + z.T @ (p - y[:250])).max() < 1e-6 and abs((p - y[:250]).sum()) < 1e-6
     assert out.count() == 50 and out.where("m is null").count() == 0
+    late = (x[250:] - train.mean(0)) / train.std(0)
+    for r in out.collect():
+        assert abs(r.m - 1 / (1 + math.exp(-(late[r.match_id - 250] @ coef + w["intercept"])))) < 1e-9
+
+
+def test_fits_share_their_jobs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3))
+    x[:, 1] *= 50
+    y = x[:, 0] + 0.02 * x[:, 1] > 0  # classes that a line separates: only the penalty bounds the weights
+    rows = [(i, D0 + dt.timedelta(days=i // 4), *(None if rng.random() < 0.1 else float(v) for v in r), bool(w)) for i, (r, w) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "match_id long, match_date date, u double, v double, w double, team_a_won boolean").repartition(3)
+    jobs, real = [], M._sums
+    monkeypatch.setattr(M, "_sums", lambda *a: jobs.append(len(a[2])) or real(*a))
+    folds = [(f"f{i}", str(D0 + dt.timedelta(days=20 * i)), str(D0 + dt.timedelta(days=20 * i + 20))) for i in range(5)]  # the first has no training rows
+    sets = {"one": ("u",), "two": ("v", "u"), "all": ("u", "v", "w"), "none": ()}
+    got = {(r.fold, r.model): r for r in M.fit_gradients(df, folds, sets).collect()}
+    assert set(got) == {(f, m) for f, _, _ in folds[1:] for m in sets} and all(r.gradient < 1e-8 for r in got.values())
+    assert len(jobs) <= 20 and set(jobs) == {16} and got["f2", "all"].n_train == 160
+    out, _ = M.rolling_logistic(df, folds, sets)
+    assert out.count() == 400 and out.where("fold = 'f0'").where("one is null and `all` is null").count() == 80 and out.where("fold <> 'f0'").where("two is null").count() == 0
 
 
 def test_bins_are_those_of_their_edges(spark):
