@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .bpe import PATTERN, byte_letters, default_path
 from .common import batched, written
 
-BLOCK_BYTES = 4 << 20  # text whose pairs ask for their counts together
+BLOCK_BYTES = 2 << 20  # text whose pairs ask for their counts together
 CHUNKS = 400_000  # encoded chunks a worker keeps; it starts anew when full
 LONG_CHUNK = 2_000  # characters from which the library with a heap encodes A
 WIDE = 64  # occurrence pairs of a group beyond which its ids are made distinct first
