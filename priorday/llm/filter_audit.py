@@ -6,7 +6,7 @@ that begin with passed filters followed by a failed one: in lexicographic (Lehme
 rank such orders form intervals. Documents are counted by part and mask; counts are
 added at the ends of their masks' intervals, and prefix sums over the ranks give
 the removals of every order and step. Work after the counting depends on parts
-alone: at most 2**k masks for k filters, 840 intervals (fewer when joined) for five.
+alone: at most 2**k masks for k filters, 587 intervals for five.
 
 The filter of repeated texts fails a document whose text a smaller doc_id has too.
 Texts are told apart by SHA-256. Copies are summed by text, part, mask and labels
