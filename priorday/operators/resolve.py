@@ -101,38 +101,45 @@ def identity_bridge(bridge: DataFrame, historical: DataFrame) -> tuple[DataFrame
     return out, audit
 
 
-def _within(asks: DataFrame, offers: DataFrame, seconds: int) -> DataFrame:
-    """(ask, n, only): how many offers (id, _pair, _at) of its pair lie within `seconds` of each ask, and the one if it is one.
+def _candidates(rows: DataFrame, seconds: int) -> DataFrame:
+    """(side, id, n, only): how many rows of the other side and the same pair lie within `seconds` of each, and the one if it is one.
 
-    Offers and the two ends of every ask's span are swept in time order: a running count at the end less that at the
-    start is n, and the last offer seen at the end is the one. Rows are dealt by pair and day, with offers near a day's
-    edge in both days, so neither a much repeated pair nor a crowded slot makes pairs of rows."""
+    rows: side (0 or 1), id, _pair, _at. Rows and the two ends of every row's span are swept in time order: a running
+    count of the other side at the end less that at the start is n, and the last one seen at the end is the one. They
+    are dealt by pair and day, with rows near a day's edge in both days, so neither a much repeated pair nor a crowded
+    slot makes pairs of rows."""
     reach, day = seconds * 1_000_000, max(12 * seconds, 86_400) * 1_000_000
     slot = lambda at: F.floor(at / F.lit(day))
-    at = F.unix_micros("_at")
-    ends = F.array(F.struct((at - reach).alias("t"), F.lit(0).alias("o")), F.struct((at + reach).alias("t"), F.lit(2).alias("o")))
-    probes = asks.select("_pair", slot(at).alias("_slot"), F.inline(ends), F.col("id").alias("ask"))
+    mark = lambda s, t, o: F.struct(s.alias("_slot"), t.alias("t"), F.lit(o).alias("o"))
+    x = rows.select("side", "id", "_pair", F.unix_micros("_at").alias("at"))
+    at = F.col("at")
     days = F.array_distinct(F.array(slot(at - reach), slot(at), slot(at + reach)))
-    offered = offers.select("_pair", F.explode(days).alias("_slot"), at.alias("t"), F.lit(1).alias("o"), F.col("id").alias("offer"))
+    marks = F.concat(F.array(mark(slot(at), at - reach, 0), mark(slot(at), at + reach, 2)), F.transform(days, lambda s: mark(s, at, 1)))
     seen = Window.partitionBy("_pair", "_slot").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
-    swept = probes.unionByName(offered, allowMissingColumns=True).withColumns({"c": F.sum((F.col("o") == 1).cast("long")).over(seen), "last": F.last("offer", ignorenulls=True).over(seen)}).where("o <> 1")
-    return swept.groupBy("ask").agg(F.sum(F.col("c") * (F.col("o") - 1)).alias("n"), F.max(F.when(F.col("o") == 2, F.col("last"))).alias("only"))
+    of = lambda side: (F.col("o") == 1) & (F.col("side") == side)
+    other = lambda make: F.when(F.col("side") == 0, make(1)).otherwise(make(0))
+    swept = x.select("side", "id", "_pair", F.inline(marks))
+    swept = swept.withColumns({f"c{s}": F.sum(of(s).cast("long")).over(seen) for s in (0, 1)} | {f"last{s}": F.last(F.when(of(s), F.col("id")), ignorenulls=True).over(seen) for s in (0, 1)}).where("o <> 1")
+    n, last = other(lambda s: F.col(f"c{s}")), other(lambda s: F.col(f"last{s}"))
+    return swept.groupBy("side", "id").agg(F.sum(n * (F.col("o") - 1)).alias("n"), F.max(F.when(F.col("o") == 2, last)).alias("only"))
 
 
 def fixture_reconcile(left: DataFrame, right: DataFrame, seconds: int = 7200) -> DataFrame:
     """(left_id, right_id) of fixtures with the same unordered name pair within `seconds`, unambiguous both ways.
 
-    Each row is offered its single candidate or none (see `_within`); no two rows of a pair are joined but those. A
-    repeated id has the candidates of all its rows."""
+    Ids of both sides have one type. Each row has its single candidate or none (see `_candidates`), and those that name
+    each other meet by the right one's id; no other rows of a pair are joined. A repeated id has the candidates of all
+    its rows."""
 
-    def keyed(df: DataFrame, name: str) -> DataFrame:
+    def keyed(df: DataFrame, name: str, side: int) -> DataFrame:
         df = with_name_key(with_name_key(df, "team_a", "_ka"), "team_b", "_kb").where("start is not null and _ka <> '' and _kb <> '' and _ka <> _kb")
-        return df.select(F.col(name).alias("id"), F.array_sort(F.array("_ka", "_kb")).alias("_pair"), F.col("start").alias("_at"))
+        return df.select(F.lit(side).alias("side"), F.col(name).alias("id"), F.array_sort(F.array("_ka", "_kb")).alias("_pair"), F.col("start").alias("_at"))
 
-    a, b = keyed(left, "left_id"), keyed(right, "right_id")
-    mine = _within(a, b, seconds).where("n = 1").select(F.col("ask").alias("left_id"), F.col("only").alias("right_id"))
-    theirs = _within(b, a, seconds).where("n = 1").select(F.col("ask").alias("right_id"))
-    return mine.join(theirs, "right_id").select("left_id", "right_id")
+    single = _candidates(keyed(left, "left_id", 0).unionByName(keyed(right, "right_id", 1)), seconds).where("n = 1")
+    mine = F.col("side") == 0
+    # a right row's only candidate is the only left row that can name it
+    met = single.groupBy(F.when(mine, F.col("only")).otherwise(F.col("id")).alias("right_id")).agg(F.max(F.when(mine, F.col("id"))).alias("left_id"), F.max(F.when(~mine, F.lit(True))).alias("agreed"))
+    return met.where("left_id is not null and agreed").select("left_id", "right_id")
 
 
 def map_and_roster_link(matches: DataFrame, games: DataFrame, players: DataFrame) -> DataFrame:
