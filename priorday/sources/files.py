@@ -6,28 +6,27 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .ranges import digests, read_csv
 
 
 def read_strings(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
     """CSV with every column a string; only the empty field is null, the text nan stays text."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return read_csv(spark, path, columns).drop("_path")
 
 
 def read_years(spark: SparkSession, root: str, relative: str, columns: Sequence[str], prefix: str = "season_") -> DataFrame:
     """One file per `<root>/<prefix><year>/<relative>`, with the folder's year; other suffixes are skipped."""
-    rows = read_strings(spark, f"{root}/{prefix}*/{relative}", columns)
-    year = F.nullif(F.regexp_extract(F.col("_metadata.file_path"), rf"/{prefix}([0-9]+)/", 1), F.lit(""))
-    return rows.withColumn("source_partition_year", year.cast("int")).where("source_partition_year is not null")
+    rows = read_csv(spark, f"{root}/{prefix}*/{relative}", columns)
+    year = F.nullif(F.regexp_extract("_path", rf"/{prefix}([0-9]+)/", 1), F.lit(""))
+    return rows.withColumn("source_partition_year", year.cast("int")).where("source_partition_year is not null").drop("_path")
 
 
 def file_inventory(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """(path, n_rows, nulls per column, sha256) per CSV file."""
-    rows = read_strings(spark, path, columns).withColumn("path", F.col("_metadata.file_path"))
+    """(path, n_rows, nulls per column, sha256) per CSV file, of any size."""
+    rows = read_csv(spark, path, columns).withColumnRenamed("_path", "path")
     nulls = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n_rows"), *(F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns))
-    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
-    return files.join(nulls, "path", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    return digests(spark, path).drop("length").join(nulls, "path", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
 
 
 def typed_matches(raw: DataFrame) -> DataFrame:
