@@ -1,7 +1,7 @@
 """Features of a match that use strictly earlier dates only.
 
-Everything is first brought to one row per (team, date); frames then end at the
-row before, so rows of the same day can never see each other."""
+Everything is first brought to one row per (team, date), and what a row knows ends
+at the row before, so rows of the same day can never see each other."""
 
 from __future__ import annotations
 
@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from priorday.sources.shared import written
 
 from .rating import elo_history, rating_states, with_unseen
+from .scans import SPAN, calendar, last_of, running
 
+LAST = 10  # results that the longest win rate looks back at
 HISTORY_FEATURES = ("elo_diff", "last_5_win_rate_diff", "last_10_win_rate_diff", "prior_match_count_diff", "min_prior_match_count", "days_since_last_match_diff", "any_missing_last_match_date")
 
 
@@ -23,29 +25,28 @@ def team_long(matches: DataFrame) -> DataFrame:
 
 
 def _days(long: DataFrame) -> DataFrame:
-    """One row per (team, date) with the day's results in id order."""
+    """One row per (team, date): the number of results, and the last ten of them in id order.
+
+    The ten are chosen before the shuffle already (a group limit), so a day of very many matches of one team is no large group."""
+    day = ["team_id", "match_date"]
+    late = Window.partitionBy(*day).orderBy(F.desc("match_id"))
+    ten = long.withColumn("_back", F.row_number().over(late)).where(f"_back <= {LAST}")
     results = F.transform(F.array_sort(F.collect_list(F.struct("match_id", F.col("won").cast("int").alias("won")))), lambda x: x["won"])
-    return long.groupBy("team_id", "match_date").agg(F.count(F.lit(1)).alias("n"), results.alias("results"))
+    return long.groupBy(*day).agg(F.count(F.lit(1)).alias("n")).join(ten.groupBy(*day).agg(results.alias("results")), day)
 
 
-def team_days(long: DataFrame) -> DataFrame:
+def team_days(long: DataFrame, span: int = SPAN) -> DataFrame:
     """(team_id, match_date, n_prior, last_5, last_10, days_since): what each team's date may know.
 
-    Ten earlier dates always hold ten earlier results, so the frame is bounded."""
-    by = Window.partitionBy("team_id").orderBy("match_date")
-    past = F.flatten(F.collect_list("results").over(by.rowsBetween(-10, -1)))
+    Computed in segments of `span` days with what the segments before hold carried on; see `scans`."""
 
     def rate(n: int) -> F.Column:
-        last = F.slice(F.col("past"), F.greatest(F.size("past") - n + 1, F.lit(1)), n)
-        return F.when(F.size("past") == 0, 0.5).otherwise(F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / F.size(last))
-
-    return (
-        _days(long)
-        .withColumn("n_prior", F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("past", past)
-        .withColumn("days_since", F.datediff("match_date", F.lag("match_date").over(by)))
-        .select("team_id", "match_date", "n_prior", rate(5).alias("last_5"), rate(10).alias("last_10"), "days_since")
-    )
+        last = last_of(F.col("run_results"), n)
+        return F.when(F.size("run_results") == 0, 0.5).otherwise(F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / F.size(last))
+
+    days = _days(long).withColumn("day", F.col("match_date"))
+    seen = running(days, ["team_id"], ["match_date"], calendar("match_date", span), sums=["n"], lasts=["day"], tails=[("results", LAST)])
+    return seen.select("team_id", "match_date", F.col("run_n").alias("n_prior"), rate(5).alias("last_5"), rate(LAST).alias("last_10"), F.datediff("match_date", "run_day").alias("days_since"))
 
 
 def both_sides(matches: DataFrame, days: DataFrame, values: list[str]) -> DataFrame:

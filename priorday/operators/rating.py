@@ -19,6 +19,7 @@ from priorday.functions.scalars import INITIAL, SCALE
 
 from .components import connected_components
 from .quantiles import exact_quantiles
+from .scans import SPAN, calendar, running
 
 HISTORY = "pool string, k double, match_id long, game int, match_date date, team_a_id long, team_b_id long, team_a_won boolean, rating_a_pre double, rating_b_pre double, probability_a double, elo_delta_a double, team_a_prior long, team_b_prior long"
 
@@ -170,18 +171,17 @@ def elo_final(history: DataFrame) -> DataFrame:
     return rating_states(history).groupBy("pool", "k", "team_id").agg(F.max_by("rating", "match_date").alias("rating"))
 
 
-def as_of_states(asks: DataFrame, states: DataFrame, team: str = "team_id", day: str = "as_of") -> DataFrame:
+def as_of_states(asks: DataFrame, states: DataFrame, team: str = "team_id", day: str = "as_of", span: int = SPAN) -> DataFrame:
     """Each ask with the team's state strictly before its date: rating, n_prior, last_date (defaults where there is none).
 
     The days that a team is asked about and those of its states are read in date order
-    and the last state carried forward: at most two rows a team and calendar day,
-    however many asks there are. Asks then find their team and day; many of one day
-    are split by the join."""
+    and the last state carried forward, in segments of `span` days (see `scans`) that hold
+    at most two rows a team and calendar day, however many asks there are. Asks then find
+    their team and day; many of one day are split by the join."""
     nothing = F.lit(None).cast("struct<rating:double,n_prior:bigint,last_date:date>")
     s = states.select(F.col("team_id").alias("_team"), F.col("match_date").alias("_day"), F.lit(1).alias("_order"), F.struct("rating", "n_prior", F.col("match_date").alias("last_date")).alias("_state"))
     a = asks.select(F.col(team).alias("_team"), F.col(day).alias("_day")).where("_team is not null and _day is not null").distinct().withColumns({"_order": F.lit(0), "_state": nothing})
-    before = Window.partitionBy("_team").orderBy("_day", "_order").rowsBetween(Window.unboundedPreceding, 0)
-    seen = s.unionByName(a).withColumn("_seen", F.last("_state", ignorenulls=True).over(before)).where("_order = 0").select("_team", "_day", "_seen")
+    seen = running(s.unionByName(a), ["_team"], ["_day", "_order"], calendar("_day", span), lasts=["_state"], own=True).where("_order = 0").select("_team", "_day", F.col("run__state").alias("_seen"))
     rows = asks.select(F.col(team).alias("_team"), F.col(day).alias("_day"), F.struct("*").alias("_ask"))
     return rows.join(seen, ["_team", "_day"], "left").select("_ask.*", F.coalesce("_seen.rating", F.lit(INITIAL)).alias("rating"), F.coalesce("_seen.n_prior", F.lit(0)).cast("long").alias("n_prior"), F.col("_seen.last_date").alias("last_date"))
 
