@@ -32,7 +32,7 @@ def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], segment:
     elements of all arrays together, none of which may be null or empty. `order` must be unique within a key, and
     `segment` must not fall along it. Rows with a null key are left out."""
     part, end = [*keys, "_segment"], 0 if own else -1
-    cut = rows.dropna(subset=list(keys)).withColumn("_segment", segment)
+    cut = rows.dropna(subset=list(keys)).withColumn("_segment", segment).repartition(*part)  # one exchange, which both branches read
     at = F.struct(*order)
     whole = cut.groupBy(*part).agg(
         F.count(F.lit(1)).alias("_rows"),
