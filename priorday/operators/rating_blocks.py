@@ -10,8 +10,11 @@ reads the state table that the one before has written. So a task holds a block's
 largest component at most, whatever the pool's size, and a lost executor costs one
 block.
 
-The number of jobs grows with the number of blocks: rows over the larger of
-`block_rows` and `share` times the teams. The driver keeps a number for each date."""
+A block may hold 1/`most_blocks` of all matches in any case, since the number of jobs
+grows with the number of blocks; so a large table has no more blocks than twice that,
+and its tasks grow with it at that rate. Where a block has more matches than there
+are teams its teams are as good as all linked, and its components are not looked for.
+The driver keeps a number for each date."""
 
 from __future__ import annotations
 
@@ -32,6 +35,7 @@ from .rating import HISTORY, ORDER, Pool, rating_rows, rating_states
 
 BLOCK_ROWS = 50_000  # matches that one task may fold
 SHARE = 0.35  # matches of a block for each team
+MOST_BLOCKS = 400  # a block may hold this part of all matches
 GROUP_ROWS = 5_000  # matches of small components folded together
 STATES = "k double, team_id long, rating double, n_prior long"
 
@@ -86,7 +90,7 @@ def _joined(rows: DataFrame, states: DataFrame, scale: float, initial: float) ->
     return rows.select(*(x.split()[0] for x in HISTORY.split(", ")))
 
 
-def elo_history_in_blocks(matches: DataFrame, k: float | Sequence[float] = 32.0, scale: float = SCALE, initial: float = INITIAL, block_rows: int = BLOCK_ROWS, share: float = SHARE, report: list[dict] | None = None) -> DataFrame:
+def elo_history_in_blocks(matches: DataFrame, k: float | Sequence[float] = 32.0, scale: float = SCALE, initial: float = INITIAL, block_rows: int = BLOCK_ROWS, share: float = SHARE, most_blocks: int = MOST_BLOCKS, report: list[dict] | None = None) -> DataFrame:
     """HISTORY rows as `elo_history` gives them for one pool; see the module's text.
 
     `report`, if given, gets block, days, rows and seconds of every block."""
@@ -95,16 +99,19 @@ def elo_history_in_blocks(matches: DataFrame, k: float | Sequence[float] = 32.0,
     one = rating_rows(matches, 0.0, None)
     days = [(r.match_date, r.n) for r in one.groupBy("match_date").agg(F.count(F.lit(1)).alias("n")).collect()]
     teams = one.select(F.explode(F.array("team_a_id", "team_b_id")).alias("t")).agg(F.count_distinct("t")).first()[0]
-    most = max(block_rows, int(share * teams))
+    most = max(block_rows, int(share * teams), -(-sum(n for _, n in days) // most_blocks))
     plan = planned_blocks(days, most)
     home, out = scratch(spark, "blocks"), scratch(spark, "rated")
     blocks = spark.createDataFrame([(d, b) for d, b, _ in plan], "match_date date, block long")
     dealt = rows.join(F.broadcast(blocks), "match_date")
-    # a team in a block is a node; names that collide only join components
-    node = lambda s: F.xxhash64("block", f"team_{s}_id")
-    pairs = one.join(F.broadcast(blocks), "match_date").select(node("a").alias("a"), node("b").alias("b"))
-    named = dealt.withColumn("node", node("a")).join(connected_components(pairs), "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
-    named.write.partitionBy("block").parquet(home)
+    if most > teams:
+        named = dealt.withColumn("component", F.xxhash64("block"))
+    else:
+        # a team in a block is a node; names that collide only join components
+        node = lambda s: F.xxhash64("block", f"team_{s}_id")
+        pairs = one.join(F.broadcast(blocks), "match_date").select(node("a").alias("a"), node("b").alias("b"))
+        named = dealt.withColumn("node", node("a")).join(connected_components(pairs), "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
+    named.repartition("block", F.pmod(F.xxhash64("match_id"), F.lit(4))).write.partitionBy("block").parquet(home)  # few files a block
     schema = named.drop("block").schema
     states = written(spark.createDataFrame([], STATES), "ratings")
     for block in range(plan[-1][1] + 1 if plan else 0):

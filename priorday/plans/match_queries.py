@@ -335,7 +335,7 @@ def elo_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def elo_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ratings of every K with all contests in one pool, folded block after block of days."""
-    h = RB.elo_history_in_blocks(canonical(spark, sf_dir), GRID, block_rows=5_000)
+    h = RB.elo_history_in_blocks(canonical(spark, sf_dir), GRID, block_rows=5_000, most_blocks=32)
     return h.select("k", "match_id", "match_date", *r6("rating_a_pre", "rating_b_pre", "elo_delta_a"), "team_a_prior", "team_b_prior")
 
 

@@ -240,6 +240,16 @@ def test_blocks_equal_the_fold(spark, most):
     assert RB.elo_history_in_blocks(df.where("match_id < 0")).count() == 0
 
 
+def test_blocks_do_not_grow_in_number_with_the_table(spark):
+    rng = random.Random(3)
+    rows = [(i, D[0] + dt.timedelta(days=i % 90), *rng.sample(range(30), 2), rng.random() < 0.5) for i in range(900)]
+    df = spark.createDataFrame(rows, COLS)
+    numbers = lambda h: {(r.k, r.match_id): (r.team_a_prior, r.team_b_prior, round(r.rating_a_pre, 7), round(r.elo_delta_a, 7)) for r in h.collect()}
+    report = []
+    assert numbers(RB.elo_history_in_blocks(df, (16.0, 32.0), block_rows=10, share=0.0, most_blocks=4, report=report)) == numbers(R.elo_history(df, (16.0, 32.0)))
+    assert 4 <= len(report) <= 8 and sum(x["rows"] for x in report) == 900
+
+
 def test_rows_are_linked_by_their_text(spark):
     keys = "year int, tournament string, stage string, match_type string, match_name string"
     one, two = (2024, "T", "S", "M", "a vs b"), (2024, "T", "S", "M", None)
