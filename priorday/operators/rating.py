@@ -1,14 +1,17 @@
 """Day-batched ratings: all rows of a day are judged by the state before it and move the state together.
 
 The recursion is sequential in dates and independent between pools (a league, a
-map, a value of K, or teams that no chain of matches links). Rows are dealt by
-pool, sorted by date and id inside it, and folded in Arrow batches, a day at a time
-in numpy: memory is the pool's team ratings plus a batch and one day."""
+map, a value of K, or teams that no chain of matches links). Rows are sorted by pool,
+date and id in segments of the calendar, and packed into runs of about ten bytes a
+row; a pool's runs go through one task in order, which judges them a day at a time in
+numpy and passes the packed ratings on; they are unpacked in many tasks again. So the
+task of a pool sorts packed runs only, and holds the ratings of its teams and a few
+runs, and what reads the history never shares a task with it."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,74 +34,138 @@ class Pool:
         self.k, self.scale, self.initial, self.last_wins = k, scale, initial, last_wins
         self.place: dict[int, int] = {}
         self.ratings, self.counts = np.zeros(0), np.zeros(0, np.int64)
+        self.moves, self.games = np.zeros(0), np.zeros(0, np.int64)  # of the day that is not closed yet
 
     def places(self, teams: np.ndarray) -> np.ndarray:
         """Places of teams in `ratings` and `counts`; new teams start at the initial rating."""
         known, which = np.unique(teams, return_inverse=True)
         at = np.array([self.place.setdefault(t, len(self.place)) for t in known.tolist()], np.int64)
         more = len(self.place) - len(self.ratings)
-        if more:
-            self.ratings = np.concatenate([self.ratings, np.full(more, self.initial)])
-            self.counts = np.concatenate([self.counts, np.zeros(more, np.int64)])
+        if more > 0:
+            room = max(more, len(self.ratings) // 2)  # grown by half, not by every new team
+            self.ratings = np.concatenate([self.ratings, np.full(room, self.initial)])
+            self.counts, self.moves, self.games = (np.concatenate([x, np.zeros(room, x.dtype)]) for x in (self.counts, self.moves, self.games))
         return at[which]
 
-    def day(self, a: np.ndarray, b: np.ndarray, won: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Rows (places of both teams, outcome) of one date, in order; the state moves once, after all of them."""
+    def judged(self, a: np.ndarray, b: np.ndarray, won: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Rows (places of both teams, outcome) of the open day, in order; what they move waits for `close`."""
         ra, rb, na, nb = self.ratings[a], self.ratings[b], self.counts[a], self.counts[b]
-        p = 1.0 / (1.0 + 10.0 ** ((rb - ra) / self.scale))
-        delta = self.k * (won - p)
+        p, delta = judgement(ra, rb, won, self.k, self.scale)
         teams, moves = np.stack([a, b], 1).ravel(), np.stack([delta, -delta], 1).ravel()
         if self.last_wins:
             known, at = np.unique(teams[::-1], return_index=True)
-            self.ratings[known] += moves[::-1][at]  # of a team's rows the last stays
-            self.counts[known] += 1
+            self.moves[known] = moves[::-1][at]  # of a team's rows the last stays
+            self.games[known] = 1
         else:
-            np.add.at(self.ratings, teams, moves)
-            np.add.at(self.counts, teams, 1)
+            np.add.at(self.moves, teams, moves)
+            np.add.at(self.games, teams, 1)
         return ra, rb, p, delta, na, nb
 
+    def close(self) -> None:
+        """The day is over: all its rows move the state."""
+        self.ratings += self.moves
+        self.counts += self.games
+        self.moves[:] = 0
+        self.games[:] = 0
+
+    def day(self, a: np.ndarray, b: np.ndarray, won: np.ndarray) -> tuple[np.ndarray, ...]:
+        """All rows of one date, in order; the state moves once, after all of them."""
+        made = self.judged(a, b, won)
+        self.close()
+        return made
+
+
+def judgement(ra: np.ndarray, rb: np.ndarray, won: np.ndarray, k: float | np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of the first team, and what the outcome moves."""
+    p = 1.0 / (1.0 + 10.0 ** ((rb - ra) / scale))
+    return p, k * (won - p)
+
+
+RUN_DAYS = 8  # days of the calendar that one task sorts and packs
+RUN_ROWS = 8192  # rows of a packed run at most
+_RUN = "pool string, day int, at long"  # a run's first day, and its place among those of its task
+_PACKED = f"{_RUN}, ids binary, played binary"
+_RATED = f"{_RUN}, k double, ids binary, played binary, made binary"
+_IDS, _PLAYED, _MADE = ("match_id", "game"), ("day", "a", "b", "won"), ("ra", "rb", "na", "nb")
+
+
+def _bytes(columns: Sequence[np.ndarray]) -> bytes:
+    """Integers as differences, byte by byte, so that they compress to those bytes that change."""
+    x = np.stack([np.diff(np.asarray(c, np.int64), prepend=0) for c in columns])
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)).tobytes(), 1)
+
+
+def _integers(raw: bytes, n_columns: int) -> np.ndarray:
+    x = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(n_columns, 8, -1)
+    return np.cumsum(np.ascontiguousarray(x.transpose(0, 2, 1)).view(np.int64)[:, :, 0], axis=1)
+
+
+def _packed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by pool and ORDER as runs of one pool and segment each."""
+    at, schema = 0, pa.schema([("pool", pa.string()), ("day", pa.int32()), ("at", pa.int64()), ("ids", pa.binary()), ("played", pa.binary())])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        days, pools = batch["match_date"].cast(pa.int32()).to_numpy(), batch["pool"].dictionary_encode()
+        codes, names = pools.indices.to_numpy(), pools.dictionary.to_pylist()
+        values = {c: batch[c].cast(pa.int64()).to_numpy() for c in (*_IDS, "team_a_id", "team_b_id")}
+        won = batch["team_a_won"].cast(pa.int8()).to_numpy()
+        cut = (np.flatnonzero((np.diff(codes) != 0) | (np.diff(days // RUN_DAYS) != 0)) + 1).tolist()
+        edges = sorted({*cut, *range(0, len(days), RUN_ROWS), len(days)})
+        out: list[tuple] = []
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            ids = _bytes([values[c][s:e] for c in _IDS])
+            played = _bytes([days[s:e], values["team_a_id"][s:e], values["team_b_id"][s:e], won[s:e]])
+            out.append((names[codes[s]], int(days[s]), at, ids, played))
+            at += 1
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
 
 def _folded(scale: float, initial: float, last_wins: bool):
-    names = [x.split()[0] for x in HISTORY.split(", ")]
-    numbers = ("rating_a_pre", "rating_b_pre", "probability_a", "elo_delta_a", "team_a_prior", "team_b_prior")
+    """Packed runs, sorted by pool, K and time, with the ratings before each row and the counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, last, held = None, None, None, None
-        for batch in chain(batches, [None]):  # at None the rows held back are due
-            parts = [held] if held is not None else []
-            rows = pa.concat_tables(parts + ([pa.Table.from_batches([batch])] if batch is not None else [])) if parts or batch is not None else None
-            if rows is None or not rows.num_rows:
-                continue
-            pools, ks, days = rows["pool"].combine_chunks().dictionary_encode(), rows["k"].to_numpy(), rows["match_date"].cast(pa.int32()).to_numpy()
-            codes, names_of = pools.indices.to_numpy(), pools.dictionary.to_pylist()
-            cut = np.flatnonzero((np.diff(codes) != 0) | (np.diff(ks) != 0)) + 1
-            upto = len(ks)
-            if batch is not None:  # the last pool's last day may go on in the next batch
-                first = cut[-1] if len(cut) else 0
-                upto = first + int(np.flatnonzero(np.append(0, np.diff(days[first:])))[-1:].sum())
-            a, b = (rows[f"team_{s}_id"].to_numpy() for s in "ab")
-            won = rows["team_a_won"].cast(pa.int8()).to_numpy().astype(float)
-            made = []
-            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(ks)], strict=True):
-                e = min(e, upto)
-                if e <= s:
-                    continue
-                if (names_of[codes[s]], float(ks[s])) != key:
-                    key, last = (names_of[codes[s]], float(ks[s])), None
-                    state = Pool(float(ks[s]), scale, initial, last_wins)
-                step = np.diff(days[s:e])
-                if (step < 0).any() or (last is not None and days[s] <= last):
+        key, state, last = None, None, None
+        for batch in batches:
+            pools, ks = batch["pool"].to_pylist(), batch["k"].to_pylist()
+            made, size, since = [], 0, 0
+            for i, (pool, k) in enumerate(zip(pools, ks, strict=True)):
+                if (pool, k) != key:
+                    key, last, state = (pool, k), None, Pool(k, scale, initial, last_wins)
+                days, a, b, won = _integers(batch["played"][i].as_py(), len(_PLAYED))
+                step = np.diff(days)
+                if (step < 0).any() or (last is not None and days[0] < last):
                     raise ValueError("dates must rise inside a pool")
-                last = days[e - 1]
-                at, bt = state.places(a[s:e]), state.places(b[s:e])
-                edges = [0, *(np.flatnonzero(step) + 1).tolist(), e - s]
-                made += [state.day(at[i:j], bt[i:j], won[s + i : s + j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
-            held = rows.slice(upto) if upto < len(ks) else None
-            if made:
-                done = rows.slice(0, upto)
-                for name, values in zip(numbers, zip(*made, strict=True), strict=True):
-                    done = done.append_column(name, pa.array(np.concatenate(values)))
-                yield done.select(names).combine_chunks().to_batches()[0]
+                at, bt, parts = state.places(a), state.places(b), []
+                edges = [0, *(np.flatnonzero(step) + 1).tolist(), len(days)]
+                for s, e in zip(edges[:-1], edges[1:], strict=True):
+                    if last is not None and days[s] > last:
+                        state.close()
+                    last = days[s]  # the run's last day may go on in the next one
+                    ra, rb, _, _, na, nb = state.judged(at[s:e], bt[s:e], won[s:e].astype(float))
+                    parts.append((ra.view(np.int64), rb.view(np.int64), na, nb))
+                made.append(np.concatenate([np.concatenate(x) for x in zip(*parts, strict=True)]).tobytes())
+                size += len(made[-1])
+                if size > 8_000_000 or i + 1 == len(pools):
+                    yield pa.RecordBatch.from_pydict({c: batch[c].slice(since, i + 1 - since) for c in ("pool", "day", "at", "k", "ids", "played")} | {"made": pa.array(made, pa.binary())})
+                    made, size, since = [], 0, i + 1
+
+    return run
+
+
+def _unpacked(scale: float):
+    """HISTORY rows of rated runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pool, k, ids, played, made in zip(*(batch[c] for c in ("pool", "k", "ids", "played", "made")), strict=True):
+                match_id, game = _integers(ids.as_py(), len(_IDS))
+                days, a, b, won = _integers(played.as_py(), len(_PLAYED))
+                ra, rb, na, nb = np.frombuffer(made.as_py(), np.int64).reshape(len(_MADE), -1)
+                ra, rb = ra.view(float), rb.view(float)
+                p, delta = judgement(ra, rb, won.astype(float), k.as_py(), scale)
+                columns = [pa.repeat(pool, len(won)), pa.repeat(k, len(won)), match_id, game.astype(np.int32), pa.array(days.astype(np.int32)).cast(pa.date32()), a, b, won.astype(bool), ra, rb, p, delta, na, nb]
+                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], [x.split()[0] for x in HISTORY.split(", ")])
 
     return run
 
@@ -110,18 +177,21 @@ def elo_history(matches: DataFrame, k: float | Sequence[float] = 32.0, pool: str
     k: one value or several; each is a pool of its own and runs in parallel.
     pool: a column with groups of teams that never meet across groups.
     last_wins: of a team's rows of one day only the last one moves it (by match_id, game)."""
-    dealt = rating_rows(matches, k, pool).repartition("pool", "k").sortWithinPartitions("pool", "k", *ORDER)
-    return dealt.mapInArrow(_folded(scale, initial, last_wins), HISTORY)
+    ks = [float(x) for x in (k if isinstance(k, Sequence) else [k])]
+    segment = F.floor(F.unix_date("match_date") / RUN_DAYS)
+    runs = rating_rows(matches, 0.0, pool).drop("k").repartition("pool", segment).sortWithinPartitions("pool", *ORDER).mapInArrow(_packed_runs, _PACKED)
+    dealt = runs.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).repartition("pool", "k").sortWithinPartitions("pool", "k", "day", "at")
+    return dealt.mapInArrow(_folded(scale, initial, last_wins), _RATED).repartition("pool", "k", "day", "at").mapInArrow(_unpacked(scale), HISTORY)
 
 
 ORDER = ("match_date", "match_id", "game")
 
 
 def rating_rows(matches: DataFrame, k: float | Sequence[float], pool: str | None) -> DataFrame:
-    """The columns that a rating reads, once for each K."""
+    """The columns that a rating reads, once for each K; a match without a date has no place in time."""
     ks = [float(x) for x in (k if isinstance(k, Sequence) else [k])]
     game = F.col("game") if "game" in matches.columns else F.lit(0)
-    return matches.select(
+    return matches.where(F.col("match_date").isNotNull()).select(
         (F.col(pool).cast("string") if pool else F.lit("all")).alias("pool"),
         F.explode(F.array(*map(F.lit, ks))).alias("k"),
         F.col("match_id").cast("long").alias("match_id"),

@@ -250,6 +250,30 @@ def test_blocks_do_not_grow_in_number_with_the_table(spark):
     assert 4 <= len(report) <= 8 and sum(x["rows"] for x in report) == 900
 
 
+def test_no_task_but_the_fold_holds_a_pool(spark):
+    """One pool: packed runs are all that its task sorts, and rows leave it by an exchange."""
+    one = spark.range(60_000).selectExpr("id as match_id", "date_add(date'1995-01-01', cast(id div 40 as int)) as match_date", "id % 500 as team_a_id", "500 + (id * 7) % 499 as team_b_id", "id % 3 = 0 as team_a_won")
+    h = R.elo_history(one)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spread = [r["count"] for r in h.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sum(spread) == 60_000 and len(spread) == 4 and max(spread) < 30_000
+    rows = R.rating_rows(one, 0.0, None).drop("k").repartition("pool").sortWithinPartitions("pool", *R.ORDER)
+    packed = rows.mapInArrow(R._packed_runs, R._PACKED).agg(F.sum(F.length("ids") + F.length("played"))).first()[0]
+    assert packed < 60_000 * 12
+
+
+def test_a_day_may_span_runs(spark):
+    n = 3 * R.RUN_ROWS + 5
+    crowded = spark.range(n).selectExpr("id as match_id", "if(id < 2, date'1969-12-30', if(id < %d, date'1970-01-01', date'1970-01-02')) as match_date" % (n - 2), "1L as team_a_id", "2L + id % 3 as team_b_id", "id % 2 = 0 as team_a_won").unionByName(spark.sql("select -1L as match_id, cast(null as date) as match_date, 1L as team_a_id, 2L as team_b_id, true as team_a_won"))
+    got = {r.match_id: (r.team_a_prior, r.rating_a_pre) for r in R.elo_history(crowded, 0.01).collect()}
+    assert len(got) == n and got[0] == got[1] == (0, 1500.0)
+    assert {got[i] for i in range(2, n - 2)} == {got[2]} and got[2][0] == 2 and got[n - 1][0] == got[n - 2][0] == n - 2
+
+
 def test_rows_are_linked_by_their_text(spark):
     keys = "year int, tournament string, stage string, match_type string, match_name string"
     one, two = (2024, "T", "S", "M", "a vs b"), (2024, "T", "S", "M", None)
