@@ -41,10 +41,9 @@ class Pool:
         known, which = np.unique(teams, return_inverse=True)
         at = np.array([self.place.setdefault(t, len(self.place)) for t in known.tolist()], np.int64)
         more = len(self.place) - len(self.ratings)
-        if more > 0:
-            room = max(more, len(self.ratings) // 2)  # grown by half, not by every new team
-            self.ratings = np.concatenate([self.ratings, np.full(room, self.initial)])
-            self.counts, self.moves, self.games = (np.concatenate([x, np.zeros(room, x.dtype)]) for x in (self.counts, self.moves, self.games))
+        if more:
+            self.ratings = np.concatenate([self.ratings, np.full(more, self.initial)])
+            self.counts, self.moves, self.games = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.counts, self.moves, self.games))
         return at[which]
 
     def judged(self, a: np.ndarray, b: np.ndarray, won: np.ndarray) -> tuple[np.ndarray, ...]:
