@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from priorday.functions.scalars import with_name_key
+from priorday.functions.scalars import key_of_distinct, with_name_key
 
 
 def canonical_filter(matches: DataFrame, years: Sequence[int] | None = None) -> DataFrame:
@@ -78,9 +78,14 @@ def dated_inner_join(matches: DataFrame, dates: DataFrame, snapshot: str) -> Dat
 
 
 def normalized_unique_map(names: DataFrame, name: str = "team_name", id_col: str = "team_id") -> DataFrame:
-    """(name_key, team_id as text) for normalized names that point to exactly one id."""
-    keyed = with_name_key(names.where(F.col(name).isNotNull() & F.col(id_col).isNotNull()), name, "name_key").where("name_key <> ''")
-    return keyed.groupBy("name_key").agg(F.count_distinct(F.col(id_col).cast("string")).alias("n"), F.min(F.col(id_col).cast("string")).alias("historical_id")).where("n = 1").drop("n")
+    """(name_key, team_id as text) for normalized names that point to exactly one id.
+
+    Names are brought to a row each with their least and greatest id first, so each is normalized once and none is joined."""
+    ids = [F.min(id_col).alias("low"), F.max(id_col).alias("high")]
+    per = names.where(F.col(name).isNotNull() & F.col(id_col).isNotNull()).groupBy(name).agg(*ids)
+    keyed = per.withColumn("name_key", key_of_distinct(name)).where("name_key <> ''")
+    of_key = keyed.groupBy("name_key").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return of_key.where("low = high").select("name_key", F.col("low").cast("string").alias("historical_id"))
 
 
 def identity_bridge(bridge: DataFrame, historical: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -274,6 +274,13 @@ def test_a_day_may_span_runs(spark):
     assert {got[i] for i in range(2, n - 2)} == {got[2]} and got[2][0] == 2 and got[n - 1][0] == got[n - 2][0] == n - 2
 
 
+def test_unique_map_reads_names_once_without_a_join(spark):
+    rows = [("Cloud9", 1), ("Cloud 9", 1), ("TBD", 1), ("TBD", 2), ("tb d", 1), ("é!", 12), ("E", 12), ("--", 3), (None, 4), ("x", None), ("y", 10), ("Y", 9)]
+    made = J.normalized_unique_map(spark.createDataFrame(rows, "team_name string, team_id long"))
+    assert sorted(map(tuple, made.collect())) == [("cloud9", "1"), ("e", "12")]
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rows_are_linked_by_their_text(spark):
     keys = "year int, tournament string, stage string, match_type string, match_name string"
     one, two = (2024, "T", "S", "M", "a vs b"), (2024, "T", "S", "M", None)
