@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from priorday.operators import evaluate as E
 from priorday.operators import features as X
 from priorday.operators import models as M
+from priorday.sources.shared import forget, written
 
 from .base import DEVELOPMENT, FOLDS, GRID, TEST_FROM, query, sql
 from .match_queries import canonical, history, pooled, r6
@@ -234,8 +235,11 @@ SELECT fold, feature, median, round(avg(coalesce(v, median)), 6) AS mean, round(
     ),
 )
 def prep_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = canonical(spark, sf_dir)
-    rows = c.select("match_id", "match_date").join(X.prior_counts(c), "match_id").join(X.days_since_last(c), "match_id")
+    # both are read in every round of the quantiles, and made once
+    c = written(canonical(spark, sf_dir).select("match_id", "match_date", "team_a_id", "team_b_id", "team_a_won"), "prep-matches")
+    x = X.both_sides(c, X.team_days(X.team_long(c)), ["n_prior", "days_since"])
+    rows = written(x.select("match_id", "match_date", *((F.col(f"{v}_a") - F.col(f"{v}_b")).alias(f) for f, v in zip(_FEATURES, ("n_prior", "days_since"), strict=True))), "prep-rows")
+    forget(c)
     return E.prep_stats(E.fold_assign(rows, FOLDS), _FEATURES).select("fold", "feature", "median", *r6("mean", "std"))
 
 

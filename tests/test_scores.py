@@ -145,3 +145,11 @@ def test_quantiles_are_exact(spark, leaf):
         lo, hi = vs[math.floor(at)], vs[math.ceil(at)]
         want = lo if lo == hi else (math.ceil(at) - at) * lo + (at - math.floor(at)) * hi
         assert x == want, (g, q)
+
+
+def test_prep_stats_makes_its_rows_once(spark, small):
+    """What the rounds of the quantiles and the moments read is a written table, not the contests anew."""
+    from priorday.plans import score_queries
+
+    plan = score_queries.prep_stats(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "match_date" in plan
