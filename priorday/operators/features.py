@@ -14,6 +14,7 @@ from .rating import elo_history, rating_states, with_unseen
 from .scans import SPAN, calendar, last_of, running
 
 LAST = 10  # results that the longest win rate looks back at
+TEAM_ROWS, TEAM_TASKS = 200_000, 200  # states and asks of a task of whole teams; into more than 200 parts Spark's writers sort all they write
 HISTORY_FEATURES = ("elo_diff", "last_5_win_rate_diff", "last_10_win_rate_diff", "prior_match_count_diff", "min_prior_match_count", "days_since_last_match_diff", "any_missing_last_match_date")
 
 
@@ -105,18 +106,22 @@ def map_elo(games: DataFrame, k: float = 64.0) -> DataFrame:
 def map_pool(matches: DataFrame, games: DataFrame, k: float = 64.0) -> DataFrame:
     """Per match: differences of the teams' map-rating mean, max, min, deviation and number of maps before the date.
 
-    The fold runs once: its states are written. A team's dates are numbered; a state
-    holds from the number after its own to that of the team's next one on the map, so
-    each date meets one state of every map played before it, without a join by range."""
-    states = written(rating_states(map_elo(games, k), last_wins=True).select(F.col("pool").alias("map"), "team_id", "match_date", "rating"), "map-states")
-    days = team_long(matches).select("team_id", "match_date").unionByName(states.select("team_id", "match_date")).distinct()
-    by_team = Window.partitionBy("team_id")
-    days = days.select("team_id", "match_date", F.row_number().over(by_team.orderBy("match_date")).alias("i"), F.count(F.lit(1)).over(by_team).cast("int").alias("n_days"))
-    until = F.coalesce(F.lead("i").over(Window.partitionBy("team_id", "map").orderBy("i")), F.col("n_days"))
-    held = states.join(days, ["team_id", "match_date"]).select("team_id", "rating", (F.col("i") + 1).alias("start"), until.alias("until")).where("start <= until")
-    seen = held.select("team_id", F.explode(F.sequence("start", "until")).alias("i"), F.col("rating").alias("last"))
-    pools = seen.groupBy("team_id", "i").agg(F.avg("last").alias("mean"), F.max("last").alias("max"), F.min("last").alias("min"), F.stddev_pop("last").alias("std"), F.count(F.lit(1)).alias("n"))
-    pools = pools.join(days, ["team_id", "i"]).drop("i", "n_days")
+    The fold runs once: its states are written, beside the dates asked about, which are
+    numbered by team. A state holds for the asks after its date, up to the date of the
+    team's next one on the map, so each ask meets one state of every map played before
+    it, without a join by range. All of this reads one exchange by team, of tasks by the
+    number of rows; a team has a row a map and day of the calendar at most."""
+    states = rating_states(map_elo(games, k), last_wins=True).select("team_id", "match_date", F.col("pool").alias("map"), "rating", F.lit(0).alias("ask"))
+    asks = team_long(matches).select(F.col("team_id").cast("long").alias("team_id"), "match_date").dropna().distinct()
+    rows = written(states.unionByName(asks.select("*", F.lit(None).cast("string").alias("map"), F.lit(None).cast("double").alias("rating"), F.lit(1).alias("ask"))), "map-states")
+    by_team = Window.partitionBy("team_id").orderBy("match_date")
+    whole = by_team.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    numbered = rows.repartition(min(rows.count() // TEAM_ROWS + 1, TEAM_TASKS), "team_id").select("*", F.sum("ask").over(by_team).alias("i"), F.sum("ask").over(whole).alias("n_asks"))
+    until = F.coalesce(F.lead("i").over(Window.partitionBy("team_id", "map", "ask").orderBy("match_date")), F.col("n_asks"))
+    asked = F.col("ask") == 1
+    seen = numbered.withColumn("until", until).select("team_id", F.when(asked, F.col("match_date")).alias("day"), "rating", F.explode(F.when(asked, F.array("i")).when(F.col("i") < F.col("until"), F.sequence(F.col("i") + 1, "until"))).alias("at"))
+    r = F.col("rating")
+    pools = seen.groupBy("team_id", "at").agg(F.max("day").alias("match_date"), F.avg(r).alias("mean"), F.max(r).alias("max"), F.min(r).alias("min"), F.stddev_pop(r).alias("std"), F.count(r).alias("n"))
     x = both_sides(matches.select("match_id", "match_date", "team_a_id", "team_b_id"), pools, ["mean", "max", "min", "std", "n"])
     fill = {"mean": 1500.0, "max": 1500.0, "min": 1500.0, "std": 0.0, "n": 0}
     v = {f"{n}_{s}": F.coalesce(f"{n}_{s}", F.lit(d)) for n, d in fill.items() for s in ("a", "b")}

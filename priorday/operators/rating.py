@@ -180,7 +180,9 @@ def elo_history(matches: DataFrame, k: float | Sequence[float] = 32.0, pool: str
     segment = F.floor(F.unix_date("match_date") / RUN_DAYS)
     runs = rating_rows(matches, 0.0, pool).drop("k").repartition("pool", segment).sortWithinPartitions("pool", *ORDER).mapInArrow(_packed_runs, _PACKED)
     dealt = runs.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).repartition("pool", "k").sortWithinPartitions("pool", "k", "day", "at")
-    return dealt.mapInArrow(_folded(scale, initial, last_wins), _RATED).repartition("pool", "k", "day", "at").mapInArrow(_unpacked(scale), HISTORY)
+    # a number of its own keeps adaptive execution from joining parts that are small only while packed
+    parts = int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.mapInArrow(_folded(scale, initial, last_wins), _RATED).repartition(parts, "pool", "k", "day", "at").mapInArrow(_unpacked(scale), HISTORY)
 
 
 ORDER = ("match_date", "match_id", "game")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pytest
@@ -373,3 +374,38 @@ def test_many_matches_of_a_team_on_one_day(spark):
     won = [i % 4 != 0 for i in range(4999)]
     assert made.first().asDict() | {"team_id": 1} == {"team_id": 1, "match_date": dt.date(2020, 1, 2), "n_prior": 4999, "last_5": sum(won[-5:]) / 5, "last_10": sum(won[-10:]) / 10, "days_since": 1}
     assert "WindowGroupLimit" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_map_pools_meet_every_state_before_their_date(spark, monkeypatch):
+    monkeypatch.setattr(X, "TEAM_ROWS", 7, raising=False)  # several tasks of whole teams
+    days = [dt.date(2024, 3, 1) + dt.timedelta(days=i) for i in range(12)]
+    # games on days without matches too, several of one map between two matches, one side without a date
+    games = [(i, days[i % 12], "abc"[i * i % 3], i % 2, 1 + i % 4, 1 + (i + 1 + i % 3) % 4, i % 3 != 0) for i in range(40) if i % 4 != (i + 1 + i % 3) % 4]
+    matches = [(i, days[j], a, b, True) for i, (j, a, b) in enumerate([(0, 1, 2), (5, 1, 2), (5, 3, 1), (6, 2, 4), (11, 4, 9), (11, 1, 3)])] + [(90, None, 1, 2, True), (91, days[11], 1, None, True)]
+    g = spark.createDataFrame(games, "match_id long, match_date date, map string, game int, team_a_id long, team_b_id long, team_a_won boolean")
+    made = X.map_pool(spark.createDataFrame(matches, COLS), g, 64.0)
+    # a state repeated for all its dates stays in the task that made it
+    assert not re.search(r"hashpartitioning\(team_id#\d+L?, (i|at)#", made._jdf.queryExecution().toString())
+    states = R.rating_states(X.map_elo(g, 64.0), last_wins=True).collect()
+
+    def pool(team, day):
+        last = {s.pool: s.rating for s in sorted(states, key=lambda s: s.match_date) if day is not None and s.team_id == team and s.match_date < day}
+        v = list(last.values())
+        return (float(np.mean(v)), max(v), min(v), float(np.std(v)), len(v)) if v else (1500.0, 1500.0, 1500.0, 0.0, 0)
+
+    got = {r.match_id: tuple(r)[1:] for r in made.select("match_id", *(c for c in made.columns if c != "match_id")).collect()}
+    assert len(got) == len(matches)
+    for i, day, a, b, _ in matches:
+        x, y = pool(a, day), pool(b, day)
+        assert np.allclose(got[i], [*(p - q for p, q in zip(x, y, strict=True)), min(x[4], y[4])]), i
+
+
+def test_unpacked_history_stays_in_many_tasks(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = [(i, dt.date(2024, 1, 1) + dt.timedelta(days=i), 1 + i % 5, 6 + i % 3, i % 2 == 0) for i in range(800)]
+        h = R.elo_history(spark.createDataFrame(rows, COLS), 32.0)
+        assert h.select(F.spark_partition_id().alias("p")).distinct().count() > 8  # packed runs are small, what comes out of them is not
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
